@@ -129,22 +129,38 @@ def long_values(df: DataFrame, cols: list[str], ids: list[str] | None = None) ->
 def hash_rank(df: DataFrame, keys, salt: str, row_id: str = "row_id",
               out: str = "rn", ranges: int = HASH_RANGES) -> DataFrame:
     """Exact position 1..n of each row in its group, ordered by (hashed draw, row id)."""
+    draw = df.withColumn("__u", uniform(salt, row_id))
+    return sliced_rank(draw, keys, F.floor(F.col("__u") * ranges), ["__u", row_id], out).drop("__u")
+
+
+def id_rank(df: DataFrame, keys, row_id: str = "row_id", out: str = "rn") -> DataFrame:
+    """Exact position 1..n of each row in its group in row-id order."""
+    cuts = [i / ORDER_RANGES for i in range(1, ORDER_RANGES)]
+    edges = df.agg(F.percentile_approx(row_id, cuts, 20 * ORDER_RANGES).alias("e")).first()["e"] or []
+    bounds = F.array(*[F.lit(e) for e in sorted(set(edges))]) if edges else F.array(F.lit(0))
+    return sliced_rank(df, keys, F.size(F.filter(bounds, lambda e: e < F.col(row_id))), [row_id], out)
+
+
+def sliced_rank(df: DataFrame, keys, slice_: Column, order: list[str], out: str) -> DataFrame:
+    """Position in group when ``slice_`` cuts the order into ascending pieces.
+
+    Positions are counted inside (group, slice) and lifted by the sizes of the earlier
+    slices, so a group of any size is spread over its slices.
+    """
     keys = _as_list(keys)
     keyed, keys_ = (df, keys) if keys else (df.withColumn("__all", F.lit(1)), ["__all"])
-    cut = keyed.withColumn("__u", uniform(salt, row_id)).withColumn(
-        "__slice", F.floor(F.col("__u") * ranges).cast("int"))
+    cut = keyed.withColumn("__slice", slice_.cast("long"))
     slices = cut.groupBy(*keys_, "__slice").agg(F.count(F.lit(1)).alias("__n"))
+    earlier = Window.partitionBy(*keys_).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = slices.select(
-        *keys_, "__slice",
-        F.coalesce(F.sum("__n").over(
-            Window.partitionBy(*keys_).orderBy("__slice").rowsBetween(
-                Window.unboundedPreceding, -1)), F.lit(0)).alias("__off"),
-    )
-    inside = Window.partitionBy(*keys_, "__slice").orderBy("__u", row_id)
-    ranked = cut.withColumn("__in", F.row_number().over(inside)).join(
-        offsets, [*keys_, "__slice"])
-    drop = ["__u", "__slice", "__in", "__off"] + ([] if keys else ["__all"])
-    return ranked.withColumn(out, (F.col("__in") + F.col("__off")).cast("long")).drop(*drop)
+        *[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys_)],
+        F.col("__slice").alias("__s"), F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__off"))
+    same = F.col("__slice") == F.col("__s")
+    for i, k in enumerate(keys_):
+        same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    inside = Window.partitionBy(*keys_, "__slice").orderBy(*order)
+    ranked = cut.withColumn("__in", F.row_number().over(inside)).join(offsets, same)
+    return ranked.select(*df.columns, (F.col("__in") + F.col("__off")).cast("long").alias(out))
 
 
 def top_n_bound(df: DataFrame, order: Column, n: int, row_id: str = "row_id"):

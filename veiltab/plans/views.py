@@ -101,7 +101,7 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     z = (-1.1 + 0.004 * F.col("age") + 0.06 * F.col("n_orders")
          + 0.01 * F.col("n_returns") - 0.02 * F.col("n_suppliers"))
     return subject(spark, sf_dir).select(
-        "row_id", F.col("urgent_flag").alias("y"), (1 / (1 + F.exp(-z))).alias("p"))
+        "row_id", F.col("urgent_flag").alias("y"), F.round(1 / (1 + F.exp(-z)), 12).alias("p"))
 
 
 def blanked(df: DataFrame, cols: list[str], share: float = 0.05) -> DataFrame:
@@ -156,7 +156,7 @@ RELEASE_SQL = f"""release AS (SELECT row_id AS src_id,
 FROM subject WHERE {u_sql('member')} < 0.3)"""
 
 SCORES_SQL = """scores AS (SELECT row_id, urgent_flag AS y,
-  1/(1+exp(-(-1.1 + 0.004*age + 0.06*n_orders + 0.01*n_returns - 0.02*n_suppliers))) AS p
+  round(1/(1+exp(-(-1.1 + 0.004*age + 0.06*n_orders + 0.01*n_returns - 0.02*n_suppliers))),12) AS p
 FROM subject)"""
 
 AGE_GROUP_SQL = ("CASE WHEN age<0 THEN NULL WHEN age<18 THEN '0-17' WHEN age<45 THEN '18-44' "
