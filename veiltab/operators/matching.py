@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from veiltab.functions.hashing import SEED, uniform
 from veiltab.operators import fit
 from veiltab.operators.neighbours import View, knn
-from veiltab.operators.ranks import first_n
+from veiltab.operators.ranks import first_n, ordered_rank
 from veiltab.operators.scale import quantile_bucket, quantile_edges, unit_rescale
 from veiltab.session import materialize
 
@@ -26,10 +26,14 @@ def _best_hit(found: DataFrame) -> DataFrame:
         "id", "b.dist", "b.rank")
 
 
+def _hit_order() -> Column:
+    """(distance, rank) as one number: distances are multiples of 1e-9, ranks stay below 100."""
+    return F.round(F.col("dist") * 1e3 + F.col("rank") * 1e-8, 8)
+
+
 def _take_ranked(hits: DataFrame, n: int) -> Column:
     """The first n rows by (distance, rank, id)."""
-    # distances are multiples of 1e-9 and ranks stay below 100, so the sum keeps both orders
-    return first_n(hits, F.round(F.col("dist") * 1e3 + F.col("rank") * 1e-8, 8), n, "id")
+    return first_n(hits, _hit_order(), n, "id")
 
 
 def fill_by_distance(a: DataFrame, c: DataFrame, marked: DataFrame, n: int, metric: str = "l1") -> DataFrame:
@@ -103,12 +107,8 @@ def block_knn_assign(a: DataFrame, c: DataFrame, n: int, k: int = 5, metric: str
     quota = {r["part"]: round(n * min(r["n_a"], r["n_c"]) / max(total, 1)) for r in size}
     hits = materialize(knn(a, c, k, metric).groupBy("part", "id").agg(
         F.min(F.struct("dist", "rank")).alias("b")).select("part", "id", "b.dist", "b.rank"))
-    chosen = F.lit(False)
-    for part, m in quota.items():  # bounded by the number of blocks (at most levels x bins)
-        if m > 0:
-            in_part = hits.filter(F.col("part") == part)
-            chosen = chosen | ((F.col("part") == part) & _take_ranked(in_part, m))
-    marked = materialize(hits.filter(chosen).select("id"))
+    ranked = ordered_rank(hits.withColumn("o", _hit_order()), "part", "o", "id")
+    marked = materialize(ranked.filter(F.col("rn") <= fit.lookup(F.col("part"), quota, 0)).select("id"))
     have = marked.count()
     if have < n:
         marked = marked.unionByName(fill_by_distance(a.drop("part"), c.drop("part"), marked, n - have, metric))

@@ -179,37 +179,53 @@ def top_n_bound(df: DataFrame, order: Column, n: int, row_id: str = "row_id"):
                 .agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("o", "i")).alias("s"))
                 .first())
         return (last["s"]["o"], last["s"]["i"]) if last["n"] == n else None
-    cuts = [i / ORDER_RANGES for i in range(1, ORDER_RANGES)]
-    edges = base.agg(F.percentile_approx("o", cuts, 20 * ORDER_RANGES).alias("o"),
-                     F.percentile_approx("i", cuts, 20 * ORDER_RANGES).alias("i")).first()
-    if edges["o"] is None:
+    slice_ = order_slices(base, "o", "i")
+    if slice_ is None:
         return None
-    score_edges = sorted(set(edges["o"]))
-    hot = sorted({e for e in score_edges if edges["o"].count(e) > 1})
-    id_edges = sorted(set(edges["i"]))
-
-    def place(c: Column, bounds: list) -> Column:
-        return F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda e: e < c))
-
-    is_hot = F.col("o").isin(hot) if hot else F.lit(False)
-    cut = base.withColumn("b", place(F.col("o"), score_edges) * 2
-                          - F.when(is_hot, 0).otherwise(1))
-    cut = cut.withColumn("s", F.when(is_hot, place(F.col("i"), id_edges)).otherwise(0))
+    cut = base.withColumn("b", slice_)
     seen, bound = 0, None
-    for row in sorted(cut.groupBy("b", "s").count().collect()):
+    for row in sorted(cut.groupBy("b").count().collect()):
         if seen + row["count"] >= n:
-            bound = (row["b"], row["s"], n - seen)
+            bound = (row["b"], n - seen)
             break
         seen += row["count"]
     if bound is None:
         return None
-    b, s, rest = bound
-    nth = (cut.filter((F.col("b") == b) & (F.col("s") == s))
+    b, rest = bound
+    nth = (cut.filter(F.col("b") == b)
            .withColumn("rn", F.row_number().over(Window.orderBy("o", "i")))
            .filter(F.col("rn") == rest).first())
     return (nth["o"], nth["i"])
 
 
+def order_slices(df: DataFrame, order: str, row_id: str) -> Column | None:
+    """Slice number ascending in (order, row id), for at most ~2 ORDER_RANGES^2 slices.
+
+    Edges are approximate quantiles of the order value. A value that repeats among the edges
+    fills more than one slice, so its rows are cut further by row-id quantiles.
+    """
+    cuts = [i / ORDER_RANGES for i in range(1, ORDER_RANGES)]
+    edges = df.agg(F.percentile_approx(order, cuts, 20 * ORDER_RANGES).alias("o"),
+                   F.percentile_approx(row_id, cuts, 20 * ORDER_RANGES).alias("i")).first()
+    if edges["o"] is None:
+        return None
+    hot = sorted({e for e in edges["o"] if edges["o"].count(e) > 1})
+
+    def place(c: str, bounds: list) -> Column:
+        return F.size(F.filter(F.array(*[F.lit(b) for b in sorted(set(bounds))]), lambda e: e < F.col(c)))
+
+    is_hot = F.col(order).isin(hot) if hot else F.lit(False)
+    major = place(order, edges["o"]) * 2 - F.when(is_hot, 0).otherwise(1)
+    minor = F.when(is_hot, place(row_id, edges["i"])).otherwise(0)
+    return (major * (ORDER_RANGES + 1) + minor).cast("long")
+
+
+def ordered_rank(df: DataFrame, keys, order: str, row_id: str = "row_id", out: str = "rn") -> DataFrame:
+    """Exact position 1..n of each row in its group by (order value, row id)."""
+    slice_ = order_slices(df, order, row_id)
+    return sliced_rank(df, keys, F.lit(0) if slice_ is None else slice_, [order, row_id], out)
+
+
 def inside_bound(order: Column, bound, row_id: str = "row_id") -> Column:
     """True for rows at or before the bound of ``top_n_bound``."""
     if bound is None:
