@@ -295,7 +295,7 @@ FROM blanked LEFT JOIN (SELECT region, segment, median(n_items) AS m FROM blanke
  ON blanked.region=z.region AND blanked.segment=z.segment,
 (SELECT median(n_items) AS g FROM blanked WHERE n_items BETWEEN 5 AND 60) q""", BLANKED))
 def _(spark, sf):
-    return S.group_median_impute(_bl(spark, sf), "n_items", 5, 60, ["region", "segment"]).select("row_id", "n_items")
+    return S.group_median_impute(_bl(spark, sf), {"n_items": (5, 60)}, ["region", "segment"]).select("row_id", "n_items")
 
 
 @query("hierarchical_impute", with_sql("""
@@ -307,5 +307,5 @@ LEFT JOIN (SELECT region, pending_flag, median(avg_price) AS m FROM filled GROUP
     "filled AS (SELECT row_id, region, pending_flag, coalesce(segment,'Unknown') AS segment, avg_price FROM blanked)"))
 def _(spark, sf):
     b = _bl(spark, sf).withColumn("segment", clean.ensure_category("segment"))
-    out = S.hierarchical_impute(b, "avg_price", [["region", "segment", "pending_flag"], ["region", "pending_flag"]], 30)
+    out = S.hierarchical_impute(b, ["avg_price"], [["region", "segment", "pending_flag"], ["region", "pending_flag"]], 30)
     return rounded(out.select("row_id", "avg_price"))

@@ -143,11 +143,11 @@ GS = """gs AS (SELECT age_group, CASE WHEN coalesce(stddev_samp(n_items),0)=0 TH
 one("noise_by_group_std", "n_items",
     "coalesce((SELECT x FROM nz WHERE nz.row_id=b.row_id), least(greatest((SELECT median(x) FROM nz),4),70)::INT)::INT",
     GS % (gauss_sql("n_items/g"), "0.05"))(
-    lambda d: N.noise_by_group_std(d, "n_items", AGE_BIN, 0.05, 4, 70))
+    lambda d: N.noise_by_group_std(d, {"n_items": (4, 70)}, AGE_BIN, 0.05))
 one("noise_by_group_std_wide", "n_items",
     "coalesce((SELECT x FROM nz WHERE nz.row_id=b.row_id), least(greatest((SELECT median(x) FROM nz),4),70)::INT)::INT",
     GS % (gauss_sql("n_items/g"), f"(CASE WHEN {u_sql('n_items/wide')}<0.1 THEN 0.2 ELSE 0.08 END)"))(
-    lambda d: N.noise_by_group_std(d, "n_items", AGE_BIN, 0.08, 4, 70, wide=(0.1, 0.2)))
+    lambda d: N.noise_by_group_std(d, {"n_items": (4, 70)}, AGE_BIN, 0.08, wide=(0.1, 0.2)))
 one("shrink_to_group_mean", "avg_price",
     "avg_price+0.1*((SELECT avg(avg_price) FROM b b2 WHERE b2.age_group=b.age_group)-avg_price)", digits=4)(
     lambda d: N.shrink_to_group_mean(d, "avg_price", AGE_BIN))

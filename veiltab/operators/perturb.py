@@ -194,26 +194,31 @@ def noise_proportional(df: DataFrame, c: str, sigma: float, digits: int | None =
     return df.withColumn(c, F.bround(x).cast("int") if digits is None else F.round(x, digits))
 
 
-def noise_by_group_std(df: DataFrame, c: str, bin_: Column, factor: float, lo: float, hi: float,
-                       salt: str = "", row_id: str = ROW, wide: tuple[float, float] | None = None) -> DataFrame:
-    """N(0, factor * std of the value's bin), clipped and rounded; a zero or missing std counts
-    as max(1, mean / 10). ``wide=(share, factor)`` gives a share of the rows a larger factor.
-    Afterwards missing values take the median of the new values, forced into the range."""
+def noise_by_group_std(df: DataFrame, limits: dict[str, tuple], bin_: Column, factor: float, salt: str = "",
+                       row_id: str = ROW, wide: tuple[float, float] | None = None) -> DataFrame:
+    """N(0, factor * std of the value's bin), clipped to the column's limits and rounded; a zero
+    or missing std counts as max(1, mean / 10). ``wide=(share, factor)`` gives a share of the
+    rows a larger factor. Afterwards missing values take the median of the new values, forced
+    into the range. All columns share one fit of the bins and one of the medians.
+    """
+    cols = list(limits)
     g = df.groupBy(bin_.alias("b")).agg(
-        F.avg(_num(c)).alias("m"), F.when(F.count(_num(c)) > 1, F.stddev_samp(_num(c))).alias("s"))
-    std = {}
-    for r in g.collect():
-        if r["b"] is not None and r["m"] is not None:
-            std[r["b"]] = float(r["s"]) if r["s"] else max(1.0, r["m"] * 0.1)
-    f = F.lit(factor)
-    if wide:
-        f = F.when(uniform(f"{salt}{c}/wide", row_id) < wide[0], wide[1]).otherwise(f)
-    sd = fit.lookup(bin_, std)
-    x = F.bround(range_clip(_num(c) + gaussian(f"{salt}{c}/g", row_id) * sd * f, float(lo), float(hi)))
-    out = df.withColumn(c, F.coalesce(x, _num(c)))
-    mid = fit.medians(out, [c])[c]
-    fill = int(min(max(mid if mid is not None else lo, lo), hi))
-    return out.withColumn(c, F.when(F.col(c).between(lo, hi), F.col(c)).otherwise(fill).cast("int"))
+        *[F.avg(_num(c)).alias(f"m_{c}") for c in cols],
+        *[F.when(F.count(_num(c)) > 1, F.stddev_samp(_num(c))).alias(f"s_{c}") for c in cols]).collect()
+    out = {}
+    for c, (lo, hi) in limits.items():
+        std = {r["b"]: float(r[f"s_{c}"]) if r[f"s_{c}"] else max(1.0, r[f"m_{c}"] * 0.1)
+               for r in g if r["b"] is not None and r[f"m_{c}"] is not None}
+        f = F.lit(factor)
+        if wide:
+            f = F.when(uniform(f"{salt}{c}/wide", row_id) < wide[0], wide[1]).otherwise(f)
+        x = _num(c) + gaussian(f"{salt}{c}/g", row_id) * fit.lookup(bin_, std) * f
+        out[c] = F.coalesce(F.bround(range_clip(x, float(lo), float(hi))), _num(c))
+    noised = df.withColumns(out)
+    mid = fit.medians(noised, cols)
+    fill = {c: int(min(max(mid[c] if mid[c] is not None else lo, lo), hi)) for c, (lo, hi) in limits.items()}
+    return noised.withColumns({
+        c: F.when(F.col(c).between(lo, hi), F.col(c)).otherwise(fill[c]).cast("int") for c, (lo, hi) in limits.items()})
 
 
 def shrink_to_group_mean(df: DataFrame, c: str, bin_: Column, rate: float = 0.1, min_rows: int = 5) -> DataFrame:

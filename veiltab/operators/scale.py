@@ -110,45 +110,52 @@ def coarsen_rare_levels(df: DataFrame, c: str, min_count: int = 50, other: str =
             .drop("__lv"))
 
 
-def group_medians(df: DataFrame, keys: list[str], c: str) -> DataFrame:
-    """(keys, median, group size) with the size counted over all rows of the group."""
-    med = exact_quantiles(df.select(*keys, _num(c).alias("value")), keys, "value", {"__med": 0.5})
+def group_medians(df: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
+    """(keys, __size, one median per column as __m_column): all columns in one long-form job."""
+    long = df.select(*keys, *[_num(c).alias(c) for c in cols]).unpivot(keys, cols, "column", "value")
+    med = exact_quantiles(long, [*keys, "column"], "value", {"m": 0.5})
+    wide = med.groupBy(*keys).agg(*[F.max(F.when(F.col("column") == c, F.col("m"))).alias(f"__m_{c}") for c in cols])
     size = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__size"))
-    return size.join(med.drop("n_valid"), keys, "left")
+    return size.join(wide, keys, "left")
 
 
-def group_median_impute(df: DataFrame, c: str, lo: float, hi: float, keys: list[str],
-                        integer: bool = True) -> DataFrame:
-    """Out-of-range or null -> group median -> global median -> lo; then round and clip."""
-    ok = F.when(_num(c).between(lo, hi), _num(c))
-    base = df.withColumn(c, ok)
-    mid = fit.medians(base, [c])[c]
-    g = group_medians(base, keys, c).drop("__size")
-    out = base.join(g, keys, "left").withColumn(
-        c, F.coalesce(F.col(c), F.col("__med"), F.lit(mid).cast("double"), F.lit(float(lo))))
-    value = F.bround(c) if integer else F.col(c)
-    return out.withColumn(c, range_clip(value, float(lo), float(hi))).drop("__med")
+def group_median_impute(df: DataFrame, limits: dict[str, tuple], keys: list[str], integer: bool = True) -> DataFrame:
+    """Out-of-range or null -> group median -> global median -> lower limit; then round and clip."""
+    cols = list(limits)
+    base = df.withColumns({c: F.when(_num(c).between(lo, hi), _num(c)) for c, (lo, hi) in limits.items()})
+    mid = fit.medians(base, cols)
+    out = base.join(group_medians(base, keys, cols).drop("__size"), keys, "left")
+    fills = {}
+    for c, (lo, hi) in limits.items():
+        x = F.coalesce(F.col(c), F.col(f"__m_{c}"), F.lit(mid[c]).cast("double"), F.lit(float(lo)))
+        fills[c] = range_clip(F.bround(x) if integer else x, float(lo), float(hi))
+    return out.withColumns(fills).select(*df.columns)
 
 
-def hierarchical_impute(df: DataFrame, c: str, tiers: list[list[str]], min_size: int,
-                        lo: float | None = None, hi: float | None = None) -> DataFrame:
+def hierarchical_impute(df: DataFrame, cols: list[str], tiers: list[list[str]], min_size: int,
+                        limits: dict[str, tuple] | None = None) -> DataFrame:
     """Fill nulls (and out-of-range values when limits are given) with the median of the
     finest key tier whose group has at least ``min_size`` rows, then the global median, then 0.
 
     All tiers read observed values only, so they are independent joins in one pass.
     """
-    x = _num(c)
-    base = df.withColumn(c, x if lo is None else F.when(x.between(lo, hi), x))
-    mid = fit.medians(base, [c])[c]
-    out, fills = base, [F.col(c)]
+    def seen(c: str) -> Column:
+        return F.when(_num(c).between(*limits[c]), _num(c)) if limits and c in limits else _num(c)
+
+    base = df.withColumns({c: seen(c) for c in cols})
+    mid = fit.medians(base, cols)
+    out, fills = base, {c: [F.col(c)] for c in cols}
     for i, keys in enumerate(t for t in tiers if t):
-        g = group_medians(base, keys, c).filter(F.col("__size") >= min_size).select(
-            *keys, F.col("__med").alias(f"__t{i}"))
+        g = group_medians(base, keys, cols).filter(F.col("__size") >= min_size).select(
+            *keys, *[F.col(f"__m_{c}").alias(f"__t{i}_{c}") for c in cols])
         out = out.join(g, keys, "left")
-        fills.append(F.col(f"__t{i}"))
-    filled = F.coalesce(*fills, F.lit(mid if mid is not None else 0.0))
-    clipped = filled if lo is None else range_clip(filled, float(lo), float(hi))
-    return out.withColumn(c, clipped).select(*df.columns)
+        for c in cols:
+            fills[c].append(F.col(f"__t{i}_{c}"))
+    exprs = {}
+    for c in cols:
+        x = F.coalesce(*fills[c], F.lit(mid[c] if mid[c] is not None else 0.0))
+        exprs[c] = range_clip(x, *map(float, limits[c])) if limits and c in limits else x
+    return out.withColumns(exprs).select(*df.columns)
 
 
 def format_release(df: DataFrame, integers: list[str], decimals: dict[str, int],

@@ -171,3 +171,27 @@ def blank_sql(cols: list[str], keep: list[str], share: float = 0.05, source="sub
 def with_sql(body: str, *ctes: str) -> str:
     """``WITH`` chain; ``subject`` always comes first."""
     return "WITH " + ",\n".join([SUBJECT_SQL, *ctes]) + "\n" + body
+
+
+# ---------------------------------------------------------------- person view
+
+PERSON_EXPRS = {
+    "row_id": "row_id", "AGE": "age",
+    "GENDER": "CASE WHEN row_id%40=0 THEN 'O' WHEN row_id%40=1 THEN 'U' WHEN row_id%2=0 THEN 'M' ELSE 'F' END",
+    "RACE": "CASE WHEN row_id%97=0 THEN 'hawaiian' WHEN row_id%53=0 THEN 'native' WHEN region='AFRICA' THEN 'black' "
+            "WHEN region='ASIA' THEN 'asian' WHEN region='MIDDLE EAST' THEN 'other' ELSE 'white' END",
+    "ETHNICITY": "CASE WHEN row_id%15=0 THEN 'hispanic' WHEN row_id%40=7 THEN 'unknown' ELSE 'nonhispanic' END",
+    "encounter_count": "4+n_orders*3", "num_procedures": "CASE WHEN row_id%31<>0 THEN n_items END",
+    "num_medications": "n_returns*2", "num_immunizations": "n_suppliers", "num_allergies": "n_orders%4",
+    "num_devices": "n_items%3", "mean_systolic_bp": "round(CAST(90+n_items*1.1+age*0.2 AS DOUBLE),1)",
+    "mean_diastolic_bp": "round(CAST(50+n_items*0.6 AS DOUBLE),1)", "mean_weight": "round(CAST(40+n_suppliers*1.7 AS DOUBLE),1)",
+    "mean_bmi": "CASE WHEN row_id%20<>3 THEN round(CAST(15+n_returns*0.9 AS DOUBLE),1) END",
+    "asthma_flag": "urgent_flag", "stroke_flag": "return_flag", "obesity_flag": "big_flag",
+    "depression_flag": "CASE WHEN row_id%120=0 THEN 1 ELSE 0 END",
+}
+PERSON_SQL = "person AS (SELECT " + ", ".join(f"{e} AS {c}" for c, e in PERSON_EXPRS.items()) + " FROM subject)"
+
+
+def person(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The subject view in the person-table columns that the recipes expect."""
+    return subject(spark, sf_dir).selectExpr(*[f"{e} AS {c}" for c, e in PERSON_EXPRS.items()])
