@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 REGISTRY: dict[str, tuple[Callable, str | None]] = {}
-MODULES: list[str] = ["profile", "tests", "clean", "perturb", "order", "cohort", "matching", "risk", "synthesis", "files", "models", "recipes"]
+MODULES: list[str] = ["profile", "tests", "clean", "perturb", "order", "cohort", "matching", "risk", "synthesis", "files", "models", "recipes", "audits"]
 
 
 
