@@ -3,13 +3,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from veiltab.catalog.perturb import AGE_BIN, base, q
+from veiltab.catalog.perturb import age_bin, base, q
 from veiltab.catalog.registry import query, rounded
 from veiltab.functions.hashing import uniform
 from veiltab.operators import cohort as C
 from veiltab.plans.views import gauss_sql, u_sql
 
-YOUNG, OLD = F.col("age").between(21, 30), F.col("age").between(31, 40)
 COHORT = f"""coh AS (SELECT row_id, age, side, row_number() OVER (PARTITION BY side ORDER BY {u_sql('swap')}, row_id) AS rn
  FROM (SELECT row_id, age, CASE WHEN age BETWEEN 21 AND 30 THEN 'a' WHEN age BETWEEN 31 AND 40 THEN 'b' END AS side FROM b) z WHERE side IS NOT NULL),
 m AS (SELECT least(floor(count(CASE WHEN side='a' THEN 1 END)*0.1),floor(count(CASE WHEN side='b' THEN 1 END)*0.1)) AS m FROM coh)"""
@@ -19,7 +18,7 @@ m AS (SELECT least(floor(count(CASE WHEN side='a' THEN 1 END)*0.1),floor(count(C
 SELECT b.row_id, coalesce(o.age, b.age) AS age FROM b LEFT JOIN coh c ON c.row_id=b.row_id AND c.rn<=(SELECT m FROM m)
 LEFT JOIN coh o ON o.rn=c.rn AND o.side<>c.side""", COHORT))
 def _(spark, sf):
-    return C.swap_between_cohorts(base(spark, sf).select("row_id", "age"), "age", YOUNG, OLD, 0.1)
+    return C.swap_between_cohorts(base(spark, sf).select("row_id", "age"), "age", F.col("age").between(21, 30), F.col("age").between(31, 40), 0.1)
 
 
 def pairs_sql(share, part):
@@ -94,7 +93,7 @@ FROM b LEFT JOIN (SELECT row_id, grp, {perm_sql('grp', 'block/base')} AS rn FROM
 LEFT JOIN (SELECT age, n_items, grp, {perm_sql('grp', 'block/value')} AS rn FROM g) v ON v.grp=p.grp AND v.rn=p.rn""",
     CELL, tier_sql(25, 0.8), "g AS (SELECT b.*, grp FROM b JOIN t2 USING (region, age_group, urgent_flag) WHERE grp IS NOT NULL)"))
 def _(spark, sf):
-    df = base(spark, sf).select("row_id", "region", "age", "n_items", "urgent_flag", AGE_BIN.alias("age_group"))
+    df = base(spark, sf).select("row_id", "region", "age", "n_items", "urgent_flag", age_bin().alias("age_group"))
     return C.permute_within_group_block(df, T, ["age", "n_items"], 25, 0.8).select("row_id", "age", "n_items")
 
 

@@ -23,7 +23,10 @@ BASE = ("b AS (SELECT row_id, age, region, n_orders, n_returns, balance, urgent_
         + ", ".join(f"CASE WHEN {u_sql('blank/' + c)} >= 0.05 THEN {e} END AS {c}" for c, e in
                     [("n_items", "n_items"), ("avg_price", "round(avg_price,7)"), ("segment", "segment")])
         + f", {AGE_GROUP_SQL} AS age_group FROM subject)")
-AGE_BIN = clean.bin_label("age", [0, 18, 45, 65, 75, float("inf")], ["0-17", "18-44", "45-64", "65-74", "75+"])
+
+
+def age_bin():
+    return clean.bin_label("age", [0, 18, 45, 65, 75, float("inf")], ["0-17", "18-44", "45-64", "65-74", "75+"])
 
 
 def q(body: str, *ctes: str) -> str:
@@ -118,7 +121,7 @@ one("noise_age_by_segment", "age",
     lambda d: N.noise_age_by_segment(d, "age", [(30, 3), (60, 5), (1000, 2)]))
 one("noise_age_by_bin", "age",
     f"CASE WHEN (SELECT count(*) FROM b b2 WHERE b2.age_group=b.age_group)>150 THEN least(greatest(age+{int_sql(-2, 2, 'age/d')},2),110) ELSE age END::INT")(
-    lambda d: N.noise_age_by_bin(d, "age", AGE_BIN, 2, 2, 110, min_rows=150))
+    lambda d: N.noise_age_by_bin(d, "age", age_bin(), 2, 2, 110, min_rows=150))
 one("noise_age_sparse", "age",
     f"CASE WHEN {u_sql('age/p')}<0.02 THEN least(greatest(age+CASE WHEN {u_sql('age/v')}<0.45 THEN -1 WHEN {u_sql('age/v')}<0.55 THEN 0 ELSE 1 END,2),110) ELSE age END::INT")(
     lambda d: N.noise_sparse_choice(d, "age", 0.02, [-1, 0, 1], 2, 110, weights=[.45, .1, .45]))
@@ -143,14 +146,14 @@ GS = """gs AS (SELECT age_group, CASE WHEN coalesce(stddev_samp(n_items),0)=0 TH
 one("noise_by_group_std", "n_items",
     "coalesce((SELECT x FROM nz WHERE nz.row_id=b.row_id), least(greatest((SELECT median(x) FROM nz),4),70)::INT)::INT",
     GS % (gauss_sql("n_items/g"), "0.05"))(
-    lambda d: N.noise_by_group_std(d, {"n_items": (4, 70)}, AGE_BIN, 0.05))
+    lambda d: N.noise_by_group_std(d, {"n_items": (4, 70)}, age_bin(), 0.05))
 one("noise_by_group_std_wide", "n_items",
     "coalesce((SELECT x FROM nz WHERE nz.row_id=b.row_id), least(greatest((SELECT median(x) FROM nz),4),70)::INT)::INT",
     GS % (gauss_sql("n_items/g"), f"(CASE WHEN {u_sql('n_items/wide')}<0.1 THEN 0.2 ELSE 0.08 END)"))(
-    lambda d: N.noise_by_group_std(d, {"n_items": (4, 70)}, AGE_BIN, 0.08, wide=(0.1, 0.2)))
+    lambda d: N.noise_by_group_std(d, {"n_items": (4, 70)}, age_bin(), 0.08, wide=(0.1, 0.2)))
 one("shrink_to_group_mean", "avg_price",
     "avg_price+0.1*((SELECT avg(avg_price) FROM b b2 WHERE b2.age_group=b.age_group)-avg_price)", digits=4)(
-    lambda d: N.shrink_to_group_mean(d, "avg_price", AGE_BIN))
+    lambda d: N.shrink_to_group_mean(d, "avg_price", age_bin()))
 one("noise_sparse_choice", "n_items",
     f"CASE WHEN n_items IS NOT NULL AND {u_sql('n_items/p')}<0.03 THEN least(greatest(n_items+CASE floor({u_sql('n_items/v')}*4)::INT WHEN 0 THEN -2 WHEN 1 THEN -1 WHEN 2 THEN 1 ELSE 2 END,0),70) ELSE n_items END::INT")(
     lambda d: N.noise_sparse_choice(d, "n_items", 0.03, [-2, -1, 1, 2], 0, 70))

@@ -5,6 +5,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from veiltab.functions.clean import range_clip
 from veiltab.functions.hashing import gaussian
@@ -88,7 +89,7 @@ def jitter_match(df: DataFrame, keys: list[str], cols: list[str], integers: list
     return quantile_map(moved, df, keys, cols, integers, row_id)
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def _cholesky(corr: pd.Series) -> pd.Series:
     """Lower factor (row-major) of the nearest positive-definite correlation matrix, per group."""
     def one(flat):

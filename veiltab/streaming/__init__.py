@@ -1,0 +1 @@
+"""Cell-level release steps on a stream (there are no stateful operators in scope)."""
