@@ -137,8 +137,23 @@ def id_rank(df: DataFrame, keys, row_id: str = "row_id", out: str = "rn") -> Dat
     """Exact position 1..n of each row in its group in row-id order."""
     cuts = [i / ORDER_RANGES for i in range(1, ORDER_RANGES)]
     edges = df.agg(F.percentile_approx(row_id, cuts, 20 * ORDER_RANGES).alias("e")).first()["e"] or []
-    bounds = F.array(*[F.lit(e) for e in sorted(set(edges))]) if edges else F.array(F.lit(0))
-    return sliced_rank(df, keys, F.size(F.filter(bounds, lambda e: e < F.col(row_id))), [row_id], out)
+    return sliced_rank(df, keys, below(row_id, edges), [row_id], out)
+
+
+def below(c: str, edges: list) -> Column:
+    """How many of the (literal) edges lie below the column, by binary search in SQL text."""
+    edges = sorted(set(edges))
+
+    def text(v) -> str:
+        return f"CAST('{v!r}' AS DOUBLE)" if isinstance(v, float) else str(v)
+
+    def search(lo: int, hi: int) -> str:
+        if lo == hi:
+            return str(lo)
+        mid = (lo + hi) // 2
+        return f"CASE WHEN `{c}` > {text(edges[mid])} THEN {search(mid + 1, hi)} ELSE {search(lo, mid)} END"
+
+    return F.expr(search(0, len(edges)))
 
 
 def sliced_rank(df: DataFrame, keys, slice_: Column, order: list[str], out: str) -> DataFrame:
@@ -211,12 +226,9 @@ def order_slices(df: DataFrame, order: str, row_id: str) -> Column | None:
         return None
     hot = sorted({e for e in edges["o"] if edges["o"].count(e) > 1})
 
-    def place(c: str, bounds: list) -> Column:
-        return F.size(F.filter(F.array(*[F.lit(b) for b in sorted(set(bounds))]), lambda e: e < F.col(c)))
-
     is_hot = F.col(order).isin(hot) if hot else F.lit(False)
-    major = place(order, edges["o"]) * 2 - F.when(is_hot, 0).otherwise(1)
-    minor = F.when(is_hot, place(row_id, edges["i"])).otherwise(0)
+    major = below(order, edges["o"]) * 2 - F.when(is_hot, 0).otherwise(1)
+    minor = F.when(is_hot, below(row_id, edges["i"])).otherwise(0)
     return (major * (ORDER_RANGES + 1) + minor).cast("long")
 
 
