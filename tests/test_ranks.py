@@ -38,6 +38,7 @@ def test_top_n_bound_by_counts(hot, monkeypatch, n):
     pdf = hot.toPandas().sort_values(["v", "row_id"])
     monkeypatch.setattr(R, "TAKE_ORDERED_MAX", 0)
     monkeypatch.setattr(R, "ORDER_RANGES", 8)
+    monkeypatch.setattr(R, "LAST_SLICE_ROWS", 40)
     got = hot.filter(R.first_n(hot, F.col("v"), n)).select("row_id").toPandas()["row_id"]
     assert set(got) == set(pdf["row_id"].head(n))
 

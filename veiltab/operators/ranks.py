@@ -17,9 +17,10 @@ from pyspark.sql import functions as F
 
 from veiltab.functions.hashing import uniform
 
-VALUE_RANGES = 64      # value ranges per key when cutting a histogram
+VALUE_RANGES = 64      # value ranges per key when cutting a histogram (a power of two)
 HASH_RANGES = 1024     # hash ranges per group in hash_rank
-ORDER_RANGES = 256     # score ranges when searching the n-th row
+ORDER_RANGES = 64      # order ranges when searching the n-th row or ranking by a value
+LAST_SLICE_ROWS = 500_000  # a slice this small is sorted to find the n-th row; larger ones are cut again
 TAKE_ORDERED_MAX = 5000  # largest n answered by a bounded take-ordered
 
 
@@ -56,11 +57,15 @@ def running_counts(hist: DataFrame, keys, value: str, names: list[str],
     """Add ``*_before`` and ``*_total`` to a histogram with one row per (keys, value)."""
     keys = _as_list(keys)
     keyed, keys_ = (hist, keys) if keys else (hist.withColumn("__all", F.lit(1)), ["__all"])
-    cuts = F.percentile_approx(value, [i / ranges for i in range(1, ranges)], 20 * ranges)
+    cuts = F.percentile_approx(value, [i / ranges for i in range(1, ranges)], 4 * ranges)
     edges = keyed.groupBy(*keys_).agg(cuts.alias("__edges"))
-    cut = keyed.join(edges, keys_).withColumn(
-        "__range", F.size(F.filter("__edges", lambda e: e < F.col(value)))
-    ).drop("__edges")
+    cut = keyed.join(edges, keys_).withColumn("__range", F.lit(0))
+    step = ranges // 2
+    while step:  # number of edges below the value: unrolled binary search over ranges - 1 edges
+        probe = F.get("__edges", F.col("__range") + (step - 1))
+        cut = cut.withColumn("__range", F.col("__range") + F.when(F.col(value) > probe, step).otherwise(0))
+        step //= 2
+    cut = cut.drop("__edges")
     per_range = cut.groupBy(*keys_, "__range").agg(*[F.sum(c).alias(c) for c in names])
     by_range = Window.partitionBy(*keys_).orderBy("__range")
     whole = Window.partitionBy(*keys_)
@@ -136,7 +141,7 @@ def hash_rank(df: DataFrame, keys, salt: str, row_id: str = "row_id",
 def id_rank(df: DataFrame, keys, row_id: str = "row_id", out: str = "rn") -> DataFrame:
     """Exact position 1..n of each row in its group in row-id order."""
     cuts = [i / ORDER_RANGES for i in range(1, ORDER_RANGES)]
-    edges = df.agg(F.percentile_approx(row_id, cuts, 20 * ORDER_RANGES).alias("e")).first()["e"] or []
+    edges = df.agg(F.percentile_approx(row_id, cuts, 4 * ORDER_RANGES).alias("e")).first()["e"] or []
     return sliced_rank(df, keys, below(row_id, edges), [row_id], out)
 
 
@@ -182,9 +187,10 @@ def top_n_bound(df: DataFrame, order: Column, n: int, row_id: str = "row_id"):
     """The n-th row by (order ascending, row_id ascending) as ``(order, id)``.
 
     Returns ``None`` when fewer than n rows have an order value (all of them are inside).
-    Small n: a bounded take-ordered. Otherwise the row is found from bucket counts; rows
-    sharing one order value are cut further by row id, so a value that fills a third of
-    the table still spreads over many buckets.
+    Small n: a bounded take-ordered. Otherwise the slice holding the row is found from slice
+    counts and cut again until it is small, a factor of about ORDER_RANGES per round. Rows
+    sharing one order value are cut by row id, so a value that fills a third of the table
+    spreads over many slices too.
     """
     base = df.select(order.alias("o"), F.col(row_id).alias("i")).filter(F.col("o").isNotNull())
     if n <= 0:
@@ -194,22 +200,23 @@ def top_n_bound(df: DataFrame, order: Column, n: int, row_id: str = "row_id"):
                 .agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("o", "i")).alias("s"))
                 .first())
         return (last["s"]["o"], last["s"]["i"]) if last["n"] == n else None
-    slice_ = order_slices(base, "o", "i")
-    if slice_ is None:
-        return None
-    cut = base.withColumn("b", slice_)
-    seen, bound = 0, None
-    for row in sorted(cut.groupBy("b").count().collect()):
-        if seen + row["count"] >= n:
-            bound = (row["b"], n - seen)
+    while True:
+        slice_ = order_slices(base, "o", "i")
+        if slice_ is None:
+            return None
+        cut, seen, hit = base.withColumn("b", slice_), 0, None
+        for row in sorted(cut.groupBy("b").count().collect()):
+            if seen + row["count"] >= n:
+                hit = row
+                break
+            seen += row["count"]
+        if hit is None:
+            return None
+        base, n = cut.filter(F.col("b") == hit["b"]).drop("b"), n - seen
+        if hit["count"] <= LAST_SLICE_ROWS:
             break
-        seen += row["count"]
-    if bound is None:
-        return None
-    b, rest = bound
-    nth = (cut.filter(F.col("b") == b)
-           .withColumn("rn", F.row_number().over(Window.orderBy("o", "i")))
-           .filter(F.col("rn") == rest).first())
+    nth = (base.withColumn("rn", F.row_number().over(Window.orderBy("o", "i")))
+           .filter(F.col("rn") == n).first())
     return (nth["o"], nth["i"])
 
 
@@ -220,8 +227,8 @@ def order_slices(df: DataFrame, order: str, row_id: str) -> Column | None:
     fills more than one slice, so its rows are cut further by row-id quantiles.
     """
     cuts = [i / ORDER_RANGES for i in range(1, ORDER_RANGES)]
-    edges = df.agg(F.percentile_approx(order, cuts, 20 * ORDER_RANGES).alias("o"),
-                   F.percentile_approx(row_id, cuts, 20 * ORDER_RANGES).alias("i")).first()
+    edges = df.agg(F.percentile_approx(order, cuts, 4 * ORDER_RANGES).alias("o"),
+                   F.percentile_approx(row_id, cuts, 4 * ORDER_RANGES).alias("i")).first()
     if edges["o"] is None:
         return None
     hot = sorted({e for e in edges["o"] if edges["o"].count(e) > 1})
