@@ -168,5 +168,27 @@ def recipe_sql(name: str) -> str | None:
     return with_sql(f"SELECT * REPLACE ({nums}) FROM {t}", *ctes)
 
 
+def row_shuffle_sql() -> str:
+    nums = ", ".join(f"round({_n(c)},3) AS {c}" for c in ("AGE", *COUNTS, *BODY))
+    new_id = f"row_number() OVER (ORDER BY {u_sql('row_shuffle0/shuffle')}, row_id)"
+    return with_sql(f"SELECT * REPLACE ({new_id} AS row_id, {nums}) FROM person", PERSON_SQL)
+
+
+def group_shuffle_sql() -> str:
+    (_, args), = RECIPES["group_shuffle"]
+    band = "floor(AGE/5)::INT"
+
+    def places(salt, *cols):
+        rn = f"row_number() OVER (PARTITION BY {band} ORDER BY {u_sql('group_shuffle0/perm/' + salt)}, row_id)"
+        return f"(SELECT {', '.join(cols)}, {band} AS band, {rn} AS rn FROM person WHERE AGE<120)"
+
+    cols = ", ".join(f"round({_n(f't{i}.{c}')},3) AS {c}" if c in (*COUNTS, *BODY) else f"t{i}.{c}"
+                     for i, c in enumerate(args["cols"]))
+    joins = "\n".join(f"JOIN {places(c, c)} t{i} ON t{i}.band=p.band AND t{i}.rn=p.rn" for i, c in enumerate(args["cols"]))
+    return with_sql(f"SELECT p.row_id, round({_n('p.AGE')},3) AS AGE, {cols} FROM {places('base', 'row_id', 'AGE')} p\n{joins}",
+                    PERSON_SQL.replace("person AS (", "person AS MATERIALIZED ("))
+
+
+EXCHANGED = {"row_shuffle": row_shuffle_sql, "group_shuffle": group_shuffle_sql}
 for _name in RECIPES:
-    register(_name, recipe_sql(_name))
+    register(_name, EXCHANGED[_name]() if _name in EXCHANGED else recipe_sql(_name))

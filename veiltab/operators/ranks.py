@@ -21,6 +21,7 @@ VALUE_RANGES = 64      # value ranges per key when cutting a histogram (a power
 HASH_RANGES = 1024     # hash ranges per group in hash_rank
 ORDER_RANGES = 64      # order ranges when searching the n-th row or ranking by a value
 LAST_SLICE_ROWS = 500_000  # a slice this small is sorted to find the n-th row; larger ones are cut again
+NAMED_KEYS = {"column", "metric"}  # keys whose values are names given by the caller, never data
 TAKE_ORDERED_MAX = 5000  # largest n answered by a bounded take-ordered
 
 
@@ -59,7 +60,8 @@ def running_counts(hist: DataFrame, keys, value: str, names: list[str],
     keyed, keys_ = (hist, keys) if keys else (hist.withColumn("__all", F.lit(1)), ["__all"])
     cuts = F.percentile_approx(value, [i / ranges for i in range(1, ranges)], 4 * ranges)
     edges = keyed.groupBy(*keys_).agg(cuts.alias("__edges"))
-    cut = keyed.join(edges, keys_).withColumn("__range", F.lit(0))
+    few = set(keys) <= NAMED_KEYS  # then one small row per configured name: no shuffle of the histogram
+    cut = keyed.join(F.broadcast(edges) if few else edges, keys_).withColumn("__range", F.lit(0))
     step = ranges // 2
     while step:  # number of edges below the value: unrolled binary search over ranges - 1 edges
         probe = F.get("__edges", F.col("__range") + (step - 1))
@@ -80,7 +82,7 @@ def running_counts(hist: DataFrame, keys, value: str, names: list[str],
     out = cut.select(
         *keys_, "__range", value, *names,
         *[F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(f"__{c}_in") for c in names],
-    ).join(offsets, [*keys_, "__range"])
+    ).join(F.broadcast(offsets) if few else offsets, [*keys_, "__range"])
     return out.select(
         *keys, value, *names,
         *[(F.col(f"__{c}_off") + F.col(f"__{c}_in")).alias(f"{c}_before") for c in names],
