@@ -8,6 +8,7 @@ from veiltab.functions.hashing import uniform
 from veiltab.operators import cohort as C
 from veiltab.operators import model as ML
 from veiltab.operators import perturb as N
+from veiltab.operators import ranks as R
 from veiltab.operators import select as S
 from veiltab.operators import synth as Y
 from veiltab.plans.recipes import RECIPES, run_recipe
@@ -73,7 +74,9 @@ def test_copula_keeps_values_and_correlation(people):
         assert abs(was - now) < 0.12
 
 
-def test_quantile_map_onto_itself_is_identity(people):
+@pytest.mark.parametrize("hot_rows", [1_000_000, 20])
+def test_quantile_map_onto_itself_is_identity(people, monkeypatch, hot_rows):
+    monkeypatch.setattr(R, "HOT_ROWS", hot_rows)
     out = Y.quantile_map(people, people, ["GENDER"], ["AGE", "mean_weight"], ["AGE"])
     assert rows(out.select("row_id", F.col("AGE").cast("int"), F.round("mean_weight", 6))) == rows(
         people.select("row_id", F.col("AGE").cast("int"), F.round("mean_weight", 6)))

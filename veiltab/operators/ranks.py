@@ -22,6 +22,7 @@ HASH_RANGES = 1024     # hash ranges per group in hash_rank
 ORDER_RANGES = 64      # order ranges when searching the n-th row or ranking by a value
 LAST_SLICE_ROWS = 500_000  # a slice this small is sorted to find the n-th row; larger ones are cut again
 NAMED_KEYS = {"column", "metric"}  # keys whose values are names given by the caller, never data
+HOT_ROWS = 1_000_000   # rows of one value from which it is matched without a shuffle
 TAKE_ORDERED_MAX = 5000  # largest n answered by a bounded take-ordered
 
 
@@ -90,6 +91,22 @@ def running_counts(hist: DataFrame, keys, value: str, names: list[str],
     )
 
 
+def attach_by_value(rows: DataFrame, hist: DataFrame, keys, value: str, add: list[str], row_id: str) -> DataFrame:
+    """Bring histogram results (``hist``: keys, value, n, ``add`` columns) back to the rows.
+
+    Values with at least HOT_ROWS rows number at most rows / HOT_ROWS; they are broadcast and
+    matched where the rows are. Their rows then carry a salt that no other entry has, so the
+    shuffled join of the remaining values never gathers a hot value in one task.
+    """
+    on = [*_as_list(keys), value]
+    hot = hist.filter(F.col("n") >= HOT_ROWS).select(*on, F.lit(True).alias("__hot"), *[F.col(c).alias(f"__h_{c}") for c in add])
+    cold = hist.filter(F.col("n") < HOT_ROWS).select(*on, F.lit(0).alias("__salt"), *add)
+    tagged = rows.join(F.broadcast(hot), on, "left").withColumn(
+        "__salt", F.when(F.col("__hot"), 1 + F.pmod(F.xxhash64(row_id), F.lit(1024))).otherwise(0).cast("int"))
+    out = tagged.join(cold, [*on, "__salt"], "left")
+    return out.select(*rows.columns, *[F.coalesce(F.col(f"__h_{c}"), F.col(c)).alias(c) for c in add])
+
+
 def mid_ranks(df: DataFrame, keys, value: str) -> DataFrame:
     """Average rank of ties: one row per (keys, value) with ``n`` and ``mid_rank``."""
     return cumulative_counts(df, keys, value).withColumn(

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from veiltab.functions.clean import range_clip
 from veiltab.functions.hashing import gaussian
 from veiltab.functions.special import normal_cdf, normal_quantile
-from veiltab.operators.ranks import cumulative_counts, exact_quantiles
+from veiltab.operators.ranks import attach_by_value, cumulative_counts, exact_quantiles
 
 ROW = "row_id"
 STEP = 64  # order-statistic positions per lookup bucket
@@ -63,9 +63,9 @@ def quantile_map(new: DataFrame, src: DataFrame, keys: list[str], cols: list[str
     stats = order_statistics(long_src.filter(F.col("value").isNotNull()), k, "value")
     sizes = stats.groupBy(*k).agg(F.max("m").alias("m"))
     r = (F.col("n_before") + (F.col("n") - 1) / 2.0) / F.greatest(F.col("n_total") - 1, F.lit(1))
-    asked = ranks.join(sizes, k).select(*k, "value", F.round(r * (F.col("m") - 1), 9).alias("pos")).withColumnRenamed("value", "new")
+    asked = ranks.join(sizes, k).select(*k, "value", "n", F.round(r * (F.col("m") - 1), 9).alias("pos")).withColumnRenamed("value", "new")
     mapped = at_positions(asked, stats, k, "pos", F.col("column").isin(integers), "mapped")
-    back = long_new.join(mapped.withColumnRenamed("new", "value").drop("pos"), [*k, "value"])
+    back = attach_by_value(long_new, mapped.withColumnRenamed("new", "value").drop("pos"), k, "value", ["mapped"], row_id)
     return _wide(new, back, "mapped", cols, row_id)
 
 
@@ -109,8 +109,8 @@ def normal_scores(df: DataFrame, keys: list[str], cols: list[str], row_id: str =
     long = _long(df, [row_id, *keys], cols)
     mid = F.col("n_before") + (F.col("n") + 1) / 2.0
     p = range_clip((mid - 0.5) / (F.col("n_total") + 1.0), 1e-6, 1 - 1e-6)
-    z = cumulative_counts(long, k, "value").select(*k, "value", normal_quantile(p).alias("z"))
-    scored = long.join(z, [*k, "value"], "left").withColumn("z", F.coalesce("z", F.lit(0.0)))
+    z = cumulative_counts(long, k, "value").select(*k, "value", "n", normal_quantile(p).alias("z"))
+    scored = attach_by_value(long, z, k, "value", ["z"], row_id).withColumn("z", F.coalesce("z", F.lit(0.0)))
     return scored.groupBy(row_id, *keys).pivot("column", cols).agg(F.first("z"))
 
 
