@@ -50,9 +50,13 @@ Q1 = "(SELECT least(round_even(150*avg(CASE WHEN p>=0.5 THEN 1.0 ELSE 0 END),0),
 Q0 = "(SELECT least(150-round_even(150*avg(CASE WHEN p>=0.5 THEN 1.0 ELSE 0 END),0),sum(1-y)) FROM loss)"
 
 
+QUOTA = (f"qt AS (SELECT row_id FROM loss WHERE row_id IN {marked('loss', Q1, 'y=1')} OR row_id IN {marked('loss', Q0, 'y=0')})")
+
+
 @query("class_quota_top_k", with_sql(f"""
-SELECT row_id, CAST(row_id IN {marked('loss', Q1, 'y=1')} OR row_id IN {marked('loss', Q0, 'y=0')} AS INT) AS mark FROM loss""",
-    SCORES_SQL, LOSS))
+SELECT row_id, CAST(row_id IN (SELECT row_id FROM qt)
+  OR row_id IN {marked('loss', '(SELECT 150-count(*) FROM qt)', 'row_id NOT IN (SELECT row_id FROM qt)')} AS INT) AS mark FROM loss""",
+    SCORES_SQL, LOSS, QUOTA))
 def _(spark, sf):
     return S.class_quota_top_k(losses(spark, sf), "loss", 150).select("row_id", "mark")
 

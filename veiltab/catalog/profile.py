@@ -37,15 +37,15 @@ def grid_sql(levels, name="grid", col="column"):
 RANGES_SQL = 'rng AS (SELECT "column", min(value) AS lo, max(value) AS hi FROM long GROUP BY 1)'
 SCALED_SQL = ("scaled AS (SELECT long.*, CASE WHEN hi=lo THEN 0.0 ELSE (value-lo)/(hi-lo) END AS x "
               "FROM long JOIN rng USING (\"column\"))")
-STATS_SQL = ("round(avg(x),6) AS mean, round(CASE WHEN count(x)>1 THEN stddev_samp(x) END,6) AS std, "
-             "round(quantile_cont(x,0.25),6) AS p25, round(quantile_cont(x,0.5),6) AS p50, "
-             "round(quantile_cont(x,0.75),6) AS p75")
+STATS_SQL = ("round(avg(x),9) AS mean, round(CASE WHEN count(x)>1 THEN stddev_samp(x) END,9) AS std, "
+             "round(quantile_cont(x,0.25),9) AS p25, round(quantile_cont(x,0.5),9) AS p50, "
+             "round(quantile_cont(x,0.75),9) AS p75")
 
 
 @query("describe_scaled", with_sql(
     f'SELECT "column", {STATS_SQL} FROM scaled GROUP BY 1', long_sql(NUMERIC), RANGES_SQL, SCALED_SQL))
 def _(spark, sf):
-    return rounded(P.describe_scaled(subject(spark, sf), NUMERIC))
+    return rounded(P.describe_scaled(subject(spark, sf), NUMERIC), 9)
 
 
 @query("category_ratio", with_sql(f"""
@@ -98,7 +98,7 @@ LEFT JOIN (SELECT cat, level, "column", {STATS_SQL} FROM (
     GROUPED_SQL, long_sql(GD_COLS, "grouped", list(GD_LEVELS)), RANGES_SQL, SCALED_SQL,
     grid_sql(GD_LEVELS, col="cat")))
 def _(spark, sf):
-    return rounded(P.group_describe(grouped(spark, sf), GD_LEVELS, GD_COLS))
+    return rounded(P.group_describe(grouped(spark, sf), GD_LEVELS, GD_COLS), 9)
 
 
 @query("pearson_matrix", with_sql("\nUNION ALL ".join(
