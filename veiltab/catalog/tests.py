@@ -59,9 +59,6 @@ def _(spark, sf):
     return rounded(R.kruskal_wallis(grouped(spark, sf), KW, F.col("age_group"), AGE_LABELS))
 
 
-SIZE_TEXT = "'; '.join"
-
-
 @query("kruskal_wallis_report", "WITH " + kw_sql(
     with_sql("", GROUPED_SQL, SUBJECT_LONG)[5:].rstrip(), AGE_LABELS,
     "(SELECT string_agg(lab||':'||coalesce(n,0)::BIGINT, '; ' ORDER BY ord) FROM (VALUES "
