@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 #: A side is broadcast only below this many rows of a few fixed-width or short columns.
 BROADCAST_ROWS = 200_000
 #: Bytes of text one in-memory table or Arrow batch list may hold.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
+#: Rows Spark hands to Python at a time: a batch of texts has no byte bound of its own.
+BATCH_ROWS = 500
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -48,6 +50,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, after lowering the session's Arrow batch to at most ``BATCH_ROWS`` rows."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(key)) <= BATCH_ROWS:
+        df.sparkSession.conf.set(key, str(BATCH_ROWS))
+    return df
+
+
 def text_of(column: str = "text") -> Column:
     """The text; a null text counts as empty."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
