@@ -11,11 +11,11 @@ from veiltab.llm.tokens import UnitEncoder  # noqa: E402
 FILES = [("word_bpe_49k.json", "drop"), ("byte_bpe_50k.json", "prefix")]
 ENCODERS = {f: UnitEncoder(public.path(f), s) for f, s in FILES}
 PIECE = st.sampled_from(["a", "The", "word", "été", "don't", "'s", "'", "x's", " ", "  ", "\n", "\n\n", "\t", ".", ",", "!!", "42", "<|endoftext|>", "<|", "́", "H̱", "İ",
-                         "Σ", " ", " ", "\x1c", "\x1f", "漢字", "🙂", "&&&", "-", "_", "ﬁ", "é", "3.14", "ᾳ", "ʰ", "²", "\u0958", "\u0344"])
+                         "Σ", " ", " ", "\x1c", "\x1f", "漢字", "🙂", "&&&", "-", "_", "ﬁ", "é", "3.14", "ᾳ", "ʰ", "²", "\u0958", "\u0344", "\xa0", "\u2003", "\r\n"])
 
 
 @pytest.mark.parametrize("file", [f for f, _ in FILES])
-@settings(max_examples=1500, deadline=None)
+@settings(max_examples=2500, deadline=None)
 @given(texts=st.lists(st.lists(PIECE, max_size=12).map("".join), min_size=1, max_size=4))
 def test_units_equal_whole(file, texts):
     enc = ENCODERS[file]

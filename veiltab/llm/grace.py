@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veiltab.llm.common import BATCH_BYTES, attach, text_of, written
+from veiltab.llm.common import BATCH_BYTES, attach, small_batches, text_of, written
 
 TABLE_BYTES = 48 << 20   # distinct content one task's table may hold
 BUCKET_BYTES = 24 << 20  # aimed size of a bucket
@@ -106,7 +106,7 @@ def _table_pass(final: bool, limit: int):
 
 def content_classes(docs: DataFrame, text: str = "text", id_col: str = "doc_id", table_bytes: int = TABLE_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """One row per distinct content: ``sha256, keep, n, n_keep`` (``n_keep``: rows with the id ``keep``)."""
-    records = docs.select(F.xxhash64(text_of(text)).alias("hash"), text_of(text).cast("binary").alias("content"), F.col(id_col).cast("long").alias("keep"),
+    records = small_batches(docs).select(F.xxhash64(text_of(text)).alias("hash"), text_of(text).cast("binary").alias("content"), F.col(id_col).cast("long").alias("keep"),
                           F.lit(1).cast("long").alias("n"), F.lit(1).cast("long").alias("n_keep"))
     held = docs.agg(F.sum(F.octet_length(text_of(text)) + 64)).first()[0] or 0
     records = records.mapInArrow(_table_pass(False, table_bytes // 2), OUT).drop("sha256")

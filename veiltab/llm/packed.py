@@ -30,11 +30,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veiltab.llm.common import scratch_path, sliced, text_of
+from veiltab.llm.common import scratch_path, sliced, small_batches, text_of
 from veiltab.llm.tokens import encoder
 
 BLOCK_IDS = 1 << 18
-SHARD_BYTES = 128 << 20  # aimed text bytes of a shard
+SHARD_BYTES = 48 << 20  # aimed text bytes of a shard
 BLOCKS = "shard int, block int, first long, n_ids long, bits int, doc_ids array<long>, ends array<int>, payload binary"
 
 
@@ -75,7 +75,7 @@ def unpack(payload: bytes, bits: int, start: int, stop: int) -> np.ndarray:
 def write_ids(docs: DataFrame, tokenizer: str, vocabulary: int, end_id: int, spaces: str = "drop", path: str | None = None, text: str = "text", id_col: str = "doc_id") -> str:
     """Encode every text, add ``end_id``, write the packed data set and return its folder."""
     path = path or scratch_path(docs.sparkSession, "ids")
-    bits = bits_for(vocabulary)
+    bits, docs = bits_for(vocabulary), small_batches(docs)
     size = docs.agg(F.sum(F.octet_length(text_of(text)))).first()[0] or 0
     shards = max(docs.sparkSession.sparkContext.defaultParallelism, -(-size // SHARD_BYTES))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text).alias("text")).withColumn("_h", F.xxhash64("text"))

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veiltab.llm.common import sliced, text_of, written
+from veiltab.llm.common import sliced, small_batches, text_of, written
 from veiltab.llm.tokens import encoder
 
 LIMIT = 1024
@@ -52,7 +52,7 @@ def cut(docs: DataFrame, tokenizer: str, end_id: int, spaces: str = "prefix", li
 
     schema = pa.schema([("part", pa.int32()), ("nth", pa.int64()), ("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int32()), ("ids_crc32", pa.int64()),
                         *([("ids", pa.binary())] if with_ids else [])])
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text).alias("text"))
+    source = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), text_of(text).alias("text"))
     return written(source.mapInArrow(run, "part int, nth long, doc_id long, piece int, start long, length int, ids_crc32 long" + extra), "pieces")
 
 

@@ -14,7 +14,7 @@ import string
 import struct
 import unicodedata
 
-KEPT_UNITS = 1_000_000  # units a worker remembers (about 200 bytes each); beyond, it forgets all and starts anew
+KEPT_UNITS = 500_000  # units a worker remembers (about 200 bytes each); beyond, it forgets all and starts anew
 _TAIL = frozenset(string.punctuation) - {"'"}
 _KEPT: dict[tuple[str, str], UnitEncoder] = {}
 
@@ -43,9 +43,10 @@ class UnitEncoder:
                 text = text.lower()
             return text.replace("\n", " ").split(" ")
         padded = f"\n{text}\n"
-        if not any(x in padded for x in ("  ", " \n", "\n ", "\n\n")):
+        lines = text.split("\n")
+        if not any(x in padded for x in ("  ", " \n", "\n ", "\n\n")) and not any(x[0].isspace() or x[-1].isspace() for x in lines):
             keys: list[str] = []
-            for line in text.split("\n"):
+            for line in lines:
                 words = line.split(" ")
                 words[0] = "\n" + words[0]
                 keys += words
