@@ -33,7 +33,8 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, limit
     """One row per source of ``sizes(source, size)``: rows, words, target and copies expected of each document.
 
     Targets are weight x level, stopped at ``limit`` x words. Sources sorted by limit / weight are stopped one after the other;
-    the level that spreads the rest over the sources not yet stopped is right for the first source it does not stop.
+    the level that spreads the rest over the sources not yet stopped is right for the first source it does not stop; later
+    levels are lower, so it is the greatest level not above its own source's ratio.
     """
     per_source = sizes.groupBy("source").agg(F.count("*").alias("source_rows"), F.sum("size").alias("source_size"))
     # one row per source from here on: the pre-aggregated table is what the global order is taken of
@@ -45,17 +46,17 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, limit
     before, rest = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(0, Window.unboundedFollowing)
     everything = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     levelled = (weighted.withColumn("_level", (F.sum("source_size").over(everything) * F.lit(share) - F.coalesce(F.sum("_cap").over(before), F.lit(0))) / F.sum("weight").over(rest))
-                .withColumn("_final", F.min(F.when(F.col("_level") <= F.col("_ratio"), F.col("_level"))).over(everything)))
+                .withColumn("_final", F.max(F.when(F.col("_level") <= F.col("_ratio"), F.col("_level"))).over(everything)))
     target = F.least(F.col("_cap").cast("double"), F.col("weight") * F.coalesce("_final", F.col("_ratio")))
     return levelled.select("source", "source_rows", "source_size", target.alias("target"),
                            F.when(F.col("source_size") > 0, F.least(F.lit(float(limit)), target / F.col("source_size"))).otherwise(F.lit(0.0)).alias("copies_each"))
 
 
 def with_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", seed: str = "mix", **options) -> DataFrame:
-    """``docs`` with ``_size, _source_size, _target, _copies`` added to every row."""
-    rows = docs.select(*[F.col(f"`{c}`") for c in docs.columns], F.col(id_col).cast("long").alias("_id"), word_count(text).alias("_size"),
+    """Every row of ``docs`` as struct ``row``, with its ``size, source_size, target, copies``."""
+    rows = docs.select(F.struct("*").alias("row"), F.col(source).cast("string").alias("_source"), F.col(id_col).cast("long").alias("_id"), word_count(text).alias("_size"),
                        F.coalesce(F.concat(F.lit("s"), F.col(source).cast("string")), F.lit("n")).alias("_key"))
-    targets = written(source_targets(rows.select(F.col(source).cast("string").alias("source"), F.col("_size").alias("size")), **options).select(
+    targets = written(source_targets(rows.select(F.col("_source").alias("source"), F.col("_size").alias("size")), **options).select(
         F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")).alias("_key"), F.col("source_rows").alias("_source_rows"),
         F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), F.col("copies_each").alias("_each")), "mix-targets")
     placed = attach(rows, targets, ["_key"], "inner", salt_by=F.struct("_id", "_size"))
@@ -67,12 +68,12 @@ def with_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sou
     turned = F.when(F.col("_slot") % 2 == 0, F.col("_size")).otherwise(-F.col("_size"))
     ranked = (placed.withColumn("_rank", F.row_number().over(Window.partitionBy("_key", "_slot").orderBy(turned, "_id")))
               .join(starts, ["_key", "_slot"]))
-    offset = draw(f"{seed}/offset", F.col(source))
+    offset = draw(f"{seed}/offset", F.col("_source"))
     reached = lambda k: F.floor((F.col("_first") + F.col("_rank") - 1 + k) * F.col("_each") + offset)
-    return ranked.withColumn("_copies", (reached(1) - reached(0)).cast("long")).drop("_key", "_slot", "_first", "_rank", "_source_rows", "_each", "_id")
+    return ranked.select("row", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (reached(1) - reached(0)).cast("long").alias("copies"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", seed: str = "mix", **options) -> DataFrame:
     """The mixed corpus: each row of ``docs`` as many times as it is drawn, with its own columns."""
-    drawn = with_copies(docs, id_col, text, source, seed, **options).where("_copies > 0")
-    return drawn.withColumn("_nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    drawn = with_copies(docs, id_col, text, source, seed, **options).where("copies > 0")
+    return drawn.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")

@@ -6,8 +6,7 @@ from veiltab.llm.mixing import with_copies
 
 def op9_mix_systematic(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
-    return with_copies(docs).select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"),
-                                    (F.col("_copies") * F.col("_size")).alias("taken"))
+    return with_copies(docs).select("row.doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def _draw(salt: str, *cols: str) -> str:
@@ -23,7 +22,7 @@ w AS (SELECT *, 1.0::DOUBLE + ((row_number() OVER (ORDER BY source NULLS LAST) -
 c AS (SELECT *, 3 * words AS cap, 3 * words / weight AS ratio FROM w),
 l AS (SELECT *, (CAST(sum(words) OVER () AS DOUBLE) - coalesce(sum(cap) OVER (ORDER BY ratio, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
       / sum(weight) OVER (ORDER BY ratio, place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM c),
-t AS (SELECT *, least(CAST(cap AS DOUBLE), weight * coalesce(min(CASE WHEN level <= ratio THEN level END) OVER (), ratio)) AS target FROM l),
+t AS (SELECT *, least(CAST(cap AS DOUBLE), weight * coalesce(max(CASE WHEN level <= ratio THEN level END) OVER (), ratio)) AS target FROM l),
 e AS (SELECT *, CASE WHEN words > 0 THEN least(3.0::DOUBLE, target / words) ELSE 0.0::DOUBLE END AS each FROM t),
 p AS (SELECT d.doc_id, d.source, d.size, e.words, e.target, e.each,
       CAST(floor({_draw("mix/slot", "d.doc_id", "d.size")} * ceil(e.n / 4096)) AS BIGINT) AS slot FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source),
