@@ -249,7 +249,7 @@ def common(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.nd
         for c, f in enumerate(part):
             matrix[owner[starts[f]:starts[f] + times[f]], c] = 1
         counts += matrix @ matrix.T
-    return np.where(left < right, counts[np.minimum(left, right), np.maximum(left, right)], counts[left, right]).astype(np.int64)
+    return counts[np.minimum(left, right), np.maximum(left, right)].astype(np.int64)
 
 
 def _verify(threshold: float):
