@@ -23,24 +23,24 @@ def _(spark, sf):
 
 def pairs_sql(share, part):
     return f"""pr AS (SELECT *, row_number() OVER (PARTITION BY {part} ORDER BY {u_sql('pairs')}, row_id) AS rn
- FROM b WHERE {u_sql('pairs/in')}<{share})"""
+ FROM (SELECT *, row_number() OVER (ORDER BY {u_sql('pairs/in')}, row_id) AS pl, count(*) OVER () AS al FROM b) z WHERE pl<=2*floor(al*{share}))"""
 
 
 @query("swap_records", q("""
 SELECT b.row_id, CASE WHEN o.row_id IS NOT NULL THEN o.n_orders ELSE b.n_orders END AS n_orders,
  CASE WHEN o.row_id IS NOT NULL THEN o.n_items ELSE b.n_items END AS n_items
-FROM b LEFT JOIN pr ON pr.row_id=b.row_id LEFT JOIN pr o ON o.rn=CASE WHEN pr.rn%2=1 THEN pr.rn+1 ELSE pr.rn-1 END""", pairs_sql(0.06, "1")))
+FROM b LEFT JOIN pr ON pr.row_id=b.row_id LEFT JOIN pr o ON o.rn=CASE WHEN pr.rn%2=1 THEN pr.rn+1 ELSE pr.rn-1 END""", pairs_sql(0.03, "1")))
 def _(spark, sf):
-    return C.swap_records(base(spark, sf).select("row_id", "n_orders", "n_items"), ["n_orders", "n_items"], 0.06)
+    return C.swap_records(base(spark, sf).select("row_id", "n_orders", "n_items"), ["n_orders", "n_items"], 0.03)
 
 
 @query("swap_records_similar", q("""
 SELECT b.row_id, CASE WHEN o.row_id IS NOT NULL THEN o.n_orders ELSE b.n_orders END AS n_orders
 FROM b LEFT JOIN pr ON pr.row_id=b.row_id LEFT JOIN pr o ON o.region=pr.region AND floor(o.age/5)=floor(pr.age/5)
- AND o.rn=CASE WHEN pr.rn%2=1 THEN pr.rn+1 ELSE pr.rn-1 END""", pairs_sql(0.3, "region, floor(age/5)")))
+ AND o.rn=CASE WHEN pr.rn%2=1 THEN pr.rn+1 ELSE pr.rn-1 END""", pairs_sql(0.15, "region, floor(age/5)")))
 def _(spark, sf):
     df = base(spark, sf).select("row_id", "region", "age", "n_orders")
-    return C.swap_records(df, ["n_orders"], 0.3, [F.col("region"), F.floor(F.col("age") / 5)]).select("row_id", "n_orders")
+    return C.swap_records(df, ["n_orders"], 0.15, [F.col("region"), F.floor(F.col("age") / 5)]).select("row_id", "n_orders")
 
 
 @query("record_pair_join", q(f"""

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from veiltab.functions.hashing import gaussian, uniform
 from veiltab.operators import fit
+from veiltab.operators.joins import attach_groups, group_name, keyed_join
 from veiltab.operators.ranks import hash_rank, id_rank, sliced_rank
+from veiltab.session import materialize
 
 ROW = "row_id"
 
@@ -38,13 +40,15 @@ def swap_between_cohorts(df: DataFrame, c: str, a: Column, b: Column, share: flo
 
 def swap_records(df: DataFrame, cols: list[str], share: float, group: list[Column] | None = None,
                  salt: str = "pairs", row_id: str = ROW) -> DataFrame:
-    """Exchange ``cols`` inside disjoint random pairs covering ``share`` of the rows.
+    """Exchange ``cols`` inside exactly floor(``share`` x rows) disjoint random pairs.
 
-    With ``group`` (for example sex and a five-year age band) partners come from one group.
+    The rows are the first twice as many of a hashed order. With ``group`` (for example sex and a five-year age
+    band) partners come from one group; a row left without one stays as it is.
     """
     keys = {f"__g{i}": g for i, g in enumerate(group or [])}
     base = df.select(row_id, *cols, *[g.alias(k) for k, g in keys.items()])
-    chosen = base.filter(uniform(salt + "/in", row_id) < share)
+    n = 2 * int(df.count() * share)
+    chosen = hash_rank(base, [], salt + "/in", row_id, out="__in").filter(F.col("__in") <= n).drop("__in")
     ranked = hash_rank(chosen, list(keys), salt, row_id)
     partner = F.when(F.col("rn") % 2 == 1, F.col("rn") + 1).otherwise(F.col("rn") - 1)
     other = ranked.select(partner.alias("__p"), *[F.col(k).alias(f"{k}o") for k in keys],
@@ -98,11 +102,8 @@ def permute_within_group_columns(df: DataFrame, keys: list[str], cols: list[str]
 
 
 def _null_safe_join(places: DataFrame, values: DataFrame, keys: list[str], row_id: str, cols: list[str]) -> DataFrame:
-    right = values.select(F.col("rn").alias("__rn"), *[F.col(k).alias(f"__r_{k}") for k in keys], *cols)
-    on = F.col("rn") == F.col("__rn")
-    for k in keys:
-        on = on & F.col(k).eqNullSafe(F.col(f"__r_{k}"))
-    return places.select(row_id, "rn", *keys).join(right, on).select(F.col(row_id).alias("__rid"), *cols)
+    found = keyed_join(places.select(row_id, "rn", *keys), values.select("rn", *keys, *cols), ["rn", *keys])
+    return found.select(F.col(row_id).alias("__rid"), *cols)
 
 
 def assign_tiers(df: DataFrame, tiers: list[list[str]], min_size: int, prob: float = 1.0,
@@ -115,12 +116,13 @@ def assign_tiers(df: DataFrame, tiers: list[list[str]], min_size: int, prob: flo
     for i, t in enumerate(tiers):
         left = F.when(F.col("__tier").isNull(), F.col("__n")).otherwise(0)
         name = F.concat_ws("|", F.lit(str(i)), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in t])
+        group = F.concat_ws("|", F.lit(str(i)), group_name(t)) if t else F.lit(str(i))
         size = F.sum(left).over(Window.partitionBy(*t)) if t else F.lit(cube.agg(F.sum(left)).first()[0] or 0)
         hit = F.col("__tier").isNull() & (size >= min_size)
         if prob < 1.0:
             hit = hit & (uniform(salt, name) < prob)
         cube = cube.withColumn("__hit", hit).withColumns({
-            "__group": F.when(F.col("__hit"), name).otherwise(F.col("__group")),
+            "__group": F.when(F.col("__hit"), group).otherwise(F.col("__group")),
             "__tier": F.when(F.col("__hit"), i).otherwise(F.col("__tier"))}).drop("__hit")
     return cube.drop("__n")
 
@@ -130,12 +132,8 @@ def permute_within_group_block(df: DataFrame, tiers: list[list[str]], cols: list
     """One permutation for all ``cols``, in the first tier that can take the row; rows that no
     tier takes keep their values. The key columns of the tiers are not altered by the grouping."""
     keys = sorted({c for t in tiers for c in t})
-    tier = assign_tiers(df, tiers, min_size, prob, salt).select(
-        *[F.col(k).alias(f"__k_{k}") for k in keys], "__group")
-    on = F.lit(True)
-    for k in keys:
-        on = on & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
-    grouped = df.join(tier, on).filter(F.col("__group").isNotNull()).select(row_id, *cols, "__group")
+    tier = assign_tiers(df, tiers, min_size, prob, salt).select(*keys, "__group")
+    grouped = attach_groups(df, tier, keys, "inner").filter(F.col("__group").isNotNull()).select(row_id, *cols, "__group")
     places = hash_rank(grouped.select(row_id, "__group"), "__group", f"{salt}/base", row_id)
     values = hash_rank(grouped, "__group", f"{salt}/value", row_id).drop(row_id)
     changed = places.join(values, ["rn", "__group"])
@@ -151,9 +149,9 @@ def permute_local(df: DataFrame, keys: list[str], cols: list[str], window: float
     """
     ranked = id_rank(df.select(row_id, *cols, *keys), keys, row_id)
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__size"))
-    name = F.concat_ws("|", *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys])
+    name = F.concat_ws("|", *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys])  # names a draw, not a group
     w = F.least(F.greatest(F.lit(3), F.floor(F.col("__size") * window)), F.col("__size"))
-    placed = ranked.join(sizes, keys).withColumn("__w", w)
+    placed = attach_groups(ranked, sizes, keys, "inner").withColumn("__w", w)
     shift = F.when(F.col("__w") > 1, 1 + F.floor(uniform(f"{salt}/shift", name) * (F.col("__w") - 1))).otherwise(0)
     to = F.pmod(F.col("rn") - 1 - shift, F.col("__size")) + 1
     targets = placed.select(row_id, *keys, to.alias("__place"))
@@ -162,7 +160,7 @@ def permute_local(df: DataFrame, keys: list[str], cols: list[str], window: float
     moved = placed.withColumn("__at", F.col("rn") + jitter)
     values = sliced_rank(moved, keys, F.floor(F.col("__at") / 4096), ["__at", row_id], "__place").select(
         *keys, "__place", *cols)
-    return _overlay(df, targets.join(values, [*keys, "__place"]), cols, row_id)
+    return _overlay(df, keyed_join(targets, values, [*keys, "__place"]), cols, row_id)
 
 
 def convex_mix(df: DataFrame, keys: list[str], cols: list[str], k: int = 3, noise: float = 0.08,
@@ -174,17 +172,17 @@ def convex_mix(df: DataFrame, keys: list[str], cols: list[str], k: int = 3, nois
     """
     ranked = hash_rank(df.select(row_id, *keys, *[F.col(c).cast("double").alias(c) for c in cols]),
                        keys, f"{salt}/order", row_id)
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__size"),
-                                  *[F.stddev_pop(F.col(c).cast("double")).alias(f"__s_{c}") for c in cols])
+    sizes = materialize(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__size"),
+                                  *[F.stddev_pop(F.col(c).cast("double")).alias(f"__s_{c}") for c in cols]))
     start = F.floor(uniform(f"{salt}/start", row_id) * F.col("__size"))
-    wanted = df.select(row_id, *keys).join(sizes.select(*keys, "__size"), keys).select(
+    wanted = attach_groups(df.select(row_id, *keys), sizes.select(*keys, "__size"), keys, "inner").select(
         row_id, *keys, F.explode(F.sequence(F.lit(0), F.least(F.lit(k), F.col("__size").cast("int")) - 1)).alias("__j"),
         start.alias("__start"), "__size").select(
         row_id, *keys, "__j", (F.pmod(F.col("__start") + F.col("__j"), F.col("__size")) + 1).alias("rn"))
     weight = uniform(F.concat(F.lit(f"{salt}/w/"), F.col("__j").cast("string")), row_id)
-    parts = wanted.withColumn("__wt", weight).join(ranked.drop(row_id), [*keys, "rn"])
+    parts = wanted.withColumn("__wt", weight).transform(keyed_join, ranked.drop(row_id), [*keys, "rn"])
     mixed = parts.groupBy(row_id, *keys).agg(*[
         F.try_divide(F.sum(F.col(c) * F.col("__wt")), F.sum("__wt")).alias(c) for c in cols])
-    noisy = mixed.join(sizes, keys).select(row_id, *[
+    noisy = attach_groups(mixed, sizes, keys, "inner").select(row_id, *[
         (F.col(c) + gaussian(f"{salt}/{c}", row_id) * noise * F.col(f"__s_{c}")).alias(c) for c in cols])
-    return df.drop(*cols).join(noisy, row_id).select(*df.columns)
+    return df.drop(*cols).join(noisy, row_id, "left").select(*df.columns)

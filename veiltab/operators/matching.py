@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from veiltab.functions.hashing import SEED, uniform
 from veiltab.operators import fit
+from veiltab.operators.joins import attach_groups
 from veiltab.operators.neighbours import View, knn
 from veiltab.operators.ranks import first_n, ordered_rank
 from veiltab.operators.scale import quantile_bucket, quantile_edges, unit_rescale
@@ -27,8 +28,8 @@ def _best_hit(found: DataFrame) -> DataFrame:
 
 
 def _hit_order() -> Column:
-    """(distance, rank) as one number: distances are multiples of 1e-9, ranks stay below 100."""
-    return F.round(F.col("dist") * 1e3 + F.col("rank") * 1e-8, 8)
+    """(distance, rank) as one exact number: distances are multiples of 1e-9, ranks below 1e9 follow."""
+    return F.round(F.col("dist") * 1e9).cast("decimal(28,0)") * F.lit(1_000_000_000).cast("decimal(10,0)") + F.col("rank")
 
 
 def _take_ranked(hits: DataFrame, n: int) -> Column:
@@ -101,14 +102,14 @@ def block_knn_assign(a: DataFrame, c: DataFrame, n: int, k: int = 5, metric: str
 
     Both inputs carry ``part`` = block key.
     """
-    size = a.groupBy("part").agg(F.count(F.lit(1)).alias("n_a")).join(
-        c.groupBy("part").agg(F.count(F.lit(1)).alias("n_c")), "part").collect()
-    total = sum(min(r["n_a"], r["n_c"]) for r in size)
-    quota = {r["part"]: round(n * min(r["n_a"], r["n_c"]) / max(total, 1)) for r in size}
+    shared = materialize(a.groupBy("part").agg(F.count(F.lit(1)).alias("n_a")).join(
+        c.groupBy("part").agg(F.count(F.lit(1)).alias("n_c")), "part").select("part", F.least("n_a", "n_c").alias("both")))
+    total = max(shared.agg(F.sum("both")).first()[0] or 0, 1)
+    quota = shared.select("part", F.bround(F.col("both") * n / total).cast("long").alias("quota"))
     hits = materialize(knn(a, c, k, metric).groupBy("part", "id").agg(
         F.min(F.struct("dist", "rank")).alias("b")).select("part", "id", "b.dist", "b.rank"))
     ranked = ordered_rank(hits.withColumn("o", _hit_order()), "part", "o", "id")
-    marked = materialize(ranked.filter(F.col("rn") <= fit.lookup(F.col("part"), quota, 0)).select("id"))
+    marked = materialize(attach_groups(ranked, quota, ["part"]).filter(F.col("rn") <= F.coalesce("quota", F.lit(0))).select("id"))
     have = marked.count()
     if have < n:
         marked = marked.unionByName(fill_by_distance(a.drop("part"), c.drop("part"), marked, n - have, metric))

@@ -5,6 +5,7 @@ import json
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
@@ -83,11 +84,22 @@ def mixup(df: DataFrame, cols: list[str], y: str, ratio: float, alpha: float, sa
 # ---------------------------------------------------------------- logistic table
 
 def vif(df: DataFrame, cols: list[str]) -> dict[str, float]:
-    """Variance inflation factors: the diagonal of the inverse correlation matrix."""
+    """Variance inflation factors 1 / (1 - R^2) of each column on the others.
+
+    Infinite for a constant column and for one that the others determine.
+    """
     vec = VectorAssembler(inputCols=cols, outputCol="v").transform(df).select("v")
     m = Correlation.corr(vec, "v").first()[0].toArray()
-    inv = np.diag(np.linalg.pinv(m))
-    return {c: float(v) for c, v in zip(cols, inv)}
+    out = {}
+    for i, c in enumerate(cols):
+        rest = [j for j in range(len(cols)) if j != i and np.isfinite(m[i, j])]
+        if not np.isfinite(m[i]).any() or (len(cols) > 1 and not rest):
+            out[c] = float("inf")
+            continue
+        r, sub = m[i, rest], m[np.ix_(rest, rest)]
+        fit = float(r @ np.linalg.pinv(np.nan_to_num(sub), rcond=1e-10, hermitian=True) @ r) if rest else 0.0
+        out[c] = float("inf") if 1.0 - fit < 1e-9 else 1.0 / (1.0 - fit)
+    return out
 
 
 def fit_glm(df: DataFrame, cols: list[str], y: str):
@@ -244,7 +256,9 @@ def model_load(path: str, default_target: str | None = None) -> tuple[PipelineMo
     features, target = None, default_target
     try:
         note = spark.read.schema("feature_names string, target string").json(f"{path}/note").first()
-    except Exception:  # noqa: BLE001 - a model saved without its note is still usable
+    except AnalysisException as e:  # a model saved without its note is still usable
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         note = None
     if note:
         features, target = json.loads(note["feature_names"]), note["target"]

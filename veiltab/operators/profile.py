@@ -6,6 +6,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veiltab.operators.joins import group_name
 from veiltab.operators.ranks import column_quantiles, exact_quantiles, long_values
 from veiltab.schema import level_grid
 
@@ -268,7 +269,7 @@ def group_sizes_by_tier(df: DataFrame, tiers: list[list[str]]) -> DataFrame:
     cube = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("n"))
     keys = F.array(*[F.struct(
         F.lit(i).alias("tier"),
-        F.to_json(F.struct(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in t])).alias("key"))
+        group_name(t).alias("key"))
         for i, t in enumerate(tiers)])
     return (cube.select("n", F.inline(keys)).groupBy("tier", "key").agg(F.sum("n").alias("n"))
             .groupBy("tier").agg(F.min("n").alias("smallest"), F.count(F.lit(1)).alias("n_groups")))

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veiltab.functions.hashing import uniform
+from veiltab.operators.joins import keyed_join
 
 VALUE_RANGES = 64      # value ranges per key when cutting a histogram (a power of two)
 HASH_RANGES = 1024     # hash ranges per group in hash_rank
@@ -62,7 +63,7 @@ def running_counts(hist: DataFrame, keys, value: str, names: list[str],
     cuts = F.percentile_approx(value, [i / ranges for i in range(1, ranges)], 4 * ranges)
     edges = keyed.groupBy(*keys_).agg(cuts.alias("__edges"))
     few = set(keys) <= NAMED_KEYS  # then one small row per configured name: no shuffle of the histogram
-    cut = keyed.join(F.broadcast(edges) if few else edges, keys_).withColumn("__range", F.lit(0))
+    cut = keyed_join(keyed, F.broadcast(edges) if few else edges, keys_).withColumn("__range", F.lit(0))
     step = ranges // 2
     while step:  # number of edges below the value: unrolled binary search over ranges - 1 edges
         probe = F.get("__edges", F.col("__range") + (step - 1))
@@ -80,10 +81,11 @@ def running_counts(hist: DataFrame, keys, value: str, names: list[str],
     )
     inside = Window.partitionBy(*keys_, "__range").orderBy(value).rowsBetween(
         Window.unboundedPreceding, -1)
-    out = cut.select(
+    placed = cut.select(
         *keys_, "__range", value, *names,
         *[F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(f"__{c}_in") for c in names],
-    ).join(F.broadcast(offsets) if few else offsets, [*keys_, "__range"])
+    )
+    out = keyed_join(placed, F.broadcast(offsets) if few else offsets, [*keys_, "__range"])
     return out.select(
         *keys, value, *names,
         *[(F.col(f"__{c}_off") + F.col(f"__{c}_in")).alias(f"{c}_before") for c in names],
@@ -101,9 +103,9 @@ def attach_by_value(rows: DataFrame, hist: DataFrame, keys, value: str, add: lis
     on = [*_as_list(keys), value]
     hot = hist.filter(F.col("n") >= HOT_ROWS).select(*on, F.lit(True).alias("__hot"), *[F.col(c).alias(f"__h_{c}") for c in add])
     cold = hist.filter(F.col("n") < HOT_ROWS).select(*on, F.lit(0).alias("__salt"), *add)
-    tagged = rows.join(F.broadcast(hot), on, "left").withColumn(
+    tagged = keyed_join(rows, F.broadcast(hot), on, "left").withColumn(
         "__salt", F.when(F.col("__hot"), 1 + F.pmod(F.xxhash64(row_id), F.lit(1024))).otherwise(0).cast("int"))
-    out = tagged.join(cold, [*on, "__salt"], "left")
+    out = keyed_join(tagged, cold, [*on, "__salt"], "left")
     return out.select(*rows.columns, *[F.coalesce(F.col(f"__h_{c}"), F.col(c)).alias(c) for c in add])
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from veiltab.functions.clean import norm_flag, range_clip
 from veiltab.operators import fit
+from veiltab.operators.joins import attach_groups, keyed_join
 from veiltab.operators.ranks import exact_quantiles
 
 
@@ -105,9 +106,9 @@ def coarsen_rare_levels(df: DataFrame, c: str, min_count: int = 50, other: str =
     """
     keep = (df.groupBy(F.col(c).alias("__lv")).agg(F.count(F.lit(1)).alias("__n"))
             .filter(F.col("__n") >= min_count).select("__lv"))
-    return (df.join(keep, F.col(c).eqNullSafe(F.col("__lv")), "left")
-            .withColumn(c, F.when(F.col("__lv").isNotNull(), F.col(c)).otherwise(other))
-            .drop("__lv"))
+    return (attach_groups(df.withColumn("__lv", F.col(c)), keep.withColumn("__kept", F.lit(True)), ["__lv"])
+            .withColumn(c, F.when(F.col("__kept") & F.col(c).isNotNull(), F.col(c)).otherwise(other))
+            .drop("__lv", "__kept"))
 
 
 def group_medians(df: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
@@ -116,7 +117,7 @@ def group_medians(df: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
     med = exact_quantiles(long, [*keys, "column"], "value", {"m": 0.5})
     wide = med.groupBy(*keys).agg(*[F.max(F.when(F.col("column") == c, F.col("m"))).alias(f"__m_{c}") for c in cols])
     size = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__size"))
-    return size.join(wide, keys, "left")
+    return keyed_join(size, wide, keys, "left")
 
 
 def group_median_impute(df: DataFrame, limits: dict[str, tuple], keys: list[str], integer: bool = True) -> DataFrame:
@@ -124,7 +125,8 @@ def group_median_impute(df: DataFrame, limits: dict[str, tuple], keys: list[str]
     cols = list(limits)
     base = df.withColumns({c: F.when(_num(c).between(lo, hi), _num(c)) for c, (lo, hi) in limits.items()})
     mid = fit.medians(base, cols)
-    out = base.join(group_medians(base, keys, cols).drop("__size"), keys, "left")
+    known = group_medians(base, keys, cols).drop("__size").dropna(subset=keys)  # rows without a key take the global median
+    out = attach_groups(base, known, keys)
     fills = {}
     for c, (lo, hi) in limits.items():
         x = F.coalesce(F.col(c), F.col(f"__m_{c}"), F.lit(mid[c]).cast("double"), F.lit(float(lo)))
@@ -148,7 +150,7 @@ def hierarchical_impute(df: DataFrame, cols: list[str], tiers: list[list[str]],
     for i, keys in enumerate(t for t in tiers if t):
         g = group_medians(base, keys, cols).filter(F.col("__size") >= min_size).select(
             *keys, *[F.col(f"__m_{c}").alias(f"__t{i}_{c}") for c in cols])
-        out = out.join(g, keys, "left")
+        out = attach_groups(out, g, keys)
         for c in cols:
             fills[c].append(F.col(f"__t{i}_{c}"))
     exprs = {}

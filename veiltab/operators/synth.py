@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from veiltab.functions.clean import range_clip
 from veiltab.functions.hashing import gaussian
 from veiltab.functions.special import normal_cdf, normal_quantile
+from veiltab.operators.joins import attach_groups, keyed_join
 from veiltab.operators.ranks import attach_by_value, cumulative_counts, exact_quantiles
 
 ROW = "row_id"
@@ -63,7 +64,7 @@ def quantile_map(new: DataFrame, src: DataFrame, keys: list[str], cols: list[str
     stats = order_statistics(long_src.filter(F.col("value").isNotNull()), k, "value")
     sizes = stats.groupBy(*k).agg(F.max("m").alias("m"))
     r = (F.col("n_before") + (F.col("n") - 1) / 2.0) / F.greatest(F.col("n_total") - 1, F.lit(1))
-    asked = ranks.join(sizes, k).select(*k, "value", "n", F.round(r * (F.col("m") - 1), 9).alias("pos")).withColumnRenamed("value", "new")
+    asked = keyed_join(ranks, sizes, k, "left").select(*k, "value", "n", F.round(r * (F.col("m") - 1), 9).alias("pos")).withColumnRenamed("value", "new")
     mapped = at_positions(asked, stats, k, "pos", F.col("column").isin(integers), "mapped")
     back = attach_by_value(long_new, mapped.withColumnRenamed("new", "value").drop("pos"), k, "value", ["mapped"], row_id)
     return _wide(new, back, "mapped", cols, row_id)
@@ -83,7 +84,7 @@ def jitter_match(df: DataFrame, keys: list[str], cols: list[str], integers: list
                  salt: str = "jit", row_id: str = ROW) -> DataFrame:
     """N(0, noise) times the group's standard deviation, then mapped back onto the group's values."""
     sd = df.groupBy(*keys).agg(*[F.stddev_pop(F.col(c).cast("double")).alias(f"__s_{c}") for c in cols])
-    moved = df.join(sd, keys).withColumns({
+    moved = attach_groups(df, sd, keys).withColumns({
         c: F.round(F.col(c) + gaussian(f"{salt}/{c}", row_id) * noise * F.col(f"__s_{c}"), 9) for c in cols}
     ).select(*df.columns)
     return quantile_map(moved, df, keys, cols, integers, row_id)
@@ -135,12 +136,9 @@ def gaussian_copula_synth(df: DataFrame, keys: list[str], cols: list[str], integ
     each group's matrix runs in Python, on one row per group.
     """
     d = len(cols)
-    factor = rank_correlation(df, keys, cols, row_id).select(
-        *[F.col(k).alias(f"__k_{k}") for k in keys], _cholesky("corr").alias("__l"))
-    on = F.lit(True)
-    for k in keys:
-        on = on & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
-    g = df.select(row_id, *keys, F.array(*[gaussian(f"{salt}/{c}", row_id) for c in cols]).alias("__g")).join(factor, on)
+    factor = rank_correlation(df, keys, cols, row_id).select(*keys, _cholesky("corr").alias("__l"))
+    draws = df.select(row_id, *keys, F.array(*[gaussian(f"{salt}/{c}", row_id) for c in cols]).alias("__g"))
+    g = attach_groups(draws, factor, keys, "inner")
     # correlated normals: row i of the factor times the independent draws
     z = F.transform(F.sequence(F.lit(0), F.lit(d - 1)), lambda i: F.aggregate(
         F.sequence(F.lit(0), i), F.lit(0.0), lambda s, j: s + F.get("__l", i * d + j) * F.get("__g", j)))
@@ -150,7 +148,7 @@ def gaussian_copula_synth(df: DataFrame, keys: list[str], cols: list[str], integ
         normal_cdf(F.col("z")).alias("u"))
     stats = order_statistics(_long(df, keys, cols).filter(F.col("value").isNotNull()), k, "value")
     sizes = stats.groupBy(*k).agg(F.max("m").alias("m"))
-    asked = u.join(sizes, k).withColumn("pos", range_clip(F.col("u"), 0.0, 1.0) * (F.col("m") - 1)).drop("m", "u")
+    asked = attach_groups(u, sizes, k, "inner").withColumn("pos", range_clip(F.col("u"), 0.0, 1.0) * (F.col("m") - 1)).drop("m", "u")
     mapped = at_positions(asked, stats, k, "pos", F.col("column").isin(integers), "mapped")
     return _wide(df, mapped, "mapped", cols, row_id)
 
@@ -179,7 +177,7 @@ def logit_align(before: DataFrame, after: DataFrame, coef: dict[str, float], int
     moved = a.join(target, row_id).withColumn("__d", F.coalesce(F.col("__target") - F.col("logit"), F.lit(0.0)))
     lim = exact_quantiles(_long(before, group, continuous), [*group, "column"], "value", {"lo": 0.005, "hi": 0.995})
     wide = lim.groupBy(*group).pivot("column", continuous).agg(F.first("lo").alias("lo"), F.first("hi").alias("hi"))
-    out = moved.join(wide, group, "left")
+    out = attach_groups(moved, wide, group)
     exprs = {}
     for c, w in weight.items():
         x = F.col(c).cast("double") + F.col("__d") * (w / norm2)

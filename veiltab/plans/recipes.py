@@ -136,16 +136,17 @@ def _named(df, c, listed, label, salt="", row_id=ROW):
     return df.withColumn(c, clean.group_named(c, listed, label))
 
 
-def _by_group(fn: Callable) -> Callable:
-    """Coarsen rare levels, choose the group key, run ``fn(df, keys)`` and drop the helpers."""
+def _by_group(fn: Callable, key: list[str]) -> Callable:
+    """Coarsen the categories, choose the group key and run ``fn(df, keys)``; the release carries the coarse levels."""
     def run(df, k_min, min_count=50, salt="", row_id=ROW, **kw):
-        g = df.withColumn("AGE_BIN", five_bands())
-        for c in CATEGORIES:
-            g = S.coarsen_rare_levels(g.withColumn(f"{c}_G", F.col(c)), f"{c}_G", min_count)
+        sex = F.upper(F.substring(F.col("GENDER").cast("string"), 1, 1))
+        g = df.withColumns({"AGE_BIN": five_bands(), "GENDER": F.when(sex.isin("M", "F"), sex).otherwise("U")})
+        for c in ("RACE", "ETHNICITY"):
+            blank = F.coalesce(F.col(c), F.lit("")) == ""
+            g = S.coarsen_rare_levels(g.withColumn(c, F.when(blank, "(NA)").otherwise(F.col(c))), c, min_count)
         g = materialize(g)
-        keys = group_size_relax(g, [
-            ["AGE_BIN", "GENDER_G", "RACE_G", "ETHNICITY_G", "asthma_flag"], ["AGE_BIN", "GENDER_G", "RACE_G", "asthma_flag"],
-            ["AGE_BIN", "GENDER_G", "asthma_flag"], ["AGE_BIN", "asthma_flag"]], k_min)
+        tiers = [key, [k for k in key if k != "ETHNICITY"], [k for k in key if k != "RACE"], ["AGE_BIN", "asthma_flag"]]
+        keys = group_size_relax(g, tiers, k_min)
         return materialize(fn(g, keys, salt=salt, row_id=row_id, **kw).select(*df.columns))
     return run
 
@@ -181,7 +182,8 @@ OPS: dict[str, Callable] = {
     "impute": _impute, "group_impute": _group_impute, "permute_block": _permute_block,
     "permute_columns": _permute_columns, "swap_records": _swap_records, "shrink": _shrink,
     "shuffle_rows": lambda df, salt="", row_id=ROW: shuffle_rows(df, salt + "shuffle", row_id),
-    "mix_block": _by_group(_mix_block), "copula": _by_group(_copula), "round": _round,
+    "mix_block": _by_group(_mix_block, ["AGE_BIN", "asthma_flag"]),
+    "copula": _by_group(_copula, ["AGE_BIN", "GENDER", "RACE", "ETHNICITY", "asthma_flag"]), "round": _round,
 }
 
 
@@ -300,8 +302,8 @@ RECIPES: dict[str, list[Step]] = {
         ("flip", {"c": "asthma_flag", "p": 0.02}), ("raise_share", {"c": "depression_flag", "target": 0.02, "tiers": YOUNG_FIRST}),
         _range("mean_systolic_bp", 1.5, (3, 2), 0, (90, 140)), _range("mean_weight", 0.8, (0, 0), 0), _range("mean_bmi", 0.3, (0, 0), 1),
         MALE, FORMAT],
-    "anony1_1": [("mix_block", {"k_min": 25, "privacy": True}), ("round", {"digits": 1})],
-    "anony1_1_utility": [("mix_block", {"k_min": 25, "privacy": False}), ("round", {"digits": 1})],
+    "anony1_1": [("mix_block", {"k_min": 25, "privacy": True}), ("round", {"digits": 3})],
+    "anony1_1_utility": [("mix_block", {"k_min": 25, "privacy": False}), ("round", {"digits": 3})],
     "anony1_2": [("copula", {"k_min": 40}), ("round", {"digits": 3})],
     "anony1_3": [("copula", {"k_min": 40}), ("round", {"digits": 2})],
     "anony2": [
@@ -313,8 +315,8 @@ RECIPES: dict[str, list[Step]] = {
     "anony3": [
         ("noise_sparse", {"c": "AGE", "share": 0.02, "choices": [-1, 0, 1], "weights": W3, "lo": 2, "hi": 110}),
         ("merge_levels", {"c": "RACE", "to": "other", "tiny_ratio": 0.003, "listed": ["hawaiian", "native"], "p": 0.7}),
-        _ethnicity(0.005, 0.003), *_counts(0.01, [-1, 0, 1]),
-        ("group_impute", {"limits": COUNT_LIMITS, "integer": True}),
+        _ethnicity(0.005, 0.003), *_counts(0.01, [-1, 0, 1], limits=COUNT_LIMITS | {"encounter_count": (0, 1211)}),
+        ("group_impute", {"limits": COUNT_LIMITS | {"encounter_count": (0, 1211)}, "integer": True}),
         ("flip", {"c": "asthma_flag", "p": 0.005}),
         ("raise_share", {"c": "depression_flag", "target": 0.02, "tiers": ["AGE BETWEEN 18 AND 40"], "cap": 0.005}),
         *_cohorts([("stroke_flag", 1, 0.002, "AGE > 75"), ("obesity_flag", 1, 0.002, "AGE BETWEEN 40 AND 60")], "flip_cohort_random"),

@@ -1,26 +1,34 @@
-"""Cutting lineage through the checkpoint folder the session names."""
+"""Written intermediate tables in the shared folder the session names."""
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use ``spark.checkpoint.dir``; only a local master may fall back to a temporary folder."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is not None:
-        return
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if named:
-        sc.setCheckpointDir(named)
-    elif sc.master.startswith("local"):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="veiltab-checkpoint-"))
-    else:
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Write the table to the checkpoint folder and go on from the written copy."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; where it is unset, a folder in the warehouse, which executors share as well."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return (named or f"{spark.conf.get('spark.sql.warehouse.dir')}/_veiltab").rstrip("/")
+
+
+def scratch_path(spark: SparkSession, name: str = "table") -> str:
+    """Fresh path in the shared folder, removed when the application ends."""
+    path = f"{shared_folder(spark)}/veiltab-{name}-{uuid.uuid4().hex}"
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    return path
+
+
+def materialize(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write the table as Parquet in the shared folder and go on from the written copy.
+
+    Lineage ends there, the copy survives lost executors, and later reads prune its columns.
+    """
+    spark = df.sparkSession
+    void = {c: F.lit(None).cast("string") for c, t in df.dtypes if t == "void"}
+    df = df.withColumns(void) if void else df
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

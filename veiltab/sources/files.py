@@ -1,12 +1,11 @@
 """CSV tables, membership vectors, the release matrix and JSON document checks."""
 from __future__ import annotations
 
-import uuid
-
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from veiltab.session import ensure_checkpoint_dir
+from veiltab.session import scratch_path
 
 
 def read_string_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -39,22 +38,24 @@ def read_membership(spark: SparkSession, candidates: list[str], expected: int |
     """(row_id, member) from the first readable candidate; values above 0.5 are 1, unparsable 0.
 
     Row ids are positions in the file set: places inside each file split plus the sizes of the
-    earlier splits, so no split is read by more than one task.
+    earlier splits, so no split is read by more than one task. Part files come in order of their
+    number (``part-100000`` after ``part-99999``), others in order of their path.
     """
     df = None
     for path in candidates:
         try:
             df = spark.read.schema("value string").csv(path, header=False)
-            df.limit(1).collect()
             break
-        except Exception:  # noqa: BLE001 - a missing candidate only means: try the next one
-            df = None
+        except AnalysisException as e:  # a missing candidate only means: try the next one
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
     if df is None:
         raise FileNotFoundError(f"none of {candidates} can be read")
     split = df.select("value", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"),
                       F.monotonically_increasing_id().alias("m"))
     sizes = split.groupBy("f", "b").agg(F.count(F.lit(1)).alias("n"))
-    earlier = Window.orderBy("f", "b").rowsBetween(Window.unboundedPreceding, -1)
+    number = F.regexp_extract("f", r"part-(\d+)[^/]*$", 1).try_cast("long")
+    earlier = Window.orderBy(number, "f", "b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("f", "b", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("off"))
     place = F.row_number().over(Window.partitionBy("f", "b").orderBy("m"))
     out = split.withColumn("place", place).join(offsets, ["f", "b"]).select(
@@ -177,5 +178,4 @@ def json_document_ok(df: DataFrame, row_id: str, rules: list[Column]) -> DataFra
 
 def scratch_folder(spark: SparkSession) -> str:
     """A new folder beside the checkpoints, shared by all executors."""
-    ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/veiltab-{uuid.uuid4().hex}"
+    return scratch_path(spark, "files")
