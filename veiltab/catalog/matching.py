@@ -11,7 +11,12 @@ from veiltab.plans.views import RELEASE_SQL, release, subject, table, u_sql, wit
 
 NUM = ["age", "n_orders", "n_items", "avg_price", "avg_qty", "urgent_flag", "pending_flag"]
 CATS = ["segment", "region"]
-N_MARK = 150
+N_MARK = "(SELECT count(*)//10 FROM subject)"  # a tenth of the population
+
+
+def n_mark(spark, sf) -> int:
+    """The same number in Spark."""
+    return subject(spark, sf).count() // 10
 
 
 def encoded(spark, sf, kind="l1"):
@@ -218,7 +223,7 @@ MARKED = "SELECT id, CAST(id IN (SELECT id FROM m1) OR id IN (SELECT id FROM f)
 @query("ranked_assign", q(MARKED, enc_sql(), nn_sql(7, l1_terms()), HITS, FILL.format(n=N_MARK, terms=l1_terms())))
 def _(spark, sf):
     a, c = encoded(spark, sf)
-    return M.ranked_assign(a, c, N_MARK, 7)
+    return M.ranked_assign(a, c, n_mark(spark, sf), 7)
 
 
 @query("ranked_assign_fill", q(MARKED, enc_sql(), nn_sql(1, l1_terms()), HITS, FILL.format(n=900, terms=l1_terms())))
@@ -235,12 +240,13 @@ def _(spark, sf):
 
 @query("equi_join_terms", q("""
 SELECT term, round(a,6) AS before, round(b,6) AS after FROM
- (SELECT nation AS term, avg(balance) AS a FROM subject WHERE row_id%3=0 GROUP BY 1) x
- FULL OUTER JOIN (SELECT nation AS term, avg(age) AS b FROM subject WHERE age<12 GROUP BY 1) y USING (term)"""))
+ (SELECT nation AS term, avg(balance) AS a FROM subject GROUP BY 1) x
+ FULL OUTER JOIN (SELECT region AS term, avg(age) AS b FROM release GROUP BY 1 UNION ALL SELECT nation, avg(age) FROM subject GROUP BY 1) y USING (term)"""))
 def _(spark, sf):
-    s = subject(spark, sf)
-    x = s.filter("row_id % 3 = 0").groupBy(F.col("nation").alias("term")).agg(F.avg("balance").alias("before"))
-    y = s.filter("age < 12").groupBy(F.col("nation").alias("term")).agg(F.avg("age").alias("after"))
+    s, c = subject(spark, sf), release(spark, sf)
+    x = s.groupBy(F.col("nation").alias("term")).agg(F.avg("balance").alias("before"))
+    y = c.groupBy(F.col("region").alias("term")).agg(F.avg("age").alias("after")).unionByName(
+        s.groupBy(F.col("nation").alias("term")).agg(F.avg("age").alias("after")))
     return rounded(x.join(y, "term", "full_outer"))
 
 
@@ -292,7 +298,7 @@ m0 AS (SELECT id, o FROM (SELECT h.*, row_number() OVER (PARTITION BY part ORDER
                              QUOTA.format(n=N_MARK) + FILL.format(n=N_MARK, terms=l1_terms()).replace("FROM h)", "FROM m0)")))
 def _(spark, sf):
     a, c = blocked(spark, sf, lambda a, c: M.block_key(a, c, CATS, NUM)[0])
-    return M.block_knn_assign(a, c, N_MARK, 5)
+    return M.block_knn_assign(a, c, n_mark(spark, sf), 5)
 
 
 VOTE_BLOCK = ", {t}.region||chr(31)||{t}.segment AS part"
@@ -309,8 +315,10 @@ def _(spark, sf):
 
 # ---------------------------------------------------------------- votes over subspaces
 
-VIEWS = M.subspaces(len(NUM), len(CATS), 8, 0.65, 3, 15)
-VIEWS_HEAT = M.subspaces(len(NUM), len(CATS), 6, 0.7, 3, salt="heat")
+# rounds, share of features: the settings of audits v6, v5 and v7
+VIEWS = M.subspaces(len(NUM), len(CATS), 8, 0.6, 3, 15)
+VIEWS_HEAT = M.subspaces(len(NUM), len(CATS), 30, 0.7, 3, salt="heat")
+VIEWS_SAMPLED = M.subspaces(len(NUM), len(CATS), 12, 0.6, 3, salt="sampled")
 
 
 def unit_view_sql(t, v):
@@ -358,11 +366,11 @@ def _(spark, sf):
     return rounded(M.stability_vote(a, c, VIEWS_HEAT, 5, ("l1", "cosine"), eps=1e-6, heat_rounds=5))
 
 
-@query("stability_vote_sampled", voted(votes_sql(VIEWS_HEAT, 5, ("cosine",), 1e-6, c="ek"),
+@query("stability_vote_sampled", voted(votes_sql(VIEWS_SAMPLED, 5, ("cosine",), 1e-6, c="ek"),
     "v*(SELECT count(*) FROM ec)/(SELECT count(*) FROM ek)", enc_sql(), f"ek AS (SELECT * FROM ec WHERE {u_sql('vote/keep', 'id')}<0.3)"))
 def _(spark, sf):
     a, c = encoded(spark, sf)
-    return rounded(M.stability_vote(a, c, VIEWS_HEAT, 5, ("cosine",), eps=1e-6, c_share=0.3))
+    return rounded(M.stability_vote(a, c, VIEWS_SAMPLED, 5, ("cosine",), eps=1e-6, c_share=0.3))
 
 
 @query("record_linkage_truth", q("""

@@ -96,7 +96,7 @@ def training(spark, sf):
 
 def fitted(spark, sf):
     df = M.class_weight(training(spark, sf))
-    return df, M.boosted_fit(df, FEATURES, "y", "is_valid", "weight", trees=10, depth=4)
+    return df, M.boosted_fit(df, FEATURES, "y", "is_valid", "weight")
 
 
 @query("boosted_fit")
@@ -114,7 +114,7 @@ def _(spark, sf):
 
 @query("multi_seed_select")
 def _(spark, sf):
-    return rounded(M.multi_seed_select(training(spark, sf), FEATURES, "y", "is_valid", [1, 2], trees=5, depth=3)[1])
+    return rounded(M.multi_seed_select(training(spark, sf), FEATURES, "y", "is_valid", [7, 13, 29, 41], trees=2000, depth=4)[1])
 
 
 @query("model_save_load")

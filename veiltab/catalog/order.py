@@ -17,14 +17,17 @@ def losses(spark, sf):
     return scores(spark, sf).withColumn("loss", F.round(neg_log_lik(), 9))
 
 
+TENTH = "(SELECT count(*)//10 FROM loss)"
+
+
 def marked(rank: str, n: str, where: str = "true") -> str:
     return (f"(SELECT row_id FROM (SELECT row_id, row_number() OVER (ORDER BY {rank}, row_id) AS rn FROM loss "
             f"WHERE {where}) z WHERE rn<={n})")
 
 
-@query("top_k_mark", with_sql(f"SELECT row_id, CAST(row_id IN {marked('loss', 150)} AS INT) AS mark FROM loss", SCORES_SQL, LOSS))
+@query("top_k_mark", with_sql(f"SELECT row_id, CAST(row_id IN {marked('loss', TENTH)} AS INT) AS mark FROM loss", SCORES_SQL, LOSS))
 def _(spark, sf):
-    return S.top_k_mark(losses(spark, sf), F.col("loss"), 150, largest=False).select("row_id", "mark")
+    return S.top_k_mark(losses(spark, sf), F.col("loss"), scores(spark, sf).count() // 10, largest=False).select("row_id", "mark")
 
 
 @query("top_k_mark_largest", with_sql(f"SELECT row_id, CAST(row_id IN {marked('-y', 333)} AS INT) AS mark FROM loss", SCORES_SQL, LOSS))
@@ -34,11 +37,11 @@ def _(spark, sf):
 
 @query("nth_line_by_price", """
 SELECT l_orderkey*10+l_linenumber AS line_id FROM lineitem
-QUALIFY row_number() OVER (ORDER BY -l_quantity, l_orderkey*10+l_linenumber) <= 20000""")
+QUALIFY row_number() OVER (ORDER BY -l_extendedprice, l_orderkey*10+l_linenumber) <= (SELECT count(*)//3 FROM lineitem)""")
 def _(spark, sf):
     li = spark.read.parquet(f"{sf}/lineitem.parquet").select(
-        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("line_id"), "l_quantity")
-    return S.top_k_mark(li, F.col("l_quantity"), 20000, row_id="line_id").filter("mark = 1").select("line_id")
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("line_id"), "l_extendedprice")
+    return S.top_k_mark(li, F.col("l_extendedprice"), li.count() // 3, row_id="line_id").filter("mark = 1").select("line_id")
 
 
 @query("random_mark", with_sql(f"SELECT row_id, CAST(row_id IN {marked(u_sql('mark'), 100)} AS INT) AS mark FROM loss", SCORES_SQL, LOSS))
@@ -46,8 +49,8 @@ def _(spark, sf):
     return S.random_mark(scores(spark, sf).select("row_id"), 100)
 
 
-Q1 = "(SELECT least(round_even(150*avg(CASE WHEN p>=0.5 THEN 1.0 ELSE 0 END),0),sum(y)) FROM loss)"
-Q0 = "(SELECT least(150-round_even(150*avg(CASE WHEN p>=0.5 THEN 1.0 ELSE 0 END),0),sum(1-y)) FROM loss)"
+Q1 = f"(SELECT least(round_even({TENTH}*avg(CASE WHEN p>=0.5 THEN 1.0 ELSE 0 END),0),sum(y)) FROM loss)"
+Q0 = f"(SELECT least({TENTH}-round_even({TENTH}*avg(CASE WHEN p>=0.5 THEN 1.0 ELSE 0 END),0),sum(1-y)) FROM loss)"
 
 
 QUOTA = (f"qt AS (SELECT row_id FROM loss WHERE row_id IN {marked('loss', Q1, 'y=1')} OR row_id IN {marked('loss', Q0, 'y=0')})")
@@ -55,10 +58,10 @@ QUOTA = (f"qt AS (SELECT row_id FROM loss WHERE row_id IN {marked('loss', Q1, 'y
 
 @query("class_quota_top_k", with_sql(f"""
 SELECT row_id, CAST(row_id IN (SELECT row_id FROM qt)
-  OR row_id IN {marked('loss', '(SELECT 150-count(*) FROM qt)', 'row_id NOT IN (SELECT row_id FROM qt)')} AS INT) AS mark FROM loss""",
+  OR row_id IN {marked('loss', f'(SELECT {TENTH}-count(*) FROM qt)', 'row_id NOT IN (SELECT row_id FROM qt)')} AS INT) AS mark FROM loss""",
     SCORES_SQL, LOSS, QUOTA))
 def _(spark, sf):
-    return S.class_quota_top_k(losses(spark, sf), "loss", 150).select("row_id", "mark")
+    return S.class_quota_top_k(losses(spark, sf), "loss", scores(spark, sf).count() // 10).select("row_id", "mark")
 
 
 @query("force_count", with_sql(f"""

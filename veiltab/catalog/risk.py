@@ -3,12 +3,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from veiltab.catalog.matching import VIEWS, encoded, enc_sql, final_sql, votes_sql
+from veiltab.catalog.matching import N_MARK, VIEWS, enc_sql, encoded, final_sql, n_mark, votes_sql
 from veiltab.catalog.order import LOSS, marked
 from veiltab.catalog.registry import query, rounded
 from veiltab.operators import matching as M
 from veiltab.operators import risk as R
-from veiltab.plans.views import RELEASE_SQL, SCORES_SQL, scores, subject, with_sql
+from veiltab.plans.views import RELEASE_SQL, SCORES_SQL, release, scores, subject, with_sql
 from veiltab.session import materialize
 
 TREES = 4
@@ -23,6 +23,11 @@ def with_leaves(spark, sf):
     return scores(spark, sf).join(subject(spark, sf).select("row_id", leaf.alias("leaf")), "row_id")
 
 
+def release_leaves(spark, sf):
+    """Leaves of the released rows in the same trees."""
+    return release(spark, sf).select(F.array(*[F.expr(f"CAST({LEAF[t]} AS INT)") for t in range(TREES)]).alias("leaf"))
+
+
 def unit(c, t="loss"):
     return f"(({c}-(SELECT min({c}) FROM {t}))/((SELECT max({c}) FROM {t})-(SELECT min({c}) FROM {t})+1e-12))"
 
@@ -41,9 +46,9 @@ def _(spark, sf):
     return scores(spark, sf).select("row_id", R.score_confident(within=0.25).alias("mark"))
 
 
-@query("score_top_conf", q(f"SELECT row_id, CAST(row_id IN {marked('round(abs(p-y),9)', 150)} AS INT) AS mark FROM loss"))
+@query("score_top_conf", q(f"SELECT row_id, CAST(row_id IN {marked('round(abs(p-y),9)', N_MARK)} AS INT) AS mark FROM loss"))
 def _(spark, sf):
-    return R.score_top_conf(scores(spark, sf), 150).select("row_id", "mark")
+    return R.score_top_conf(scores(spark, sf), n_mark(spark, sf)).select("row_id", "mark")
 
 
 @query("score_nll", q(f"SELECT row_id, round(1-{unit('loss')},6) AS s_loss FROM loss"))
@@ -70,10 +75,11 @@ def _(spark, sf):
     return rounded(R.score_leaf_rarity(with_leaves(spark, sf)).select("row_id", "s_leaf"))
 
 
-@query("score_leaf_rarity_on_release", q(f"SELECT row_id, round({unit('r', 'rar')},6) AS s_leaf FROM rar", rarity_sql("row_id%10<3")))
+@query("score_leaf_rarity_on_release", q(f"SELECT row_id, round({unit('r', 'rar')},6) AS s_leaf FROM rar", RELEASE_SQL,
+    LEAF_SQL.replace("leafs AS", "leafc AS").replace("SELECT row_id, ", "SELECT ").replace("FROM subject", "FROM release"),
+    rarity_sql("true").replace("FROM leafs WHERE true", "FROM leafc").replace("count(DISTINCT row_id) FROM leafc", "count(*) FROM release")))
 def _(spark, sf):
-    a = with_leaves(spark, sf)
-    return rounded(R.score_leaf_rarity(a, a.filter("row_id % 10 < 3")).select("row_id", "s_leaf"))
+    return rounded(R.score_leaf_rarity(with_leaves(spark, sf), release_leaves(spark, sf)).select("row_id", "s_leaf"))
 
 
 FOUR = (f"four AS (SELECT row_id, 0.35*(1-{unit('loss', 'cf')})+0.30*{unit('r', 'rar')}+0.25*{unit('conf', 'cf')}"
@@ -103,7 +109,7 @@ def _(spark, sf):
     return rounded(R.fuse_adaptive(both, "s_distance", "s_model").select("row_id", "score"))
 
 
-def top_score(expr, n=150):
+def top_score(expr, n=N_MARK):
     return (f"SELECT row_id, CAST(row_number() OVER (ORDER BY -round({expr},9), row_id)<={n} AS INT) AS mark "
             f"FROM dst JOIN four USING (row_id), wt")
 
@@ -111,25 +117,25 @@ def top_score(expr, n=150):
 @query("hybrid_risk", q(top_score("0.6*d+0.4*s"), CONF, rarity_sql("true"), FOUR, DIST, ADAPT))
 def _(spark, sf):
     d, m = two_scores(spark, sf)
-    return R.hybrid_risk(d, 150, d, m)
+    return R.hybrid_risk(d, n_mark(spark, sf), d, m)
 
 
 @query("hybrid_risk_adaptive", q(top_score("w*d+(1-w)*s"), CONF, rarity_sql("true"), FOUR, DIST, ADAPT))
 def _(spark, sf):
     d, m = two_scores(spark, sf)
-    return R.hybrid_risk(d, 150, d, m, adaptive=True)
+    return R.hybrid_risk(d, n_mark(spark, sf), d, m, adaptive=True)
 
 
 @query("hybrid_risk_model_only", q(top_score("s"), CONF, rarity_sql("true"), FOUR, DIST, ADAPT))
 def _(spark, sf):
     d, m = two_scores(spark, sf)
-    return R.hybrid_risk(d, 150, model=m)
+    return R.hybrid_risk(d, n_mark(spark, sf), model=m)
 
 
 VOTE_MARK = with_sql("", RELEASE_SQL, SCORES_SQL, LOSS, CONF, rarity_sql("true"), FOUR, enc_sql(),
                      votes_sql(VIEWS, 3, ("l1",), 1e-8)).rstrip() + final_sql("v").replace(
     "SELECT id, round(", ", fin AS (SELECT id AS row_id, (").replace(",6) AS score FROM sc", ") AS d FROM sc)") + """
-SELECT row_id, CAST(row_number() OVER (ORDER BY -round(0.6*d+0.4*s,9), row_id)<=150 AS INT) AS mark FROM fin JOIN four USING (row_id)"""
+SELECT row_id, CAST(row_number() OVER (ORDER BY -round(0.6*d+0.4*s,9), row_id)<=""" + N_MARK + """ AS INT) AS mark FROM fin JOIN four USING (row_id)"""
 
 
 @query("hybrid_risk_votes", VOTE_MARK)
@@ -137,6 +143,6 @@ def _(spark, sf):
     a, c = encoded(spark, sf)
     d = M.stability_vote(a, c, VIEWS, 3).select(F.col("id").alias("row_id"), F.col("score").alias("s_distance"))
     m = R.four_part_score(with_leaves(spark, sf)).select("row_id", "s_model")
-    return R.hybrid_risk(d, 150, d, m)
+    return R.hybrid_risk(d, n_mark(spark, sf), d, m)
 
 

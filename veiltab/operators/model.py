@@ -153,7 +153,7 @@ def fixed_term_table(table: DataFrame, base: list[str], ensure: list[str], keep_
 # ---------------------------------------------------------------- boosted trees
 
 def boosted_fit(df: DataFrame, features: list[str], target: str, valid: str | None = None, weight: str | None = None,
-                trees: int = 50, depth: int = 5, step: float = 0.1, subsample: float = 0.9, columns: str = "all",
+                trees: int = 600, depth: int = 6, step: float = 0.05, subsample: float = 0.9, columns: str = "all",
                 seed: int = 7) -> PipelineModel:
     """Gradient-boosted trees with early stopping on rows where ``valid`` is true."""
     gbt = GBTClassifier(labelCol=target, featuresCol="features", maxIter=trees, maxDepth=depth, stepSize=step,

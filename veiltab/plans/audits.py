@@ -97,26 +97,26 @@ def v2(pair: Pair, scores: DataFrame, n: int) -> DataFrame:
     return _ordered_fill(pair.ids(), [exact, block, quota], n)
 
 
-def v3(pair: Pair, scores: DataFrame, n: int, rounds: int = 40) -> DataFrame:
-    """IDF-weighted votes (L1 and cosine) .6 + loss and leaf rarity .4."""
+def v3(pair: Pair, scores: DataFrame, n: int, rounds: int = 40, leaves: DataFrame | None = None) -> DataFrame:
+    """IDF-weighted votes (L1 and cosine) .6 + loss and leaf rarity .4; ``leaves`` of the release rows give the leaf shares."""
     a, c = pair.encode("zidf")
     votes = M.stability_vote(a, c, _views(pair, rounds, 0.65, 8), 5, ("l1", "cosine"), eps=1e-6)
-    return R.hybrid_risk(pair.ids(), n, _as(votes, "s_distance"), _loss_and_leaf(scores), 0.6, row_id="id")
+    return R.hybrid_risk(pair.ids(), n, _as(votes, "s_distance"), _loss_and_leaf(scores, leaves), 0.6, row_id="id")
 
 
-def v4(pair: Pair, scores: DataFrame, n: int) -> DataFrame:
+def v4(pair: Pair, scores: DataFrame, n: int, leaves: DataFrame | None = None) -> DataFrame:
     """Votes inside exact blocks, then loss and leaf rarity, then random."""
     cols = M.stable_categories(pair.population, pair.release, pair.categories)
     votes = M.block_vote(*pair.encode("idf_clip", M.exact_block(cols)), 7)
     first = S.top_k_mark(votes, F.col("score"), n, row_id="id")
-    second = S.top_k_mark(_loss_and_leaf(scores), F.col("s_model"), n, row_id="id")
+    second = S.top_k_mark(_loss_and_leaf(scores, leaves), F.col("s_model"), n, row_id="id")
     return _ordered_fill(pair.ids(), [first, second], n)
 
 
-def v5(pair: Pair, scores: DataFrame, n: int, rounds: int = 30) -> DataFrame:
+def v5(pair: Pair, scores: DataFrame, n: int, rounds: int = 30, leaves: DataFrame | None = None) -> DataFrame:
     """Votes on L1 and cosine damped by hit counts, four-part model score, adaptive weights."""
     votes = M.stability_vote(*pair.encode("robust"), _views(pair, rounds, 0.7), 5, ("l1", "cosine"), heat_rounds=5)
-    model = R.four_part_score(scores, row_id="id").select("id", "s_model")
+    model = R.four_part_score(scores, leaves, row_id="id").select("id", "s_model")
     return R.hybrid_risk(pair.ids(), n, _as(votes, "s_distance"), model, 0.6, adaptive=True, row_id="id")
 
 
@@ -127,11 +127,11 @@ def v6(pair: Pair, scores: DataFrame, n: int, rounds: int = 8) -> DataFrame:
     return R.hybrid_risk(pair.ids(), n, _as(votes, "s_distance"), model, 0.6, row_id="id")
 
 
-def v7(pair: Pair, scores: DataFrame, n: int, rounds: int = 12) -> DataFrame:
+def v7(pair: Pair, scores: DataFrame, n: int, rounds: int = 12, leaves: DataFrame | None = None) -> DataFrame:
     """Robust encoding on unit rows, cosine votes of 30 % of the release, adaptive weights."""
     a, c = (E.unit_rows(x) for x in pair.encode("robust"))
     votes = M.stability_vote(a, c, _views(pair, rounds, 0.6), 5, ("l2",), c_share=0.3)
-    model = R.four_part_score(scores, row_id="id").select("id", "s_model")
+    model = R.four_part_score(scores, leaves, row_id="id").select("id", "s_model")
     return R.hybrid_risk(pair.ids(), n, _as(votes, "s_distance"), model, 0.6, adaptive=True, row_id="id")
 
 
