@@ -19,10 +19,11 @@ _TAIL = frozenset(string.punctuation) - {"'"}
 _KEPT: dict[tuple[str, str], UnitEncoder] = {}
 
 
-def encoder(path: str, spaces: str) -> UnitEncoder:
+def encoder(path: str, spaces: str, kept: int = KEPT_UNITS) -> UnitEncoder:
     """The worker's encoder for a tokenizer file; ``spaces``: "drop" or "prefix" (a space belongs to the next word)."""
     if (path, spaces) not in _KEPT:
         _KEPT[path, spaces] = UnitEncoder(path, spaces)
+    _KEPT[path, spaces].kept = kept
     return _KEPT[path, spaces]
 
 
@@ -35,6 +36,7 @@ class UnitEncoder:
         self.special = [t.content[:2] for t in self.library.get_added_tokens_decoder().values()]
         self.prefix = spaces == "prefix"
         self.known: dict[str, bytes] = {}
+        self.kept = KEPT_UNITS
 
     def _units(self, text: str) -> list[str]:
         """Keys of the units: with "prefix", ``w`` stands for a space and w, and a newline and w for w itself."""
@@ -96,7 +98,7 @@ class UnitEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, four bytes each."""
-        if len(self.known) > KEPT_UNITS:
+        if len(self.known) > self.kept:
             self.known.clear()
         get, rows, new = self.known.get, [], set()
         for t in texts:
