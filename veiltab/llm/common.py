@@ -1,16 +1,16 @@
 """What the operators share: shared scratch tables, null-safe text, small-table joins."""
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veiltab.session import materialize as written, scratch_path  # noqa: F401
+
 #: A side is broadcast only below this many rows of a few fixed-width or short columns.
 BROADCAST_ROWS = 200_000
 #: Bytes of text one in-memory table or Arrow batch list may hold.
@@ -19,37 +19,6 @@ BATCH_BYTES = 4 << 20
 BATCH_ROWS = 500
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """Folder named by ``spark.checkpoint.dir``; only a local master may do without one."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        master = spark.sparkContext.master
-        if not (master == "local" or master.startswith("local[")):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        named = "file://" + tempfile.mkdtemp(prefix="veiltab-shared-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """Fresh path in the shared folder, removed when the application ends."""
-    path = f"{shared_folder(spark)}/veiltab-{name}-{uuid.uuid4().hex}"
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return path
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: lineage ends here.
-
-    The copy survives lost executors, keeps column pruning, and is removed with the application.
-    """
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def small_batches(df: DataFrame) -> DataFrame:
     """``df``, after lowering the session's Arrow batch to at most ``BATCH_ROWS`` rows."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
