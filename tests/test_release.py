@@ -134,3 +134,26 @@ def test_stream_of_cell_level_steps(spark, people, tmp_path):
     q.awaitTermination(120)
     out = spark.read.parquet(str(tmp_path / "out"))
     assert out.count() == 1500 and out.agg(F.max("AGE")).first()[0] <= 90
+
+
+def test_anony11_shrinks_all_counts_in_six_bands(spark):
+    from veiltab.plans.recipes import COUNTS, OPS
+    ages = [5] * 3 + [18] * 4 + [19] * 6 + [35] * 2 + [60] * 7 + [90] * 3
+    table = [(i, a, *[(i * 7 + k * 3) % 40 for k in range(6)]) for i, a in enumerate(ages)]
+    args = dict(RECIPES["anony11"])["shrink"]
+    got = {r[0]: r[2:] for r in OPS["shrink"](spark.createDataFrame(table, ["row_id", "AGE", *COUNTS]), **args).collect()}
+    band = lambda a: sum(a > edge for edge in (18, 35, 50, 65, 80))
+    for row in table:
+        mates = [r for r in table if band(r[1]) == band(row[1])]
+        for k in range(6):
+            x = row[2 + k]
+            want = max(round(x + (sum(m[2 + k] for m in mates) / len(mates) - x) * 0.1), 0) if len(mates) > 5 else x
+            assert got[row[0]][k] == want, (row, k)
+
+
+def test_anony11_age_noise_leaves_small_bins(spark):
+    from veiltab.plans.recipes import OPS
+    table = [(i, 30 + i % 10) for i in range(200)] + [(200 + i, 71) for i in range(10)] + [(300, 120), (301, None)]
+    got = {r.row_id: r.AGE for r in OPS["noise_age_bins"](spark.createDataFrame(table, "row_id long, AGE int"), **dict(RECIPES["anony11"])["noise_age_bins"]).collect()}
+    assert all(abs(got[i] - a) <= 2 for i, a in table[:200]) and any(got[i] != a for i, a in table[:200])
+    assert [got[i] for i, _ in table[200:]] == [71] * 10 + [110, None]

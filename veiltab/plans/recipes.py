@@ -32,6 +32,8 @@ FLAGS = ["asthma_flag", "stroke_flag", "obesity_flag", "depression_flag"]
 CATEGORIES = ["GENDER", "RACE", "ETHNICITY"]
 NUMBERS = ["AGE", *COUNTS, *BODY]
 # Allowed ranges of the counts and measures.
+SMALL_LIMITS = {"encounter_count": (7, 85), "num_procedures": (1, 2086), "num_medications": (0, 2351),
+                "num_immunizations": (0, 37), "num_allergies": (0, 13), "num_devices": (0, 133)}
 COUNT_LIMITS = {"encounter_count": (4, 1211), "num_procedures": (0, 500), "num_medications": (0, 200),
                 "num_immunizations": (0, 50), "num_allergies": (0, 20), "num_devices": (0, 10)}
 WIDE_LIMITS = {"AGE": (0, 120), "encounter_count": (0, 2000), "num_procedures": (0, 2000),
@@ -42,6 +44,10 @@ BODY_LIMITS = {"mean_systolic_bp": (60, 200), "mean_diastolic_bp": (40, 120), "m
                "mean_bmi": (15, 50)}
 DECADES = [0, 11, 21, 31, 41, 51, 61, 71, 81, 91, 101, 200]
 DECADE_LABELS = ["0-10", "11-20", "21-30", "31-40", "41-50", "51-60", "61-70", "71-80", "81-90", "91-100", "100+"]
+SIX_BANDS = [0, 18, 35, 50, 65, 80, 200]
+SIX_LABELS = ["0-18", "19-35", "36-50", "51-65", "66-80", "81+"]
+TENS = [0, 10, 20, 30, 40, 50, 60, 70, 80, 90, 100, 200]
+TEN_LABELS = ["0-9", "10-19", "20-29", "30-39", "40-49", "50-59", "60-69", "70-79", "80-89", "90-99", "100+"]
 FIVE_BANDS = [0, 18, 45, 65, 75, 200]
 FIVE_LABELS = ["0-17", "18-44", "45-64", "65-74", "75+"]
 
@@ -127,11 +133,20 @@ def _swap_records(df, cols, share, similar, salt="", row_id=ROW):
 
 
 def _shrink(df, cols, rate, salt="", row_id=ROW):
+    """Toward the mean of the age band, clipped at 0 and rounded."""
+    band = clean.bin_label(F.least(F.greatest(F.col("AGE"), F.lit(2)), F.lit(110)), SIX_BANDS, SIX_LABELS, right=True)
     for c in cols:
-        df = N.shrink_to_group_mean(df, c, decade(), rate)
+        df = N.shrink_to_group_mean(df, c, band, rate)
+        df = df.withColumn(c, F.greatest(F.bround(F.col(c)), F.lit(0.0)).cast("int"))
     return df
 
 
+def _noise_age_bins(df, c, delta, salt="", row_id=ROW):
+    """Ages are clipped first; bins of at most ten rows stay as they are."""
+    held = df.withColumn(c, clean.range_clip(F.col(c).cast("double"), 2.0, 110.0).cast("int"))
+    return N.noise_age_by_bin(held, c, clean.bin_label(c, TENS, TEN_LABELS), delta, 2, 110, 10, salt, row_id)
+
+
 def _named(df, c, listed, label, salt="", row_id=ROW):
     return df.withColumn(c, clean.group_named(c, listed, label))
 
@@ -173,7 +188,7 @@ OPS: dict[str, Callable] = {
     "replace_fixed": N.replace_value_fixed, "randomise_level": N.randomise_level, "group_named": _named,
     "merge_levels": N.merge_levels_probabilistic, "remap": N.remap_levels_in_order, "match_share": N.match_share,
     "noise_int": N.noise_int_uniform, "noise_int_positive": N.noise_int_positive_only, "noise_age": N.noise_age,
-    "noise_age_segments": N.noise_age_by_segment, "noise_float": N.noise_float_uniform,
+    "noise_age_segments": N.noise_age_by_segment, "noise_age_bins": _noise_age_bins, "noise_float": N.noise_float_uniform,
     "noise_proportional": N.noise_proportional, "noise_group_std": _group_std, "noise_sparse": N.noise_sparse_choice,
     "noise_step": N.noise_relative_step, "noise_range": N.noise_normal_range_aware, "flip": _where(N.flip_flag),
     "flip_cohort": _where(N.flip_cohort_fraction), "flip_cohort_random": _where(N.flip_cohort_bernoulli),
@@ -375,15 +390,16 @@ RECIPES: dict[str, list[Step]] = {
         ("nudge", {"a": "AGE", "b": "encounter_count", "floor": 0.1, "where_above": 60, "lo": 4, "hi": 1211}), FORMAT],
     "anony11": [
         FORMAT, MALE, ("match_share", {"c": "ETHNICITY", "level": "hispanic", "other": "nonhispanic", "target": 0.0655, "step": 0.5}),
-        _range("mean_systolic_bp", 0.0, (5, 2), 0, (90, 140)), _range("mean_bmi", 0.5, (0, 0), 1), _range("mean_weight", 0.8, (0, 0), 1),
+        _range("mean_systolic_bp", 0.0, (5, 2), 0, (90, 140)), _range("mean_bmi", 0.5, (0, 0), 1), _range("mean_weight", 0.8, (0, 0), 0),
         *_cohorts([("asthma_flag", 1, 0.02, "AGE < 30"), ("asthma_flag", 0, 0.01, "AGE > 60"), ("stroke_flag", 1, 0.01, "AGE > 65"),
                    ("stroke_flag", 0, 0.005, "AGE < 45"), ("obesity_flag", 1, 0.01, "AGE BETWEEN 40 AND 60"),
                    ("obesity_flag", 0, 0.01, "AGE < 30")], "flip_cohort_random"),
         ("raise_share", {"c": "depression_flag", "target": 0.02, "tiers": []}),
-        *_each("noise_proportional", COUNTS[:3], [0.02] * 3, "sigma", digits=None), *_pm(COUNTS[3:], [1, 1, 1], blanks="keep"),
-        ("shrink", {"cols": COUNTS[:3], "rate": 0.1}),
+        *[("noise_proportional", {"c": c, "sigma": 0.02, "digits": None, "limits": SMALL_LIMITS[c]}) for c in COUNTS[:3]],
+        *[("noise_sparse", {"c": c, "share": 1.0, "choices": [-1, 0, 1], "lo": lo, "hi": hi}) for c, (lo, hi) in list(SMALL_LIMITS.items())[3:]],
+        ("shrink", {"cols": COUNTS, "rate": 0.1}),
         ("remap", {"c": "RACE", "listed": ["hawaiian", "native", "other", "asian", "black"], "to": [("white", 0.8), ("other", 0.2)]}),
-        ("noise_age", {"c": "AGE", "delta": 2}),
+        ("noise_age_bins", {"c": "AGE", "delta": 2}),
         ("swap_records", {"cols": ["num_immunizations", "num_allergies", "num_devices"], "share": 0.02, "similar": True}), FORMAT],
     "group_shuffle": [("permute_columns", {"cols": [*CATEGORIES, *COUNTS, *BODY, *FLAGS]})],
     "row_shuffle": [("shuffle_rows", {})],
