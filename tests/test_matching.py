@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from veiltab.functions.hashing import integer_between, uniform
 from veiltab.operators import encode as E
 from veiltab.operators import matching as M
-from veiltab.operators.neighbours import View, distances, knn, per_query
+from veiltab.operators.neighbours import Metric, Vectors, View, knn, per_query
 from veiltab.plans import audits as A
 
 
@@ -26,18 +26,20 @@ def vectors(df):
 def brute(a, c, k, l2, unit=False):
     def arrays(df):
         p = (E.unit_rows(df) if unit else df).orderBy("id").toPandas()
-        return p["id"].to_numpy(), np.stack(p["num"]), np.stack(p["cat"]), np.stack(p["w"])
-    ai, an, ac, aw = arrays(a)
-    ci, cn, cc, cw = arrays(c)
-    d = np.round(distances(cn, cc, cw, an, ac, aw, l2), 9)
+        return p["id"].to_numpy(), Vectors(p)
+    (ai, av), (ci, cv) = arrays(a), arrays(c)
+    whole = View("*", tuple(range(av.num.shape[1])), tuple(range(av.cat.shape[1])))
+    metric = Metric("l2" if l2 else "l1", [whole], av.num.shape[1], av.cat.shape[1])
+    every = np.arange(len(ai))
+    d = np.round([metric.exact(0, cv.take(np.full(len(ai), i)), av.take(every)) for i in range(len(ci))], 9)
     return {(int(q), r + 1): (int(ai[j]), d[i, j]) for i, q in enumerate(ci)
             for r, j in enumerate(np.lexsort((ai, d[i]))[:k])}
 
 
-@pytest.mark.parametrize("metric,block,cells", [("l1", 4096, 1000), ("l1", 40, 1000), ("l2", 64, 5), ("cosine", 50, 1000)])
+@pytest.mark.parametrize("metric,block,cells", [("l1", 4096, 16384), ("l1", 40, 40), ("l2", 64, 150), ("cosine", 50, 50)])
 def test_knn_equals_brute_force(spark, metric, block, cells):
     a, c = vectors(table(spark, 600, "a", 3)), vectors(table(spark, 150, "c", 4))
-    found = per_query(c, knn(a, c, 4, metric, block_rows=block, max_cells=cells), metric)
+    found = per_query(c, knn(a, c, 4, metric, block_rows=block, cell_rows=cells), metric)
     got = {(r["query_id"], r["rank"]): (r["id"], r["dist"]) for r in found.collect()}
     want = brute(a, c, 4, metric != "l1", metric == "cosine")
     assert got.keys() == want.keys()
@@ -48,7 +50,7 @@ def test_knn_equals_brute_force(spark, metric, block, cells):
 def test_views_and_parts(spark):
     a, c = vectors(table(spark, 300, "a", 3)), vectors(table(spark, 60, "c", 5))
     views = [View("xy", (0, 1), ()), View("zk", (2,), (0,))]
-    both = knn(a, c, 2, views=views, block_rows=32)
+    both = knn(a, c, 2, views=views, block_rows=32, cell_rows=32)
     assert {r[0] for r in both.select("part").distinct().collect()} == {"xy", "zk"}
     mult = both.filter("rank = 1").groupBy("part").agg(F.sum("mult").alias("n")).collect()
     assert all(r["n"] == 60 for r in mult)

@@ -196,7 +196,7 @@ def _(spark, sf):
 @query("knn_pairs_many_cells", q(KNN, enc_sql(), nn_sql(3, l1_terms())))
 def _(spark, sf):
     a, c = encoded(spark, sf)
-    return rounded(per_query(c, knn(a, c, 3, block_rows=64)))
+    return rounded(per_query(c, knn(a, c, 3, block_rows=64, cell_rows=64)))
 
 
 @query("knn_vectors_l2", """

@@ -1,16 +1,22 @@
 """Exact k nearest neighbours between two tables, partitioned by Spark.
 
-Rows are routed to cells around pivots; a query visits its home cell first, and then only
-the cells that the triangle inequality cannot rule out. Cells are cut into blocks of bounded
-size on both sides, so a task holds two small blocks, computes distances with numpy and
-returns k rows per query - candidate pairs are never emitted, and a cell (or a group of
-copies) of any size is spread over many tasks. Identical vectors are reduced to k rows on the
-population side and to one weighted row on the query side before anything is routed.
+The population is indexed by two levels of pivots, both picked by a hash of the id in proportion to the rows: a row goes to
+its nearest parent, and there to the nearest of the parent's cells. The index is a table (cell, parent, rows, radius) that
+is joined, so cells grow with the rows without a limit. A query visits its home cell first. Then the triangle inequality
+drops parents, then cells; what is left is visited in order of its lower bound, four times as many cells each time, and
+what the bound found so far rules out by then is dropped.
+
+Several feature subspaces (views) share one index: a cell has a radius under every view, and a query's lower bounds and
+bounds found so far are kept per view. Where a query meets a cell, the gaps of every feature are computed once and
+multiplied by a matrix of features x views; the few rows near a view's k-th distance are then measured exactly.
+
+Cells are cut into blocks of bounded size on both sides, so a task holds two small blocks and returns k rows per query:
+candidate pairs are never emitted, and a cell (or a group of copies) of any size is spread over many tasks. Identical
+vectors are reduced to k rows on the population side and to one weighted row on the query side before anything is routed.
 """
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -18,13 +24,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veiltab.functions.hashing import uniform
-from veiltab.operators.encode import unit_rows
+from veiltab.operators.joins import attach_groups
 from veiltab.session import materialize
 
-BLOCK_ROWS = 4096     # rows per block side
-MAX_CELLS = 1000      # pivots per part (also keeps the pivot pick inside WindowGroupLimit)
-MAX_PIVOTS = 16384    # pivots over all parts: the size of the collected directory
-DIGITS = 9            # distances are compared at this precision, ties by id
+BLOCK_ROWS = 4096      # rows per block side
+CELL_ROWS = 16384      # rows aimed at per cell
+FIRST_CELLS = 4        # cells visited after home; each later step visits STEP times as many
+STEP = 4
+KERNEL_VALUES = 1 << 22  # doubles a task holds for one stretch of queries
+DIGITS = 9             # distances are compared at this precision, ties by id
+SLACK = 1e-6           # of lower bounds, for rounding
 
 VECTOR = "num array<double>, cat array<bigint>, w array<double>"
 
@@ -37,195 +46,299 @@ class View:
     cat: tuple[int, ...]
 
 
-def distances(qn, qc, qw, an, ac, aw, l2: bool) -> np.ndarray:
-    """Distance matrix of queries x rows under L1 or L2 with weighted category mismatch."""
-    out = np.zeros((len(qn), len(an)))
-    for i in range(an.shape[1]):
-        gap = qn[:, i, None] - an[None, :, i]
-        out += gap * gap if l2 else np.abs(gap)
-    for j in range(ac.shape[1]):
-        x, y = qw[:, j, None], aw[None, :, j]
-        same = qc[:, j, None] == ac[None, :, j]
-        if l2:
-            out += np.where(same, (x - y) ** 2, x * x + y * y)
-        else:
-            out += np.where(same, np.abs(x - y), x + y)
-    return np.sqrt(out) if l2 else out
-
-
-def _arrays(pdf: pd.DataFrame):
-    return (np.stack(pdf["num"].to_numpy()).astype(float).reshape(len(pdf), -1),
-            np.stack(pdf["cat"].to_numpy()).astype(np.int64).reshape(len(pdf), -1),
-            np.stack(pdf["w"].to_numpy()).astype(float).reshape(len(pdf), -1))
-
-
-def _block_kernel(k: int, l2: bool):
-    """k nearest rows of a population block for every query of a query block."""
-    def run(a: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(q):
-            return pd.DataFrame({"part": [], "qid": [], "mult": [], "id": [], "dist": []})
-        a = a.sort_values("id")
-        an, ac, aw = _arrays(a)
-        ids, parts = a["id"].to_numpy(), []
-        for start in range(0, len(q), 256):
-            some = q.iloc[start:start + 256]
-            d = np.round(distances(*_arrays(some), an, ac, aw, l2), DIGITS)
-            rows = np.arange(len(some))
-            for _ in range(min(k, len(a))):
-                best = d.argmin(axis=1)  # the first minimum is the smallest id
-                parts.append(pd.DataFrame({
-                    "part": some["part"].to_numpy(), "qid": some["qid"].to_numpy(),
-                    "mult": some["mult"].to_numpy(), "id": ids[best], "dist": d[rows, best]}))
-                d[rows, best] = np.inf
-        return pd.concat(parts, ignore_index=True)
+@dataclass
+class Visits:
+    """What a search looked at: tables of ``part, cell, n, nq`` (rows of the cell, queries that visited it)."""
+    steps: list[DataFrame] = field(default_factory=list)
+
+    def pairs(self) -> int:
+        return sum(s.agg(F.sum(F.col("n") * F.col("nq"))).first()[0] or 0 for s in self.steps)
+
+
+class Vectors:
+    """Vectors of a block: numbers, category codes and the weight of the own level."""
+
+    def __init__(self, pdf: pd.DataFrame):
+        n = len(pdf)
+        self.num = np.stack(pdf["num"].to_numpy()).astype(float).reshape(n, -1)
+        self.cat = np.stack(pdf["cat"].to_numpy()).astype(np.int64).reshape(n, -1)
+        self.w = np.stack(pdf["w"].to_numpy()).astype(float).reshape(n, -1)
+
+    def take(self, rows) -> Vectors:
+        out = object.__new__(Vectors)
+        out.num, out.cat, out.w = self.num[rows], self.cat[rows], self.w[rows]
+        return out
+
+    def __len__(self) -> int:
+        return len(self.num)
+
+    def lengths(self, view: View) -> np.ndarray:
+        total = np.zeros(len(self))
+        for i in view.num:
+            total += self.num[:, i] ** 2
+        for j in view.cat:
+            total += self.w[:, j] ** 2
+        return np.sqrt(total) + 1e-12
+
+
+class Metric:
+    """l1, l2 or cosine (l2 between vectors of length 1) under each view, with weighted category mismatch."""
+
+    def __init__(self, name: str, views: list[View], n_num: int, n_cat: int):
+        if name not in ("l1", "l2", "cosine"):
+            raise ValueError(name)
+        self.name, self.views, self.n_num = name, views, n_num
+        self.matrix = np.zeros((len(views), n_num + n_cat))
+        for v, view in enumerate(views):
+            self.matrix[v, list(view.num)] = 1.0
+            self.matrix[v, [n_num + j for j in view.cat]] = 1.0
+
+    def exact(self, v: int, q: Vectors, a: Vectors) -> np.ndarray:
+        """Distance of each vector of ``q`` to the one of ``a`` in the same place, features in their order."""
+        view, out = self.views[v], np.zeros(len(q))
+        nq, na = (q.lengths(view), a.lengths(view)) if self.name == "cosine" else (1.0, 1.0)
+        for i in view.num:
+            gap = q.num[:, i] / nq - a.num[:, i] / na
+            out += np.abs(gap) if self.name == "l1" else gap * gap
+        for j in view.cat:
+            x, y = q.w[:, j] / nq, a.w[:, j] / na
+            same = q.cat[:, j] == a.cat[:, j]
+            out += np.where(same, np.abs(x - y), x + y) if self.name == "l1" else np.where(same, (x - y) ** 2, x * x + y * y)
+        return out if self.name == "l1" else np.sqrt(out)
+
+    def near(self, q: Vectors, a: Vectors) -> np.ndarray:
+        """All distances (view, query, row), in another order of addition: right but for the last digits."""
+        parts = np.empty((self.matrix.shape[1], len(q), len(a)))
+        for i in range(self.n_num):
+            x, y = q.num[:, i, None], a.num[None, :, i]
+            parts[i] = np.abs(x - y) if self.name == "l1" else (x - y) ** 2 if self.name == "l2" else x * y
+        for j in range(self.matrix.shape[1] - self.n_num):
+            x, y, same = q.w[:, j, None], a.w[None, :, j], q.cat[:, j, None] == a.cat[None, :, j]
+            parts[self.n_num + j] = (np.where(same, np.abs(x - y), x + y) if self.name == "l1" else
+                                     np.where(same, (x - y) ** 2, x * x + y * y) if self.name == "l2" else np.where(same, x * y, 0.0))
+        out = (self.matrix @ parts.reshape(len(parts), -1)).reshape(len(self.views), len(q), len(a))
+        if self.name == "l1":
+            return out
+        if self.name == "cosine":
+            for v, view in enumerate(self.views):
+                nq, na = q.lengths(view), a.lengths(view)
+                own = ((nq - 1e-12) / nq)[:, None] ** 2 + ((na - 1e-12) / na)[None, :] ** 2
+                out[v] = own - 2.0 * out[v] / (nq[:, None] * na[None, :])
+        return np.sqrt(np.maximum(out, 0.0, out=out), out=out)
+
+    def margin(self, distance: np.ndarray) -> np.ndarray:
+        """How far above a distance of :meth:`near` its equals at ``DIGITS`` digits may lie."""
+        return distance + (1e-6 if self.name == "cosine" else 2e-9) + 1e-11 * np.abs(np.where(np.isfinite(distance), distance, 0.0))
+
+    def stretch(self, rows: int) -> int:
+        """Queries to work on at a time."""
+        return max(1, KERNEL_VALUES // (sum(self.matrix.shape) * max(rows, 1)))
+
+
+def _best_rows(metric: Metric, k: int):
+    """k nearest rows of a population block for every query of a query block, under each view that is still open."""
+    def run(q: pd.DataFrame, a: pd.DataFrame) -> pd.DataFrame:
+        columns: dict[str, list] = {c: [] for c in ("part", "view", "qid", "mult", "id", "dist")}
+        if len(a) and len(q):
+            a = a.sort_values("id")
+            rows, queries, ids = Vectors(a), Vectors(q), a["id"].to_numpy()
+            qids, mults, bounds = q["qid"].to_numpy(), q["mult"].to_numpy(), np.stack(q["bound"].to_numpy()).astype(float)
+            step = metric.stretch(len(a))
+            for start in range(0, len(q), step):
+                some = queries.take(slice(start, start + step))
+                near, bound = metric.near(some, rows), bounds[start:start + step]
+                for v in range(len(metric.views)):
+                    kth = np.partition(near[v], k - 1, axis=1)[:, k - 1] if len(a) > k else np.full(len(some), np.inf)
+                    iq, ia = np.nonzero(near[v] <= metric.margin(np.minimum(kth, bound[:, v]))[:, None])
+                    dist = np.round(metric.exact(v, some.take(iq), rows.take(ia)), DIGITS)
+                    order = np.lexsort((ia, dist, iq))
+                    iq, ia, dist = iq[order], ia[order], dist[order]
+                    place = np.arange(len(iq)) - np.searchsorted(iq, iq)
+                    hit = (place < k) & (dist <= bound[iq, v])
+                    at = start + iq[hit]
+                    for c, x in (("view", np.full(len(at), v, np.int32)), ("qid", qids[at]), ("mult", mults[at]), ("id", ids[ia[hit]]), ("dist", dist[hit])):
+                        columns[c].append(x)
+        found = {c: np.concatenate(x) if x else [] for c, x in columns.items() if c != "part"}
+        part = [q["part"].iloc[0] if len(q) else None] * len(found["qid"])
+        return pd.DataFrame({"part": pd.Series(part, dtype=object), **found})
     return run
 
 
-class _Directory:
-    """Pivots and radii per part: a bounded table every task can hold."""
-
-    def __init__(self, pivots: dict):
-        self.pivots = pivots
-        self.radius: dict[str, np.ndarray] = {}
-
-    def gaps(self, part: str, pdf: pd.DataFrame, l2: bool) -> np.ndarray:
-        return distances(*_arrays(pdf), *self.pivots[part], l2)
-
-
-def _assign_cells(directory: _Directory, l2: bool):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for part, some in pdf.groupby("part", sort=False):
-                for start in range(0, len(some), 4096):
-                    rows = some.iloc[start:start + 4096]
-                    d = directory.gaps(part, rows, l2)
-                    cell = d.argmin(axis=1)
-                    yield rows.assign(cell=cell.astype(np.int32), gap=d[np.arange(len(rows)), cell])
+def _nearest(metric: Metric, whole: Metric):
+    """Nearest pivot of each row of a block (whole space), with the distance under every view."""
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({"id": [], "pivot": [], "far": [], "gaps": []})
+        right = right.sort_values("pivot")
+        pivots, rows, out = Vectors(right), Vectors(left), []
+        step = whole.stretch(len(right))
+        for start in range(0, len(left), step):
+            some = rows.take(slice(start, start + step))
+            best = whole.near(some, pivots)[0].argmin(axis=1)
+            chosen = pivots.take(best)
+            gaps = np.stack([metric.exact(v, some, chosen) for v in range(len(metric.views))], axis=1)
+            out.append(pd.DataFrame({"id": left["id"].to_numpy()[start:start + step], "pivot": right["pivot"].to_numpy()[best],
+                                     "far": whole.exact(0, some, chosen), "gaps": gaps.tolist()}))
+        return pd.concat(out, ignore_index=True)
     return run
 
 
-def _further_cells(directory: _Directory, l2: bool):
-    """Cells other than home whose nearest possible row is within the bound so far."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for part, some in pdf.groupby("part", sort=False):
-                for start in range(0, len(some), 4096):
-                    rows = some.iloc[start:start + 4096]
-                    low = directory.gaps(part, rows, l2) - directory.radius[part][None, :]
-                    open_ = low <= rows["bound"].to_numpy()[:, None] + 1e-6
-                    open_[np.arange(len(rows)), rows["cell"].to_numpy()] = False
-                    at, cell = np.nonzero(open_)
-                    yield rows.iloc[at].assign(cell=cell.astype(np.int32))
+def _open(metric: Metric):
+    """Pivots whose rows may be within the bound of a query under some view: the lower bounds, and the least lead on the bound."""
+    def run(q: pd.DataFrame, pivots: pd.DataFrame) -> pd.DataFrame:
+        columns: dict[str, list] = {c: [] for c in ("qid", "pivot", "lead", "low")}
+        if len(q) and len(pivots):
+            queries, at, radius = Vectors(q), Vectors(pivots), np.stack(pivots["radius"].to_numpy()).astype(float)
+            bounds, home = np.stack(q["bound"].to_numpy()).astype(float), q["home"].to_numpy()  # no home among parents
+            step = metric.stretch(len(pivots))
+            for start in range(0, len(q), step):
+                low = metric.near(queries.take(slice(start, start + step)), at) - radius.T[:, None, :]
+                lead = (low - bounds[start:start + step].T[:, :, None]).min(axis=0)
+                open_ = (lead <= SLACK) & (home[start:start + step, None] != pivots["pivot"].to_numpy()[None, :])
+                iq, ia = np.nonzero(open_)
+                columns["qid"].append(q["qid"].to_numpy()[start + iq])
+                columns["pivot"].append(pivots["pivot"].to_numpy()[ia])
+                columns["lead"].append(lead[iq, ia])
+                columns["low"].extend(low[:, iq, ia].T.tolist())
+        return pd.DataFrame({c: (x if c == "low" else np.concatenate(x) if x else []) for c, x in columns.items()})
     return run
 
 
-def _expand_views(df: DataFrame, views: list[View], unit: bool) -> DataFrame:
-    def pick(col: str, idx, kind: str):
-        vals = F.array(*[F.col(col)[i] for i in idx]) if idx else F.array()
-        return vals.cast(f"array<{kind}>")
-
-    items = F.array(*[F.struct(
-        F.lit(v.name).alias("part"), pick("num", v.num, "double").alias("num"),
-        pick("cat", v.cat, "bigint").alias("cat"), pick("w", v.cat, "double").alias("w")) for v in views])
-    out = df.select("id", F.explode(items).alias("v")).select("id", "v.*")
-    return unit_rows(out) if unit else out
+def _meet(left: DataFrame, right: DataFrame, keys: list[str], left_id: str, right_id: str, block_rows: int):
+    """Both sides of every key cut into blocks of bounded size, each block of one side beside each of the other."""
+    def sizes(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias(name))
+
+    both = materialize(sizes(left, "_ln").join(sizes(right, "_rn"), keys), "meet")
+
+    def cut(df: DataFrame, own: str, other: str, row_id: str, mine: str, theirs: str) -> DataFrame:
+        placed = attach_groups(df, both, keys, "inner")
+        blocks = placed.withColumn(mine, F.pmod(F.xxhash64(row_id), F.col(own)).cast("int")).withColumn(
+            theirs, F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
+        return blocks.select(*[F.col(x).alias(x) for x in [*df.columns, mine, theirs]])  # new columns: both sides may come from one table
+
+    on = [*keys, "_l", "_r"]
+    return cut(left, "_ln", "_rn", left_id, "_l", "_r").groupBy(*on).cogroup(cut(right, "_rn", "_ln", right_id, "_r", "_l").groupBy(*on))
+
+
+class _Index:
+    """Two-level pivot index over ``rows(part, id, num, cat, w)``; every table of it is written."""
+
+    def __init__(self, rows: DataFrame, sizes: DataFrame, metric: Metric, whole: Metric, block_rows: int):
+        self.metric, self.whole, self.block_rows = metric, whole, block_rows
+        draw = uniform("pivot", "id")
+        sized = attach_groups(rows, sizes, ["part"], "inner")
+        is_first = F.col("id") == F.col("first_id")
+        pivots = materialize(sized.filter((draw * F.col("n") < F.col("cells")) | is_first).select(
+            "part", F.col("id").alias("pivot"), "num", "cat", "w", ((draw * F.col("n") < F.sqrt(F.col("cells"))) | is_first).alias("is_parent")), "pivots")
+        top = pivots.filter("is_parent").drop("is_parent")
+        parent_of = self.nearest(pivots.withColumnRenamed("pivot", "id"), top, ["part"])
+        children = materialize(pivots.drop("is_parent").join(parent_of.select(F.col("id").alias("pivot"), F.col("pivot").alias("parent")), "pivot"), "pivots")
+        in_parent = materialize(self.nearest(rows, top, ["part"]).select("id", F.col("pivot").alias("parent"), F.col("gaps").alias("parent_gaps")), "parents")
+        in_cell = self.nearest(rows.join(in_parent.select("id", "parent"), "id"), children, ["part", "parent"])
+        self.rows = materialize(rows.join(in_parent, "id").join(in_cell.select("id", F.col("pivot").alias("cell"), "gaps"), "id"), "cells")
+        self.cells = materialize(self._radii(["part", "parent", "cell"], "gaps").join(
+            children.select("part", F.col("pivot").alias("cell"), "num", "cat", "w"), ["part", "cell"]).withColumnRenamed("cell", "pivot"), "cell-index")
+        self.parents = materialize(self._radii(["part", "parent"], "parent_gaps").withColumnRenamed("parent", "pivot").join(top, ["part", "pivot"]), "parent-index")
+
+    def _radii(self, keys: list[str], gaps: str) -> DataFrame:
+        widest = F.array(*[F.max(F.col(gaps)[v]) for v in range(len(self.metric.views))])
+        return self.rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), widest.alias("radius"))
+
+    def nearest(self, left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+        """``id, pivot, gaps``: nearest of ``right`` per row of ``left``, ties to the smaller pivot."""
+        met = _meet(left.select(*keys, "id", "num", "cat", "w"), right.select(*keys, "pivot", "num", "cat", "w"), keys, "id", "pivot", self.block_rows)
+        found = met.applyInPandas(_nearest(self.metric, self.whole), "id bigint, pivot bigint, far double, gaps array<double>")
+        return found.groupBy("id").agg(F.min(F.struct("far", "pivot", "gaps")).alias("b")).select("id", "b.pivot", "b.gaps")
+
+    def homes(self, queries: DataFrame) -> DataFrame:
+        """``qid, home`` cell of each query."""
+        asked = queries.withColumnRenamed("qid", "id")
+        parent = self.nearest(asked, self.parents, ["part"]).select("id", F.col("pivot").alias("parent"))
+        return self.nearest(asked.join(parent, "id"), self.cells, ["part", "parent"]).select(F.col("id").alias("qid"), F.col("pivot").alias("home"))
+
+    def open_cells(self, queries: DataFrame) -> DataFrame:
+        """``part, qid, cell, low, place`` of ``queries(.., home, bound)``: cells that cannot be ruled out, by lower bound."""
+        schema = "qid bigint, pivot bigint, lead double, low array<double>"
+        asked = queries.select("part", "qid", "num", "cat", "w", "bound", "home")
+        parents = _meet(asked.withColumn("home", F.lit(None).cast("double")), self.parents.select("part", "pivot", "num", "cat", "w", "radius"),
+                        ["part"], "qid", "pivot", self.block_rows).applyInPandas(_open(self.metric), schema)
+        routed = materialize(parents.select("qid", F.col("pivot").alias("parent")).join(asked, "qid"), "open-parents")
+        cells = _meet(routed, self.cells.select("part", "parent", "pivot", "num", "cat", "w", "radius"), ["part", "parent"], "qid", "pivot", self.block_rows)
+        order = Window.partitionBy("qid").orderBy("lead", "cell")
+        found = cells.applyInPandas(_open(self.metric), schema).withColumnRenamed("pivot", "cell")
+        return found.withColumn("place", F.row_number().over(order))
 
 
 def knn(a: DataFrame, c: DataFrame, k: int, metric: str = "l1", views: list[View] | None = None,
-        block_rows: int = BLOCK_ROWS, max_cells: int = MAX_CELLS) -> DataFrame:
+        block_rows: int = BLOCK_ROWS, cell_rows: int = CELL_ROWS, visits: Visits | None = None) -> DataFrame:
     """k nearest population rows per distinct query vector.
 
     Inputs hold (id, num, cat, w) and optionally ``part``: a query only meets rows of its own
-    part. ``views`` runs one search per feature subspace in the same job. ``metric`` is l1, l2
-    or cosine (L2 on unit rows). Output: part, qid (smallest id among equal queries), mult
-    (how many queries share the vector), rank, id, dist.
+    part. ``views`` searches every feature subspace at once. ``metric`` is l1, l2
+    or cosine (L2 on unit rows). Output: part (with views: the view's name), qid (smallest id among equal
+    queries), mult (how many queries share the vector), rank, id, dist.
     """
-    l2, unit = metric in ("l2", "cosine"), metric == "cosine"
-    if metric not in ("l1", "l2", "cosine"):
-        raise ValueError(metric)
-    if views:
-        a, c = _expand_views(a, views, unit), _expand_views(c, views, unit)
-    else:
-        has_part = "part" in a.columns
-        if not has_part:
-            a, c = a.withColumn("part", F.lit("*")), c.withColumn("part", F.lit("*"))
-        if unit:
-            a, c = unit_rows(a), unit_rows(c)
+    if views or "part" not in a.columns:
+        a, c = a.withColumn("part", F.lit("*")), c.withColumn("part", F.lit("*"))
     vec = ["part", "num", "cat", "w"]
     copies = Window.partitionBy(*vec).orderBy("id")
-    rows = a.select("id", *vec).withColumn("__rn", F.row_number().over(copies)).filter(F.col("__rn") <= k).drop("__rn")
-    rows = materialize(rows)
-    queries = materialize(c.groupBy(*vec).agg(F.min("id").alias("qid"), F.count(F.lit(1)).alias("mult")))
-
-    sizes = {r["part"]: r["count"] for r in rows.groupBy("part").count().limit(MAX_PIVOTS + 1).collect()}
-    if len(sizes) > MAX_PIVOTS:
-        raise ValueError(f"more than {MAX_PIVOTS} parts; use a coarser block key")
-    limit = max(1, min(max_cells, MAX_PIVOTS // max(len(sizes), 1)))
-    want = {p: max(1, min(limit, -(-n // block_rows))) for p, n in sizes.items()}
-    w = Window.partitionBy("part").orderBy(uniform("pivot", "id"), "id")
-    top = max(want.values(), default=1)
-    pick = rows.withColumn("__rn", F.row_number().over(w)).filter(F.col("__rn") <= top).toPandas()
-    pivots = {p: _arrays(g.sort_values("__rn").head(want[p])) for p, g in pick.groupby("part", sort=False)}
-    directory = _Directory(pivots)
-    several = top > 1
-    cell_schema = f"id bigint, part string, {VECTOR}, cell int, gap double"
-    if several:
-        rows = materialize(rows.mapInPandas(_assign_cells(directory, l2), cell_schema))
-    else:
-        rows = rows.withColumns({"cell": F.lit(0), "gap": F.lit(0.0)})
-    stats = rows.groupBy("part", "cell").agg(F.count(F.lit(1)).alias("n"), F.max("gap").alias("r")).collect()
-    for p in pivots:
-        radius = np.full(want[p], -np.inf)  # empty cells can never be visited
-        for r in stats:
-            if r["part"] == p:
-                radius[r["cell"]] = r["r"]
-        directory.radius[p] = radius
-    blocks = rows.sparkSession.createDataFrame(
-        [(r["part"], r["cell"], -(-r["n"] // block_rows)) for r in stats],
-        "part string, cell int, subs int")
-    rows = rows.join(F.broadcast(blocks), ["part", "cell"]).withColumn(
-        "sub", F.pmod(F.xxhash64("id"), F.col("subs")).cast("int"))
-    queries = queries.join(F.broadcast(blocks.select("part").distinct()), "part")
-
-    def visit(to_visit: DataFrame) -> DataFrame:
-        """Meet the (part, cell) blocks of both sides; both are cut to ``block_rows``."""
-        chunks = to_visit.groupBy("part", "cell").agg(F.count(F.lit(1)).alias("nq")).select(
-            "part", "cell", F.ceil(F.col("nq") / block_rows).cast("int").alias("chunks"))
-        left = rows.join(chunks, ["part", "cell"]).withColumn(
-            "chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(
-            "part", "cell", "sub", "chunk", "id", "num", "cat", "w")
-        right = to_visit.join(chunks, ["part", "cell"]).join(F.broadcast(blocks), ["part", "cell"]).withColumn(
-            "chunk", F.pmod(F.xxhash64("qid"), F.col("chunks")).cast("int")).withColumn(
-            "sub", F.explode(F.sequence(F.lit(0), F.col("subs") - 1))).select(
-            "part", "cell", "sub", "chunk", "qid", "mult", "num", "cat", "w")
-        keys = ["part", "cell", "sub", "chunk"]
-        return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(
-            _block_kernel(k, l2), "part string, qid bigint, mult bigint, id bigint, dist double")
-
-    best = Window.partitionBy("part", "qid").orderBy("dist", "id")
+    rows = materialize(a.select("id", *vec).withColumn("__rn", F.row_number().over(copies)).filter(F.col("__rn") <= k).drop("__rn"))
+    width = rows.select(F.size("num").alias("n"), F.size("cat").alias("m")).first()
+    shape = (width["n"], width["m"]) if width else (0, 0)
+    everything = View("*", tuple(range(shape[0])), tuple(range(shape[1])))
+    ask, whole = Metric(metric, views or [everything], *shape), Metric(metric, [everything], *shape)
+    sizes = materialize(rows.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.min_by("id", F.struct(uniform("pivot", "id"), "id")).alias("first_id")).withColumn(
+        "cells", F.ceil(F.col("n") / cell_rows)))
+    no_bound = F.array(*[F.lit(float("inf")) for _ in ask.views])
+    queries = materialize(attach_groups(c.groupBy(*vec).agg(F.min("id").alias("qid"), F.count(F.lit(1)).alias("mult")), sizes.select("part"), ["part"], "inner").withColumn("bound", no_bound))
+    best = Window.partitionBy("part", "view", "qid").orderBy("dist", "id")
 
     def keep_best(found: DataFrame) -> DataFrame:
         return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
-    if not several:
-        return keep_best(visit(queries.withColumn("cell", F.lit(0))))
-    home = materialize(queries.withColumnRenamed("qid", "id").mapInPandas(
-        _assign_cells(directory, l2), f"part string, {VECTOR}, id bigint, mult bigint, cell int, gap double"
-    ).withColumnRenamed("id", "qid").drop("gap"))
-    first = materialize(keep_best(visit(home)).drop("rank"))
-    bound = first.groupBy("part", "qid").agg(
-        F.when(F.count(F.lit(1)) >= k, F.max("dist")).otherwise(F.lit(float("inf"))).alias("bound"))
-    more = home.join(bound, ["part", "qid"], "left").withColumn(
-        "bound", F.coalesce("bound", F.lit(float("inf")))).mapInPandas(
-        _further_cells(directory, l2),
-        f"part string, qid bigint, {VECTOR}, mult bigint, cell int, bound double").drop("bound")
-    return keep_best(first.unionByName(visit(materialize(more))))
+    def visit(placed: DataFrame, asked: DataFrame) -> DataFrame:
+        """Queries (with ``cell`` and ``bound``) meet the rows of their cells."""
+        if visits is not None:
+            visits.steps.append(placed.groupBy("part", "cell").agg(F.count(F.lit(1)).alias("n")).join(
+                asked.groupBy("part", "cell").agg(F.count(F.lit(1)).alias("nq")), ["part", "cell"]))
+        met = _meet(asked.select("part", "cell", "qid", "mult", "num", "cat", "w", "bound"), placed.select("part", "cell", "id", "num", "cat", "w"), ["part", "cell"], "qid", "id", block_rows)
+        return met.applyInPandas(_best_rows(ask, k), "part string, view int, qid bigint, mult bigint, id bigint, dist double")
+
+    if (sizes.agg(F.max("cells")).first()[0] or 1) == 1:
+        found = keep_best(visit(rows.withColumn("cell", F.lit(0)), queries.withColumn("cell", F.lit(0))))
+    else:
+        found = _search(_Index(rows, sizes, ask, whole, block_rows), queries, visit, keep_best, len(ask.views), k)
+    named = found if not views else found.withColumn("part", F.element_at(F.array(*[F.lit(v.name) for v in views]), F.col("view") + 1))
+    return named.drop("view")
+
+
+def _search(index: _Index, queries: DataFrame, visit, keep_best, n_views: int, k: int) -> DataFrame:
+    """Home cells, then open cells by lower bound in growing steps; the best so far is written after each step."""
+    queries = materialize(queries.join(index.homes(queries), "qid"), "homes")
+    found = materialize(keep_best(visit(index.rows, queries.withColumn("cell", F.col("home")))), "best")
+
+    def bounds(found: DataFrame) -> DataFrame:
+        full = found.groupBy("qid", "view").agg(F.when(F.count(F.lit(1)) >= k, F.max("dist")).alias("d"))
+        at = [F.coalesce(F.max(F.when(F.col("view") == v, F.col("d"))), F.lit(float("inf"))) for v in range(n_views)]
+        return full.groupBy("qid").agg(F.array(*at).alias("bound"))
+
+    def bounded(asked: DataFrame, found: DataFrame) -> DataFrame:
+        return asked.drop("bound").join(bounds(found), "qid", "left").withColumn("bound", F.coalesce("bound", F.array(*[F.lit(float("inf"))] * n_views)))
+
+    open_ = materialize(index.open_cells(bounded(queries, found)), "open-cells")
+    last, done, step = open_.agg(F.max("place")).first()[0] or 0, 0, FIRST_CELLS
+    while done < last:
+        todo = bounded(open_.filter((F.col("place") > done) & (F.col("place") <= done + step)).join(queries, "qid"), found)
+        todo = materialize(todo.filter(F.exists(F.arrays_zip("low", "bound"), lambda x: x["low"] <= x["bound"] + SLACK)), "todo")
+        found = materialize(keep_best(found.drop("rank").unionByName(visit(index.rows, todo))), "best")
+        done, step = done + step, step * STEP
+    return found
 
 
 def per_query(c: DataFrame, found: DataFrame, metric: str = "l1") -> DataFrame:
     """Repeat the result of a shared query vector for each of its query rows (single view)."""
     q = c if "part" in c.columns else c.withColumn("part", F.lit("*"))
-    q = unit_rows(q) if metric == "cosine" else q
     vec = ["part", "num", "cat", "w"]
     shared = q.groupBy(*vec).agg(F.min("id").alias("qid"))
     return q.select(F.col("id").alias("query_id"), *vec).join(shared, vec).select("query_id", "part", "qid").join(
