@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from veiltab.functions.clean import clean_category, to_number
 from veiltab.operators import fit
 from veiltab.operators import scale as S
+from veiltab.operators.joins import attach_groups
+from veiltab.session import materialize
 
 # ---------------------------------------------------------------- for models
 
@@ -113,23 +115,33 @@ def encode_pair(a: DataFrame, c: DataFrame, numeric: list[str], cats: list[str],
     tidy = {k: clean_category(k) for k in cats}
     a, c = a.withColumns(tidy), c.withColumns(tidy)
     weights = [F.lit(1.0) for _ in cats]
+
+    def share_weight(counted: DataFrame, k: str, n: int) -> DataFrame:
+        """``k, __w_k``: ln(1/share)^1.2 per level; a table of any size, joined to the rows."""
+        logs = F.log(F.lit(1.0) / (F.col("n") / F.lit(float(n)) + F.lit(1e-6)))
+        return fit.level_table(counted, k).select(F.col("level").alias(k), F.pow(F.greatest(logs, F.lit(0.0)), F.lit(1.2)).alias(f"__w_{k}"))
+
     if kind == "zidf":
         both = a.select(*cats).unionByName(c.select(*cats))
         n = both.count()
-        tables = [{v: idf(m / n) for v, m in fit.level_counts(both, k)} for k in cats]
-        weights = [fit.lookup(F.col(k), t, 1.0) for k, t in zip(cats, tables)]
+        for k in cats:
+            table = materialize(share_weight(both, k, n), "levels")
+            a, c = attach_groups(a, table, [k]), attach_groups(c, table, [k])
+        weights = [F.coalesce(f"__w_{k}", F.lit(1.0)) for k in cats]
     elif kind == "idf_clip":
         means = fit.row(a, n=F.count(F.lit(1)), **{k: F.avg(k) for k in numeric})
         factor = {k: min(max(idf(means[k]), 0.5), 3.0) for k in numeric}
-        tables = [{v: min(max(idf(m / means["n"]), 0.5), 3.0) for v, m in fit.level_counts(a, k)} for k in cats]
+        for k in cats:
+            table = materialize(share_weight(a, k, means["n"]), "levels")
+            a, c = attach_groups(a, table, [k]), attach_groups(c, table, [k])
         # a level A never shows has an all-zero column in A: mean 0, so the upper clip
-        weights = [fit.lookup(F.col(k), t, 3.0) for k, t in zip(cats, tables)]
+        weights = [F.coalesce(F.least(F.greatest(f"__w_{k}", F.lit(0.5)), F.lit(3.0)), F.lit(3.0)) for k in cats]
     elif kind == "robust":
         both = a.select(*cats).unionByName(c.select(*cats))
         for k in cats:
-            counts = fit.level_counts(both, k)
-            if len(counts) > 30:
-                top = [v for v, _ in sorted(counts, key=lambda t: (-t[1], t[0]))[:20]]
+            table = fit.level_table(both, k)
+            if table.limit(31).count() > 30:
+                top = [r["level"] for r in table.orderBy(F.col("n").desc(), "level").limit(20).collect()]
                 fold = F.when(F.col(k).isin(top), F.col(k)).otherwise("__rest__")
                 a, c = a.withColumn(k, fold), c.withColumn(k, fold)
     num = [F.col(k) * factor.get(k, 1.0) for k in numeric]

@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 
 from veiltab.operators.ranks import exact_quantiles, long_values
 
-MAX_LEVELS = 10_000
-
 
 def row(df: DataFrame, **aggs: Column) -> dict:
     """One-row aggregate as a dict."""
@@ -47,14 +45,15 @@ def modes(df: DataFrame, cols: list[str]) -> dict[str, str | None]:
     return {c: got.get(c) for c in cols}
 
 
+def level_table(df: DataFrame, c: str) -> DataFrame:
+    """``level, n`` of the non-blank levels, one row each; the set may be of any size."""
+    return (df.filter(F.col(c).isNotNull() & (F.trim(F.col(c).cast("string")) != ""))
+            .groupBy(F.col(c).alias("level")).agg(F.count(F.lit(1)).alias("n")))
+
+
 def level_counts(df: DataFrame, c: str) -> list[tuple[str, int]]:
-    """(level, count) of the non-blank levels in level order; the level set must be bounded."""
-    hist = (df.filter(F.col(c).isNotNull() & (F.trim(F.col(c).cast("string")) != ""))
-            .groupBy(c).agg(F.count(F.lit(1)).alias("n")))
-    got = hist.limit(MAX_LEVELS + 1).collect()
-    if len(got) > MAX_LEVELS:
-        raise ValueError(f"{c} has more than {MAX_LEVELS} levels; coarsen it first")
-    return sorted((r[0], r[1]) for r in got)
+    """(level, count) of the non-blank levels in level order, for columns that become one output column per level."""
+    return sorted((r[0], r[1]) for r in level_table(df, c).collect())
 
 
 def lookup(key: Column, table: dict, default=None) -> Column:

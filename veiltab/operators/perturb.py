@@ -1,14 +1,16 @@
 """Cell-level perturbation: categories, numbers and flags, all driven by hashed draws."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veiltab.functions.clean import range_clip
 from veiltab.functions.hashing import (even_choice, float_between, gaussian, integer_between,
                                        uniform, weighted_choice)
 from veiltab.operators import fit
+from veiltab.operators.joins import attach_groups
 from veiltab.operators.ranks import first_n
+from veiltab.session import materialize
 
 ROW = "row_id"
 
@@ -23,35 +25,61 @@ def _blank(c: str) -> Column:
 
 # ---------------------------------------------------------------- categories
 
+def _numbered_levels(df: DataFrame, c: str) -> DataFrame:
+    """Written table ``level, n, at, place``: rows of smaller levels and number of smaller levels."""
+    return materialize(_text_counts(fit.level_table(df.withColumn(c, F.col(c).cast("string")), c)), "levels")
+
+
+def _text_counts(table: DataFrame) -> DataFrame:
+    """Running counts of text levels: cut by their first bytes, counted inside and lifted by the sizes of the earlier cuts."""
+    cut = table.withColumn("_cut", F.substring(F.encode("level", "utf-8"), 1, 2))
+    sizes = cut.groupBy("_cut").agg(F.sum("n").alias("_n"), F.count(F.lit(1)).alias("_m"))
+    earlier = Window.orderBy("_cut").rowsBetween(Window.unboundedPreceding, -1)  # at most 65,536 cuts
+    starts = sizes.select("_cut", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_at"), F.coalesce(F.sum("_m").over(earlier), F.lit(0)).alias("_place"))
+    inside = Window.partitionBy("_cut").orderBy("level").rowsBetween(Window.unboundedPreceding, -1)
+    own = cut.withColumn("n_in", F.coalesce(F.sum("n").over(inside), F.lit(0))).withColumn("m_in", F.coalesce(F.count(F.lit(1)).over(inside), F.lit(0)))
+    return own.join(F.broadcast(starts), "_cut").select("level", "n", (F.col("_at") + F.col("n_in")).alias("at"), (F.col("_place") + F.col("m_in")).alias("place"))
+
+
 def replace_category_uniform(df: DataFrame, c: str, p: float, salt: str = "", row_id: str = ROW) -> DataFrame:
-    """With probability p take another observed non-blank level, all equally likely."""
-    levels = [v for v, _ in fit.level_counts(df, c)]
-    others = F.filter(F.array(*[F.lit(v) for v in levels]), lambda x: x != F.col(c))
-    pick = F.try_element_at(others, (F.floor(uniform(f"{salt}{c}/v", row_id) * F.size(others)) + 1).cast("int"))
+    """With probability p take another observed non-blank level, all equally likely.
+
+    Levels are numbered; the draw is a number among the others, and a join by number brings the level.
+    """
+    levels = _numbered_levels(df, c)
+    total = levels.count()
     hit = (uniform(f"{salt}{c}/p", row_id) < p) & ~_blank(c)
-    return df.withColumn(c, F.when(hit, F.coalesce(pick, F.col(c))).otherwise(F.col(c)))
+    own = attach_groups(df, levels.select(F.col("level").alias(c), F.col("place").alias("__own")), [c])
+    t = F.floor(uniform(f"{salt}{c}/v", row_id) * (total - 1))
+    drawn = own.withColumn("__slot", F.when(hit & (total > 1), t + F.when(t >= F.col("__own"), 1).otherwise(0)))
+    picked = attach_groups(drawn, levels.select(F.col("place").alias("__slot"), F.col("level").alias("__pick")), ["__slot"])
+    return picked.withColumn(c, F.coalesce("__pick", F.col(c))).select(*df.columns)
 
 
 def replace_category_weighted(df: DataFrame, c: str, p: float, salt: str = "", row_id: str = ROW) -> DataFrame:
     """With probability p take another level, in proportion to the observed frequencies.
 
-    The draw lands on a position among the rows of other levels; positions at or after the
-    own level's stretch are shifted past it.
+    The draw lands on a position among the rows of other levels; positions at or after the own level's stretch are
+    shifted past it. Positions are cut into as many equal slots as there are levels: a slot's entry lists the levels it
+    meets (an equi-join by slot number), and the position picks among them. A slot meets two levels on average; as levels
+    number the slots, all lists together hold less than twice the levels, and a row only carries its own slot's list.
     """
-    counts = fit.level_counts(df, c)
-    if len(counts) < 2:
+    levels = _numbered_levels(df, c)
+    got = levels.agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("n")).first()
+    if got["m"] < 2:
         return df
-    before, size, acc = {}, {}, 0
-    for v, n in counts:
-        before[v], size[v], acc = acc, n, acc + n
-    own_n, own_at = fit.lookup(F.col(c), size), fit.lookup(F.col(c), before)
-    t = F.floor(uniform(f"{salt}{c}/v", row_id) * (F.lit(acc) - own_n))
-    t = t + F.when(t >= own_at, own_n).otherwise(0)
-    pick = F.lit(counts[-1][0])
-    for v, n in reversed(counts[:-1]):
-        pick = F.when(t < before[v] + n, F.lit(v)).otherwise(pick)
+    width = -(-got["n"] // got["m"])
     hit = (uniform(f"{salt}{c}/p", row_id) < p) & ~_blank(c)
-    return df.withColumn(c, F.when(hit, pick).otherwise(F.col(c)))
+    own = attach_groups(df, levels.select(F.col("level").alias(c), F.col("at").alias("__at"), F.col("n").alias("__n")), [c])
+    t = F.floor(uniform(f"{salt}{c}/v", row_id) * (F.lit(got["n"]) - F.col("__n")))
+    t = F.when(hit, t + F.when(t >= F.col("__at"), F.col("__n")).otherwise(0))
+    drawn = own.withColumn("__t", t).withColumn("__slot", F.floor(F.col("__t") / width))
+    reach = F.sequence(F.floor(F.col("at") / width), F.floor((F.col("at") + F.col("n") - 1) / width))
+    slots = levels.select(F.explode(reach).alias("__slot"), F.struct((F.col("at") + F.col("n")).alias("end"), "level").alias("e")).groupBy("__slot").agg(
+        F.sort_array(F.collect_list("e")).alias("__met"))
+    met = attach_groups(drawn, slots, ["__slot"])
+    first = F.get(F.filter("__met", lambda e: e["end"] > F.col("__t")), F.lit(0))["level"]
+    return met.withColumn(c, F.when(hit, F.coalesce(first, F.col(c))).otherwise(F.col(c))).select(*df.columns)
 
 
 def replace_value_fixed(df: DataFrame, c: str, moves: list[tuple[str, str, float]], salt: str = "",
@@ -74,8 +102,9 @@ def randomise_level(df: DataFrame, c: str, level: str, p: float, to: list[str],
 def merge_levels_probabilistic(df: DataFrame, c: str, to: str, tiny_ratio: float, listed: list[str],
                                p: float = 0.7, salt: str = "", row_id: str = ROW) -> DataFrame:
     """Listed levels at or below the ratio always merge; those above it merge with probability p."""
-    counts = dict(fit.level_counts(df, c))
-    total = df.count()
+    asked = fit.row(df, n=F.count(F.lit(1)), **{f"l{i}": F.count_if(F.col(c) == v) for i, v in enumerate(listed)})
+    counts = {v: asked[f"l{i}"] for i, v in enumerate(listed) if asked[f"l{i}"]}
+    total = asked["n"]
     tiny = [v for v in listed if v in counts and counts[v] <= tiny_ratio * total]
     large = [v for v in listed if v in counts and v not in tiny]
     out = F.col(c)
