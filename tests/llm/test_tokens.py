@@ -29,3 +29,33 @@ def test_documents(file, spark, sf):
     enc = ENCODERS[file]
     want = [list(x.ids) for x in enc.library.encode_batch(texts, add_special_tokens=False)]
     assert [list(struct.unpack(f"<{len(x) // 4}I", x)) for x in enc.encode(texts)] == want
+
+
+@pytest.mark.parametrize("file", [f for f, _ in FILES])
+def test_long_texts_are_worked_on_in_slices(file, monkeypatch):
+    from veiltab.llm import tokens
+
+    monkeypatch.setattr(tokens, "SLICE", 40)
+    enc = UnitEncoder(public.path(file), dict(FILES)[file])
+    texts = ["some plain words and\nmore of them, don't 3.14 'tis  two   spaces été " * 9, "x" * 300, "one two " * 30, "", "<|endoftext|> a b " * 8, "漢字 word other " * 20]
+    want = [list(x.ids) for x in enc.library.encode_batch(texts, add_special_tokens=False)]
+    assert [list(struct.unpack(f"<{len(x) // 4}I", x)) for x in enc.encode(texts)] == want
+
+
+def test_memory_of_the_dictionary_is_bounded():
+    import hashlib
+    import tracemalloc
+
+    enc = UnitEncoder(public.path(FILES[0][0]), "drop")
+    enc.kept = 1 << 20
+    digests = [hashlib.sha256(str(i).encode()).hexdigest() for i in range(12_000)]
+    short, long = [d[:12] for d in digests], [(digests[i] * 47)[:3000] for i in range(300)]
+    enc.encode(["warm up"])
+    tracemalloc.start()
+    for held in (digests, short, long):
+        for at in range(0, len(held), 100):
+            enc.encode([" ".join(held[at:at + 100])])
+    size, _ = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert size < 2.5 * enc.kept and enc.held <= enc.kept
+    assert all(len(k) <= 32 for k in enc.known | enc.older) and len(enc.known) > 1000

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from veiltab.llm.common import scratch_path, sliced, small_batches, text_of
 from veiltab.llm.tokens import encoder
 
-BLOCK_IDS = 1 << 18
+BLOCK_IDS = 1 << 17
 SHARD_BYTES = 48 << 20  # aimed text bytes of a shard
 BLOCKS = "shard int, block int, first long, n_ids long, bits int, doc_ids array<long>, ends array<int>, payload binary"
 
@@ -43,7 +43,9 @@ def bits_for(vocabulary: int) -> int:
 
 
 def pack(ids: np.ndarray, bits: int) -> bytes:
-    """Pack unsigned ids below 2 ** bits (bits <= 32)."""
+    """Pack unsigned ids below 2 ** bits (bits <= 32); a wider id is an error, as it would spoil its neighbours."""
+    if len(ids) and int(ids.max()) >> bits:
+        raise ValueError(f"id {int(ids.max())} takes more than {bits} bits")
     groups = -(-len(ids) // 64)
     padded = np.zeros(groups * 64, np.uint64)
     padded[: len(ids)] = ids
@@ -83,23 +85,24 @@ def write_ids(docs: DataFrame, tokenizer: str, vocabulary: int, end_id: int, spa
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end = encoder(tokenizer, spaces), np.asarray([end_id], "<u4").tobytes()
-        shard, block, first, held, names, ends = TaskContext.get().partitionId(), 0, 0, [], [], []
+        shard, block, first, held, names, ends = TaskContext.get().partitionId(), 0, 0, bytearray(), [], []
         n = 0
 
         def closed() -> pa.RecordBatch:
-            payload = pack(np.frombuffer(b"".join(held), "<u4"), bits)
+            payload = pack(np.frombuffer(bytes(held), "<u4"), bits)
             return pa.RecordBatch.from_arrays(
                 [pa.array([shard], pa.int32()), pa.array([block], pa.int32()), pa.array([first], pa.int64()), pa.array([n], pa.int64()), pa.array([bits], pa.int32()),
                  pa.array([names], pa.list_(pa.int64())), pa.array([ends], pa.list_(pa.int32())), pa.array([payload], pa.binary())],
                 names=["shard", "block", "first", "n_ids", "bits", "doc_ids", "ends", "payload"])
 
-        for batch in sliced(batches, "text"):
+        for batch in sliced(batches, "text", 1 << 20):
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), enc.encode(batch.column("text").to_pylist())):
                 more = len(ids) // 4 + 1
                 if n and n + more > BLOCK_IDS:
                     yield closed()
-                    block, first, n, held, names, ends = block + 1, first + n, 0, [], [], []
-                held += (ids, end)
+                    block, first, n, held, names, ends = block + 1, first + n, 0, bytearray(), [], []
+                held += ids
+                held += end
                 n += more
                 names.append(doc_id)
                 ends.append(n)

@@ -25,20 +25,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veiltab.llm.common import sliced, small_batches, text_of, written
-from veiltab.llm.tokens import KEPT_UNITS, encoder
+from veiltab.llm.tokens import KEPT_BYTES, encoder
 
 LIMIT = 1024
 
 
 def cut(docs: DataFrame, tokenizer: str, end_id: int, spaces: str = "prefix", limit: int = LIMIT, with_ids: bool = False, text: str = "text", id_col: str = "doc_id",
-        kept_units: int = KEPT_UNITS) -> DataFrame:
+        kept_bytes: int = KEPT_BYTES) -> DataFrame:
     """Written table of pieces: ``part, nth`` (number among its task's pieces of that length), ``doc_id, piece, start, length, ids_crc32`` and, if asked, ``ids``."""
     extra = ", ids binary" if with_ids else ""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pa.default_memory_pool().release_unused()  # a reused worker may hold what earlier stages read
-        enc, end, part, seen = encoder(tokenizer, spaces, kept_units), np.asarray([end_id], "<u4").tobytes(), TaskContext.get().partitionId(), Counter()
-        for batch in sliced(batches, "text"):
+        enc, end, part, seen = encoder(tokenizer, spaces, kept_bytes), np.asarray([end_id], "<u4").tobytes(), TaskContext.get().partitionId(), Counter()
+        for batch in sliced(batches, "text", 1 << 20):
             rows = []
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), enc.encode(batch.column("text").to_pylist())):
                 ids += end

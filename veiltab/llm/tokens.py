@@ -2,24 +2,30 @@
 
 Both supported pre-tokenizers always cut before a space that a word follows, around a single newline, and between
 letters and ASCII punctuation other than the apostrophe. A text is cut at such places only, so the ids of its units, one
-after the other, are the ids of the text; what a unit is made of is left to the library. Units are kept in a bounded
-dictionary per worker, as words repeat. Units of ASCII letters go to the library's BPE model itself, which is what its
+after the other, are the ids of the text; what a unit is made of is left to the library. As words repeat, short units are
+kept in a dictionary per worker, bounded by its bytes; long ones (numbers, digests, addresses) are encoded where they stand. Units of ASCII letters go to the library's BPE model itself, which is what its
 normalizer and pre-tokenizer would hand over; all others go through the whole library. A text with the first characters
 of a special token goes to the library whole. Ids are little-endian unsigned 32-bit integers.
 """
 from __future__ import annotations
 
 import os
+import re
 import string
 import struct
 import unicodedata
+from collections.abc import Iterator
 
-KEPT_UNITS = 500_000  # units a worker remembers (about 200 bytes each); beyond, it forgets all and starts anew
+KEPT_BYTES = 112 << 20  # memory of the units a worker learnt last; beyond, they become the older half, and the former older half is forgotten
+ENTRY_BYTES = 230       # Python's own share of an entry: a key, a value and their place in the dictionary
+LONGEST_KEPT = 32       # characters; longer units seldom come again
+SLICE = 1 << 20         # characters worked on at a time
+_CUT = re.compile(r"[a-z] (?=[a-z])")  # plain words on both sides: no rule of either pre-tokenizer looks across
 _TAIL = frozenset(string.punctuation) - {"'"}
 _KEPT: dict[tuple[str, str], UnitEncoder] = {}
 
 
-def encoder(path: str, spaces: str, kept: int = KEPT_UNITS) -> UnitEncoder:
+def encoder(path: str, spaces: str, kept: int = KEPT_BYTES) -> UnitEncoder:
     """The worker's encoder for a tokenizer file; ``spaces``: "drop" or "prefix" (a space belongs to the next word)."""
     if (path, spaces) not in _KEPT:
         _KEPT[path, spaces] = UnitEncoder(path, spaces)
@@ -36,7 +42,9 @@ class UnitEncoder:
         self.special = [t.content[:2] for t in self.library.get_added_tokens_decoder().values()]
         self.prefix = spaces == "prefix"
         self.known: dict[str, bytes] = {}
-        self.kept = KEPT_UNITS
+        self.older: dict[str, bytes] = {}
+        self.held = 0
+        self.kept = KEPT_BYTES
 
     def _units(self, text: str) -> list[str]:
         """Keys of the units: with "prefix", ``w`` stands for a space and w, and a newline and w for w itself."""
@@ -66,10 +74,13 @@ class UnitEncoder:
     def _literal(self, key: str) -> str:
         return key if not self.prefix else key[1:] if key[0] == "\n" else " " + key
 
-    def _learn(self, keys: set[str]) -> None:
-        """Ids of new units; letters followed by punctuation are the two parts' ids."""
-        known, tokenize, prefix, direct, split = self.known, self.library.model.tokenize, self.prefix, [], []
+    def _ids(self, keys: set[str]) -> dict[str, bytes]:
+        """Ids of units not remembered; letters followed by punctuation are the two parts' ids."""
+        tokenize, prefix, found, direct, split, older = self.library.model.tokenize, self.prefix, {}, [], [], self.older
         for key in keys:
+            if key in older:
+                found[key] = older[key]
+                continue
             mark = key[:1] if prefix and key[:1] == "\n" else ""
             core = key[len(mark):]
             end = len(core)
@@ -79,45 +90,88 @@ class UnitEncoder:
                 direct.append(key)
                 continue
             head, tail = mark + core[:end], ("\n" if prefix else "") + core[end:]
-            if head not in known:
+            if head not in found and not self._recall(head, found):
                 if head.isascii():
                     seen = core[:end].lower() if not prefix else core[:end] if mark else "\u0120" + core[:end]
                     ids = [t.id for t in tokenize(seen)]
-                    known[head] = struct.pack(f"<{len(ids)}I", *ids)
+                    found[head] = struct.pack(f"<{len(ids)}I", *ids)
                 else:
                     direct.append(head)
             if end < len(core):
                 split.append((key, head, tail))
-                if tail not in known:
+                if tail not in found and not self._recall(tail, found):
                     direct.append(tail)
         direct = list(dict.fromkeys(direct))
-        for key, found in zip(direct, self.library.encode_batch([self._literal(k) if k else k for k in direct], add_special_tokens=False)):
-            known[key] = struct.pack(f"<{len(found.ids)}I", *found.ids)
+        for key, one in zip(direct, self.library.encode_batch([self._literal(k) if k else k for k in direct], add_special_tokens=False)):
+            found[key] = struct.pack(f"<{len(one.ids)}I", *one.ids)
         for key, head, tail in split:
-            known[key] = known[head] + known[tail]
+            found[key] = found[head] + found[tail]
+        self._keep(found)
+        return found
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text, four bytes each."""
-        if len(self.known) > self.kept:
-            self.known.clear()
+    def _recall(self, key: str, found: dict[str, bytes]) -> bool:
+        held = self.known.get(key) or self.older.get(key)
+        if held is not None:
+            found[key] = held
+        return held is not None
+
+    def _keep(self, found: dict[str, bytes]) -> None:
+        if max(map(len, found)) > LONGEST_KEPT:
+            found = {k: ids for k, ids in found.items() if len(k) <= LONGEST_KEPT}
+        size = ENTRY_BYTES * len(found) + 2 * sum(map(len, found)) + sum(map(len, found.values()))
+        if self.held + size > self.kept:
+            self.older, self.known, self.held = self.known, {}, 0
+        if size <= self.kept:
+            self.known.update(found)
+            self.held += size
+
+    def _slices(self, text: str) -> Iterator[str]:
+        """Stretches of a long text, cut before a space between plain words, where a unit ends anyway."""
+        at = 0
+        while len(text) - at > SLICE:
+            cut = _CUT.search(text, at + SLICE)
+            if not cut:
+                break
+            yield text[at: cut.start() + 1]
+            at = cut.start() + 1
+        yield text[at:] if at else text
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         get, rows, new = self.known.get, [], set()
         for t in texts:
-            if any(s in t for s in self.special):
-                rows.append((t, None))
-                continue
             units = self._units(t)
-            row = list(map(get, units))
-            if None in row:
-                new.update(u for u, r in zip(units, row) if r is None)
-                row = None
-            rows.append((units, row))
-        if new:
-            self._learn(new)
-        known, out = self.known, []
-        for units, row in rows:
-            if isinstance(units, str):
-                ids = self.library.encode(units, add_special_tokens=False).ids
-                out.append(struct.pack(f"<{len(ids)}I", *ids))
+            row, missing, at = list(map(get, units)), [], -1
+            try:
+                while True:
+                    at = row.index(None, at + 1)
+                    missing.append((at, units[at]))
+            except ValueError:
+                pass
+            new.update(u for _, u in missing)
+            rows.append((row, missing))
+        found = self._ids(new) if new else {}
+        for row, missing in rows:
+            for at, unit in missing:
+                row[at] = found[unit]
+        return [b"".join(row) for row, _ in rows]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text, four bytes each; texts are worked on in groups of about ``SLICE`` characters."""
+        return list(self._each(texts))
+
+    def _each(self, texts: list[str]) -> Iterator[bytes]:
+        group, size = [], 0
+        for t in texts:
+            special = any(s in t for s in self.special)
+            if group and (special or size + len(t) > SLICE):
+                yield from self._encode(group)
+                group, size = [], 0
+            if special:
+                ids = self.library.encode(t, add_special_tokens=False).ids
+                yield struct.pack(f"<{len(ids)}I", *ids)
+            elif len(t) > SLICE:
+                yield b"".join(self._encode([part])[0] for part in self._slices(t))
             else:
-                out.append(b"".join(row if row is not None else map(known.__getitem__, units)))
-        return out
+                group.append(t)
+                size += len(t)
+        yield from self._encode(group)
