@@ -11,7 +11,7 @@ from veiltab.llm.common import written
 QUALITY_THRESHOLD = 0.3
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
-KEPT_UNITS = 100_000  # a worker that has run the earlier stages has less room left
+KEPT_BYTES = 12 << 20  # a worker that has run the earlier stages has less room left
 
 
 def reject_bad(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +38,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Place all pieces of all drawn documents in sequences."""
-    return packing.place(packing.cut(docs, public_tokenizers.path(TOKENIZER), END_ID, kept_units=KEPT_UNITS))
+    return packing.place(packing.cut(docs, public_tokenizers.path(TOKENIZER), END_ID, kept_bytes=KEPT_BYTES))
 
 
 STAGES = [("quality", reject_bad), ("exact_dedup", drop_copies), ("near_dedup", drop_near_copies), ("mix", mix_sources), ("pack", pack_sequences)]
