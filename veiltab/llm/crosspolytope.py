@@ -8,11 +8,12 @@ of them; tables and probes grow along.
 
 Equal vectors are one class, of which the ``k + 1`` smallest ids are kept: a vector that a third of all rows share is
 indexed once. Buckets are cut into blocks; a unit of work is a block of queries against a block of vectors and leaves its
-best classes per query only.
+best classes per query only, all ties at the last place compared by id. Queries whose buckets hold fewer than ``k`` others are
+ranked against all vectors, in the same blocks.
 
 Defined results: vectors that are null, zero, of another length than most, or hold a null or non-finite component take no part,
-nor do rows with a null id; rows that repeat an id count once, with the smallest vector; scores that tie rank by id; fewer
-neighbours than ``k`` are returned if fewer are found; an empty table gives no rows. Other columns are not read.
+nor do rows with a null id; rows that repeat an id count once, with the smallest vector; scores that tie rank by id; a table of
+``k`` or fewer others gives all of them; an empty table gives no rows. Other columns are not read.
 """
 from __future__ import annotations
 
@@ -30,6 +31,7 @@ from veiltab.llm.jaccard import in_groups
 BUCKET = 256        # vectors a bucket should keep at least, on average
 TABLES, PROBES = 10, 14   # with one hash; per further hash 2.5 and 14 times as many
 VECTOR_BLOCK, QUERY_BLOCK = 4096, 1024
+ROUNDING = 1e-9     # two ways of adding up a cosine differ by less
 SEED = 11
 
 
@@ -83,6 +85,22 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
 
+def best_of(x: np.ndarray, cids: np.ndarray, split: int, k: int) -> tuple[np.ndarray, ...]:
+    """Positions and cosine of the ``k`` nearest of ``x[split:]`` for each of ``x[:split]``; ties go to smaller ``cids``."""
+    length = np.sqrt((x * x).sum(axis=1))
+    scores = (x[:split] @ x[split:].T) / (length[:split, None] * length[None, split:])
+    take = min(k, len(x) - split)
+    last = -np.partition(-scores, take - 1, axis=1)[:, take - 1]
+    q, c = np.nonzero(scores >= last[:, None] - ROUNDING)
+    c += split
+    exact = (x[q] * x[c]).sum(axis=1) / (length[q] * length[c])  # the same for a pair in every bucket
+    order = np.lexsort((cids[c], -exact, q))
+    q, c, exact = q[order], c[order], exact[order]
+    starts = np.searchsorted(q, np.arange(split))
+    first = np.arange(len(q)) - starts[q] < take
+    return q[first], c[first], exact[first]
+
+
 def nearest(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """``query_id, rank, vec_id, score`` of the ``k`` nearest found of every row for which ``is_query`` (a condition on ``id``) holds."""
     valid = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector).alias("v")).where(F.col("id").isNotNull() & usable("v"))
@@ -132,10 +150,8 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", ve
     block = lambda blocks: F.pmod(F.xxhash64("cid"), F.col(blocks)).cast("int")
     every = lambda blocks: F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
     schema = f"bucket long, cid long, v {kind}"
-    indexed = attach(source.mapInArrow(hashed(1, False), schema), sizes, ["bucket"], "inner", salt_by=F.col("cid")).withColumn("_i", block("_vb")).withColumn("_j", every("_qb"))
-    probing = attach(queries.mapInArrow(hashed(probes, False), schema), sizes, ["bucket"], "inner", salt_by=F.col("cid")).withColumn("_j", block("_qb")).withColumn("_i", every("_vb"))
-    meeting = (indexed.select("bucket", "_i", "_j", F.lit(1).alias("_side"), "cid", "v").unionByName(probing.select("bucket", "_i", "_j", F.lit(0).alias("_side"), "cid", "v"))
-               .repartition("bucket", "_i", "_j").sortWithinPartitions("bucket", "_i", "_j", "_side", "cid"))
+    indexed = attach(source.mapInArrow(hashed(1, False), schema), sizes, ["bucket"], "inner", salt_by=F.col("cid"))
+    probing = attach(queries.mapInArrow(hashed(probes, False), schema), sizes, ["bucket"], "inner", salt_by=F.col("cid"))
 
     def ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in in_groups(batches, ["bucket", "_i", "_j"]):
@@ -144,20 +160,26 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", ve
             split = int((group.column("_side").to_numpy() == 0).sum())
             if not 0 < split < len(cids):
                 continue
-            length = np.sqrt((x * x).sum(axis=1))
-            scores = (x[:split] @ x[split:].T) / (length[:split, None] * length[None, split:])
-            take = min(k + 4, len(cids) - split)
-            best = np.argpartition(-scores, take - 1, axis=1)[:, :take]
-            q = np.repeat(np.arange(split), take)
-            c = best.reshape(-1) + split
-            exact = (x[q] * x[c]).sum(axis=1) / (length[q] * length[c])  # the same for a pair in every bucket
+            q, c, exact = best_of(x, cids, split, k + 1)
             yield pa.RecordBatch.from_arrays([pa.array(cids[q]), pa.array(cids[c]), pa.array(exact)], names=["qcid", "cid", "score"])
 
-    best = meeting.mapInArrow(ranked, "qcid long, cid long, score double").dropDuplicates(["qcid", "cid"])
-    order = Window.partitionBy("qcid").orderBy(F.desc("score"), "cid")
-    best = best.withColumn("_nth", F.row_number().over(order)).where(F.col("_nth") <= k + 1)
-    lists = (best.join(classes.select("cid", "ids"), "cid").withColumn("id", F.explode("ids")).groupBy("qcid")
-             .agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("away"), "id"))).alias("found")))
+    def found_in(indexed: DataFrame, probing: DataFrame) -> DataFrame:
+        """``qcid, found``: the best of all blocks in which a query meets vectors of its bucket."""
+        pairs = indexed.withColumn("_i", block("_vb")).withColumn("_j", every("_qb")), probing.withColumn("_j", block("_qb")).withColumn("_i", every("_vb"))
+        sides = [p.select("bucket", "_i", "_j", F.lit(side).alias("_side"), "cid", "v") for side, p in zip((1, 0), pairs)]
+        meeting = sides[0].unionByName(sides[1]).repartition("bucket", "_i", "_j").sortWithinPartitions("bucket", "_i", "_j", "_side", "cid")
+        best = meeting.mapInArrow(ranked, "qcid long, cid long, score double").dropDuplicates(["qcid", "cid"])
+        order = Window.partitionBy("qcid").orderBy(F.desc("score"), "cid")
+        best = best.withColumn("_nth", F.row_number().over(order)).where(F.col("_nth") <= k + 1)
+        return (best.join(classes.select("cid", "ids"), "cid").withColumn("id", F.explode("ids")).groupBy("qcid")
+                .agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("away"), "id"))).alias("found")))
+
+    lists = written(found_in(indexed, probing), "neighbours-found")
+    enough = lists.where(F.size("found") >= min(k + 1, rows.count()))
+    short = written(queries.join(enough.select(F.col("qcid").alias("cid")), "cid", "left_anti"), "short-queries")
+    if n_short := short.count():
+        all_of = [t.withColumns({"bucket": F.lit(-1).cast("long"), "_vb": F.lit(-(-n // VECTOR_BLOCK)), "_qb": F.lit(-(-n_short // QUERY_BLOCK))}) for t in (source, short)]
+        lists = enough.unionByName(found_in(*all_of))
     results = written(lists.join(classes.where("q").select(F.col("cid").alias("qcid"), "v"), "qcid").select("v", "found"), "neighbours")
     answers = attach(rows.where("q").select("id", "v"), results, ["v"], "inner", salt_by=F.col("id"))
     own = F.expr(f"slice(filter(found, f -> f.id != id), 1, {k})")
