@@ -76,6 +76,20 @@ def test_empty_and_keep(spark):
     assert {0, 3, 63, 64, 65} <= ids and not {60, 61, 62} & ids
 
 
+def test_one_of_each_group_stays_whatever_the_ids(spark):
+    a, b, c = words(80, 1), words(80, 2), words(80, 3)
+    rows = [(1, a), (5, a + " tail"), (5, b), (None, a + " end"), (None, c), (7, c), (None, words(80, 4)), (9, words(80, 5)), (9, words(80, 5) + " more"), (3, ""), (3, None)]
+    kept = keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = sorted(((r.doc_id, r.text) for r in kept), key=str)
+    nine = [g for g in got if g[0] == 9]
+    assert len(nine) == 1 and sorted([g for g in got if g[0] != 9], key=str) == sorted([(1, a), (5, b), (7, c), (None, words(80, 4)), (3, ""), (3, None)], key=str)
+
+
+def test_low_thresholds_are_refused(spark):
+    with pytest.raises(ValueError):
+        near_duplicates(spark.createDataFrame([(1, "a")], "doc_id long, text string"), 0.6)
+
+
 def test_common_counts():
     rng = np.random.default_rng(3)
     sets = [np.unique(rng.integers(0, 300, rng.integers(1, 120)).astype(np.uint64)) for _ in range(50)]

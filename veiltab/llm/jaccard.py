@@ -14,7 +14,8 @@ of work with at most two blocks in memory; the sets of most documents, which sha
 
 Defined results: words are what white space separates; a text of one to four words is one shingle; a null text and a text
 without words link to nothing; copies of a set are links of each other; rows that repeat an id count as documents of their own; an
-empty table gives no rows. Columns other than id and text are not read, and pass through :func:`keep_one` unchanged.
+empty table gives no rows; a threshold below 0.8 is refused. Columns other than id and text are not read, and pass through
+:func:`keep_one` unchanged.
 """
 from __future__ import annotations
 
@@ -185,8 +186,8 @@ def in_block_pairs(df: DataFrame, group: str, size: str, member: str, block: int
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in sliced(batches, "text"):
         sets = [shingles(t) for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([digest(s) for s in sets], pa.binary()), pa.array(list(map(len, sets)), pa.int64()),
-                                          pa.array([minhash(s) if len(s) else None for s in sets], pa.binary())], names=["doc_id", "cid", "n_shingles", "sig"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array([digest(s) for s in sets], pa.binary()), pa.array(list(map(len, sets)), pa.int64()),
+                                          pa.array([minhash(s) if len(s) else None for s in sets], pa.binary())], names=["doc_id", "key", "cid", "n_shingles", "sig"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,19 +196,22 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([digest(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["cid", "shingles"])
 
 
-def _bayes_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    table, edges = least_matches(), []
-    for group in in_groups(batches, ["bucket", "_i", "_j"]):
-        names = group.column("cid").to_pylist()
-        sigs = np.frombuffer(b"".join(group.column("sig").to_pylist()), np.uint8).reshape(len(names), HASHES)
-        band = int(group.column("bucket")[0].as_py()) >> 40
-        left, right = _pairs_of(group, sigs, table, band)
-        edges += spanning(len(names), left, right).edges(names)
-        if len(edges) > 20_000:
+def _bayes_edges(threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, edges = least_matches(threshold), []
+        for group in in_groups(batches, ["bucket", "_i", "_j"]):
+            names = group.column("cid").to_pylist()
+            sigs = np.frombuffer(b"".join(group.column("sig").to_pylist()), np.uint8).reshape(len(names), HASHES)
+            band = int(group.column("bucket")[0].as_py()) >> 40
+            left, right = _pairs_of(group, sigs, table, band)
+            edges += spanning(len(names), left, right).edges(names)
+            if len(edges) > 20_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*edges)], names=["a", "b"])
+                edges = []
+        if edges:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*edges)], names=["a", "b"])
-            edges = []
-    if edges:
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*edges)], names=["a", "b"])
+
+    return run
 
 
 def _pairs_of(group: pa.Table, sigs: np.ndarray, table: list, band: int | None) -> tuple[np.ndarray, np.ndarray]:
@@ -282,19 +286,32 @@ def _links(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(n, pa.int64())], names=["a", "b", "links"])
 
 
+def _first(doc_id, key):
+    """What comes first of some rows: the smallest id, null ids last, then the smallest text key."""
+    return F.min(F.struct(doc_id.isNull().alias("none"), doc_id.alias("id"), key.alias("key")))
+
+
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """One row per row of ``docs``: ``doc_id``, ``class_id`` (smallest id of its group of linked documents), ``set_id`` (smallest id with
     its very shingle set), ``n_links`` (other documents of similarity ``threshold`` or more)."""
-    rows = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), text_of(text).alias("text"))
-    signed = written(rows.mapInArrow(_signed, "doc_id long, cid binary, n_shingles long, sig binary"), "signatures")
-    classes = written(signed.where("n_shingles > 0").groupBy("cid").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.min("sig").alias("sig")), "classes")
+    return _linked(docs, threshold, text, id_col).select("doc_id", "class_id", "set_id", "n_links")
+
+
+def _linked(docs: DataFrame, threshold: float, text: str, id_col: str) -> DataFrame:
+    """:func:`near_duplicates` with ``key`` (hash of the row's text) and ``class_key`` (that of its group's first row)."""
+    if threshold < THRESHOLD:
+        raise ValueError(f"the bands find pairs of similarity {THRESHOLD} or more; a lower threshold would lose links")
+    rows = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), text_of(text).alias("text")).withColumn("key", F.xxhash64("text"))
+    signed = written(rows.mapInArrow(_signed, "doc_id long, key long, cid binary, n_shingles long, sig binary"), "signatures")
+    classes = written(signed.where("n_shingles > 0").groupBy("cid").agg(_first(F.col("doc_id"), F.col("key")).alias("first"), F.count("*").alias("n"), F.min("sig").alias("sig"))
+                      .withColumn("rep", F.col("first.id")), "classes")
 
     byte = lambda k: F.conv(F.hex(F.substring("sig", k * ROWS + 1, ROWS)), 16, 10).cast("long")
     bands = classes.select("cid", F.explode(F.array(*[byte(k) + F.lit(k << 40) for k in range(BANDS)])).alias("bucket"))
     shared = bands.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
     meeting = written(bands.join(shared, "bucket"), "buckets")
     in_bucket = meeting.join(classes.select("cid", "sig"), "cid")
-    edges = written(in_block_pairs(in_bucket, "bucket", "members", "cid").mapInArrow(_bayes_edges, "a binary, b binary"), "candidates")
+    edges = written(in_block_pairs(in_bucket, "bucket", "members", "cid").mapInArrow(_bayes_edges(threshold), "a binary, b binary"), "candidates")
 
     grouped = components(edges)
     sizes = grouped.groupBy("root").agg(F.count("*").alias("members"))
@@ -310,18 +327,25 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, text: str = "
     linked = components(verified.select("a", "b"))
     found = (verified.groupBy(F.col("a").alias("cid")).agg(F.sum("links").alias("links")).join(linked.withColumnRenamed("node", "cid"), "cid", "left")
              .withColumn("root", F.coalesce("root", "cid")))
-    least = classes.join(found, "cid").groupBy("root").agg(F.min("rep").alias("class_id"))
+    least = classes.join(found, "cid").groupBy("root").agg(F.min("first").alias("least"))
+    head = F.coalesce("least", "first")
     known = written(classes.join(found, "cid", "left").join(least, "root", "left").select(
-        "cid", F.col("rep").alias("set_id"), F.coalesce("class_id", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links")).where("n_links > 0"), "known")
-    result = attach(signed.select("doc_id", "cid"), known, ["cid"], salt_by=F.col("doc_id"))
-    return result.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("set_id", "doc_id").alias("set_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+        "cid", F.col("rep").alias("set_id"), head["id"].alias("class_id"), head["key"].alias("class_key"),
+        (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links")).where("n_links > 0"), "known")
+    result = attach(signed.select("doc_id", "key", "cid"), known, ["cid"], salt_by=F.col("doc_id"))
+    return result.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("set_id", "doc_id").alias("set_id"),
+                         F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), "key", F.coalesce("class_key", "key").alias("class_key"))
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` that stay, with their own columns: of each group of linked documents the one with the smallest id.
 
-    Rows that repeat the id that stays are kept once per shingle set; a group whose ids are all null keeps its nulls.
+    A null id comes after all others; of texts that share the smallest id, the one of the smallest hash stays. Rows that
+    repeat both the id and the text of the one that stays are that document and stay with it.
     """
-    drop = written(near_duplicates(docs, threshold, text, id_col).where("n_links > 0 and doc_id != class_id").select(F.col("doc_id").alias("_veiltab_id")).distinct(), "near")
+    gone = ~(F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("key") == F.col("class_key")))
+    drop = written(_linked(docs, threshold, text, id_col).where(F.col("n_links") > 0).where(gone)
+                   .select(F.col("doc_id").alias("_veiltab_id"), F.col("key").alias("_veiltab_key")).distinct(), "near")
     small = drop.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return docs.join(F.broadcast(drop) if small else drop, F.col(f"`{id_col}`").cast("long") == F.col("_veiltab_id"), "left_anti")
+    same = F.xxhash64(text_of(f"`{text}`")).eqNullSafe(F.col("_veiltab_key")) & F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("_veiltab_id"))
+    return docs.join(F.broadcast(drop) if small else drop, same, "left_anti")
