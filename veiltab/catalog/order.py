@@ -44,6 +44,25 @@ def _(spark, sf):
     return S.top_k_mark(li, F.col("l_extendedprice"), li.count() // 3, row_id="line_id").filter("mark = 1").select("line_id")
 
 
+@query("nth_row_per_supplier", """
+SELECT l_suppkey, l_orderkey*10+l_linenumber AS line_id FROM lineitem
+QUALIFY row_number() OVER (PARTITION BY l_suppkey ORDER BY round(l_extendedprice,9), l_orderkey*10+l_linenumber) <= count(*) OVER (PARTITION BY l_suppkey)//3""")
+def _(spark, sf):
+    li = spark.read.parquet(f"{sf}/lineitem.parquet").select(
+        "l_suppkey", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("line_id"), "l_extendedprice")
+    third = li.groupBy("l_suppkey").agg(F.floor(F.count("*") / 3).alias("n"))
+    return S.top_k_mark(li, F.col("l_extendedprice"), third, False, "line_id", keys=["l_suppkey"]).filter("mark = 1").select("l_suppkey", "line_id")
+
+
+@query("nth_row_by_text_id", """
+SELECT l_returnflag, l_orderkey||'-'||l_linenumber AS line FROM lineitem
+QUALIFY row_number() OVER (PARTITION BY l_returnflag ORDER BY l_quantity, l_orderkey||'-'||l_linenumber) <= count(*) OVER (PARTITION BY l_returnflag)//4""")
+def _(spark, sf):
+    li = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_returnflag", F.concat_ws("-", "l_orderkey", "l_linenumber").alias("line"), "l_quantity")
+    quarter = li.groupBy("l_returnflag").agg(F.floor(F.count("*") / 4).alias("n"))
+    return S.top_k_mark(li, F.col("l_quantity"), quarter, False, "line", keys=["l_returnflag"]).filter("mark = 1").select("l_returnflag", "line")
+
+
 @query("random_mark", with_sql(f"SELECT row_id, CAST(row_id IN {marked(u_sql('mark'), 100)} AS INT) AS mark FROM loss", SCORES_SQL, LOSS))
 def _(spark, sf):
     return S.random_mark(scores(spark, sf).select("row_id"), 100)
@@ -70,6 +89,18 @@ def _(spark, sf):
     return S.force_count(scores(spark, sf).select("row_id", "y"), "y", 200)
 
 
+@query("class_quota_per_release", with_sql("""
+SELECT release_id, row_id, CAST(hit OR row_number() OVER (PARTITION BY release_id, hit ORDER BY loss, row_id) <= 40-t1-t0 AS INT) AS mark FROM f""", SCORES_SQL, LOSS,
+    "rl AS (SELECT row_id, y, p, loss, row_id%24 AS release_id FROM loss)",
+    "g AS (SELECT release_id, least(round_even(40*avg(CASE WHEN p>=0.5 THEN 1.0 ELSE 0 END),0),40) AS q1, sum(y) AS n1, sum(1-y) AS n0 FROM rl GROUP BY 1)",
+    "t AS (SELECT release_id, least(q1,n1) AS t1, least(40-q1,n0) AS t0 FROM g)",
+    """f AS (SELECT rl.*, t1, t0, row_number() OVER (PARTITION BY release_id, y ORDER BY loss, row_id) <= CASE WHEN y=1 THEN t1 ELSE t0 END AS hit
+FROM rl JOIN t USING (release_id))"""))
+def _(spark, sf):
+    df = losses(spark, sf).withColumn("release_id", F.col("row_id") % 24)
+    return S.class_quota_top_k(df, "loss", 40, keys=["release_id"]).select("release_id", "row_id", "mark")
+
+
 @query("force_count_add", with_sql(f"""
 SELECT row_id, CAST(y=1 OR row_id IN {marked(u_sql('force'), '(SELECT 700-sum(y) FROM loss)', 'y=0')} AS INT) AS y FROM loss""", SCORES_SQL, LOSS))
 def _(spark, sf):

@@ -10,6 +10,7 @@ from veiltab.operators.matching import exact_sum
 from veiltab.operators.metrics import neg_log_lik
 from veiltab.operators.ranks import first_n
 from veiltab.operators.scale import unit_rescale
+from veiltab.operators.select import top_k_mark
 from veiltab.session import materialize
 
 ROW = "row_id"
@@ -24,9 +25,9 @@ def score_confident(y: str = "y", p: str = "p", within: float = 0.1) -> Column:
     return (F.abs(F.col(p) - F.col(y)) <= within).cast("int")
 
 
-def score_top_conf(df: DataFrame, k: int, y: str = "y", p: str = "p", row_id: str = ROW) -> DataFrame:
-    """1 on the k smallest |p - y|."""
-    return df.withColumn("mark", first_n(df, F.round(F.abs(F.col(p) - F.col(y)), 9), k, row_id).cast("int"))
+def score_top_conf(df: DataFrame, k: int | DataFrame, y: str = "y", p: str = "p", row_id: str = ROW, keys: list[str] | None = None) -> DataFrame:
+    """1 on the k smallest |p - y|, per key if ``keys`` are given."""
+    return top_k_mark(df, F.abs(F.col(p) - F.col(y)), k, False, row_id, keys=keys)
 
 
 def score_loss(df: DataFrame, y: str = "y", p: str = "p", out: str = "s_loss") -> DataFrame:

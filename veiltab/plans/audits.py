@@ -17,7 +17,7 @@ from veiltab.operators import risk as R
 from veiltab.operators import select as S
 from veiltab.operators.metrics import neg_log_lik
 from veiltab.session import materialize
-from veiltab.sources.files import pick_vector, release_matrix
+from veiltab.sources.files import pick_vectors, release_matrix
 
 
 @dataclass(frozen=True)
@@ -77,8 +77,9 @@ def vote3(pair: Pair, scores: DataFrame) -> DataFrame:
     return S.majority_vote(both, ["near", "sure", "right"]).select("id", "mark")
 
 
-def top_conf_all(scores: DataFrame, n: int) -> DataFrame:
-    return R.score_top_conf(scores, n, row_id="id").select("id", "mark")
+def top_conf_all(scores: DataFrame, n: int | DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Marks of one release, or of all releases of a table at once (``keys=["release_id"]``)."""
+    return R.score_top_conf(scores, n, row_id="id", keys=keys).select(*(keys or []), "id", "mark")
 
 
 def v1(pair: Pair, scores: DataFrame, n: int) -> DataFrame:
@@ -137,14 +138,26 @@ def v7(pair: Pair, scores: DataFrame, n: int, rounds: int = 12, leaves: DataFram
 
 def merge(vectors: dict[str, dict[str, DataFrame]], ids: DataFrame, share: float = 0.1, own: str | None = None,
           zero: list[str] | None = None) -> DataFrame:
-    """Per release: the first vector that has the row, forced to ``share`` ones; then the matrix."""
-    n = round(ids.count() * share)
+    """:func:`merge_releases` of separate vectors; the kinds of a release are tried in their order."""
     long = None
-    for release_id, parts in vectors.items():  # one entry per release, a handful by nature
-        v = materialize(pick_vector(parts, ids, "id"))
-        fixed = S.force_count(v, "member", n, f"force/{release_id}", "id").withColumn("release_id", F.lit(release_id))
-        long = fixed if long is None else long.unionByName(fixed)
-    return release_matrix(long, ids, list(vectors), own, zero, "id")
+    for release_id, parts in vectors.items():
+        for place, v in enumerate(parts.values()):
+            one = v.select(F.lit(release_id).alias("release_id"), F.lit(str(place)).alias("kind"), "id", "member")
+            long = one if long is None else long.unionByName(one)
+    kinds = [str(k) for k in range(max(map(len, vectors.values())))]
+    return merge_releases(long, kinds, ids, list(vectors), share, own, zero)
+
+
+def merge_releases(vectors: DataFrame, kinds: list[str], ids: DataFrame, releases: list[str], share: float = 0.1, own: str | None = None,
+                   zero: list[str] | None = None) -> DataFrame:
+    """Per release the first kind that has the row, forced to ``share`` ones, all releases in one plan; then the matrix.
+
+    ``vectors`` is one table ``release_id, kind, id, member``.
+    """
+    n = round(ids.count() * share)
+    every = materialize(pick_vectors(vectors, kinds, ids, releases, "id"))
+    forced = S.force_count(every, "member", n, F.concat(F.lit("force/"), "release_id"), "id", ["release_id"])
+    return release_matrix(forced, ids, releases, own, zero, "id")
 
 
 def recall(marks: DataFrame, truth: DataFrame, id_col: str = "id") -> DataFrame:

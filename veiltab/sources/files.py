@@ -87,6 +87,15 @@ def pick_vector(vectors: dict[str, DataFrame], ids: DataFrame, row_id: str = "ro
     return out.select(row_id, F.coalesce(*[F.col(f"__{n}") for n in vectors], F.lit(0)).alias("member"))
 
 
+def pick_vectors(vectors: DataFrame, kinds: list[str], ids: DataFrame, releases: list[str], row_id: str = "row_id") -> DataFrame:
+    """:func:`pick_vector` for many releases at once: ``release_id, row_id, member`` of every row from ``(release_id, kind, row_id, member)``."""
+    place = F.array_position(F.array(*[F.lit(k) for k in kinds]), F.col("kind"))
+    first = (vectors.filter(F.col("member").isNotNull() & (place > 0)).groupBy("release_id", row_id)
+             .agg(F.min(F.struct(place.alias("place"), F.col("member").cast("int").alias("member"))).alias("__first")))
+    every = ids.select(row_id, F.explode(F.array(*[F.lit(r) for r in releases])).alias("release_id"))
+    return every.join(first, ["release_id", row_id], "left").select("release_id", row_id, F.coalesce("__first.member", F.lit(0)).alias("member"))
+
+
 # ---------------------------------------------------------------- JSON documents
 
 def rule(name: str, ok: Column, level: str = "error") -> Column:
