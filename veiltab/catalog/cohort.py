@@ -8,6 +8,7 @@ from veiltab.catalog.registry import query, rounded
 from veiltab.functions.hashing import uniform
 from veiltab.operators import cohort as C
 from veiltab.plans.views import gauss_sql, u_sql
+from veiltab.session import materialize
 
 COHORT = f"""coh AS (SELECT row_id, age, side, row_number() OVER (PARTITION BY side ORDER BY {u_sql('swap')}, row_id) AS rn
  FROM (SELECT row_id, age, CASE WHEN age BETWEEN 21 AND 30 THEN 'a' WHEN age BETWEEN 31 AND 40 THEN 'b' END AS side FROM b) z WHERE side IS NOT NULL),
@@ -43,6 +44,33 @@ def _(spark, sf):
     return C.swap_records(df, ["n_orders"], 0.15, [F.col("region"), F.floor(F.col("age") / 5)]).select("row_id", "n_orders")
 
 
+def wide_sql(salt, row_id, n):
+    return f"least(floor(({u_sql(salt, row_id)}+{u_sql(salt + '/low', row_id)}/4294967296.0::DOUBLE)*({n})),({n})-1)::BIGINT"
+
+
+SEQUENCE = f"""st AS (SELECT row_id, region, row_number() OVER (PARTITION BY region ORDER BY age, {u_sql('swap/seat')}, row_id)-1 AS place,
+  coalesce(sum(1) OVER (PARTITION BY region ORDER BY age RANGE BETWEEN UNBOUNDED PRECEDING AND 6 PRECEDING),0) AS lo,
+  sum(1) OVER (PARTITION BY region ORDER BY age RANGE BETWEEN 5 PRECEDING AND 5 FOLLOWING) AS many FROM b WHERE age IS NOT NULL AND region IS NOT NULL),
+al AS (SELECT row_id, row_number() OVER (ORDER BY {u_sql('swap/row')}, row_id) AS rn, count(*) OVER () AS n FROM b),
+tu AS (SELECT i AS swap, 1+{wide_sql('swap/first', 'i', '(SELECT count(*) FROM b)')} AS rn FROM range(1,1+(SELECT floor(count(*)*0.4)::BIGINT FROM b)) t(i)),
+dr AS (SELECT swap, st.*, {wide_sql('swap/second', 'swap', 'many-1')} AS t FROM tu JOIN al USING (rn) JOIN st USING (row_id) WHERE many>1),
+sw AS (SELECT swap, d.row_id AS a, o.row_id AS z FROM dr d JOIN st o ON o.region=d.region AND o.place=d.lo+d.t+CASE WHEN d.t>=d.place-d.lo THEN 1 ELSE 0 END),
+en AS (SELECT swap, a AS r, z AS o FROM sw UNION ALL SELECT swap, z, a FROM sw),
+ev AS (SELECT *, lag(swap) OVER w AS ps, lag(o) OVER w AS po, lead(swap) OVER w IS NULL AS fin FROM en WINDOW w AS (PARTITION BY r ORDER BY swap)),
+walk AS (SELECT r, swap AS s, o AS cur FROM ev WHERE fin UNION ALL
+  SELECT walk.r, ev.ps, coalesce(ev.po, ev.r) FROM walk JOIN ev ON ev.swap=walk.s AND ev.r=walk.cur)"""
+
+
+@query("swap_similar_records", q("""
+SELECT b.row_id, CASE WHEN w.r IS NOT NULL THEN o.n_orders ELSE b.n_orders END AS n_orders,
+ CASE WHEN w.r IS NOT NULL THEN o.n_items ELSE b.n_items END AS n_items
+FROM b LEFT JOIN (SELECT r, cur FROM walk WHERE s IS NULL) w ON w.r=b.row_id LEFT JOIN b o ON o.row_id=w.cur""", SEQUENCE).replace("WITH ", "WITH RECURSIVE ", 1))
+def _(spark, sf):
+    df = materialize(base(spark, sf).select("row_id", "region", "age", "n_orders", "n_items"))
+    swaps = C.similar_swaps(df, int(df.count() * 0.4), "region", "age")
+    return C.swap_sequence(df, swaps, ["n_orders", "n_items"]).select("row_id", "n_orders", "n_items")
+
+
 @query("record_pair_join", q(f"""
 SELECT row_id, partner_id FROM (
  SELECT a.row_id, o.row_id AS partner_id, row_number() OVER (PARTITION BY a.row_id ORDER BY o.age, {u_sql('partner/seat', 'o.row_id')}, o.row_id)-1 AS place,

@@ -35,7 +35,16 @@ def _(spark, sf):
     return M.label_noise(scores(spark, sf).select("row_id", "y"), 0.1)
 
 
-@query("mixup")
+MIXED = FEATURES[:3] + ["urgent_flag"]
+LAMBDA = (f"0.5+cos({u_sql('mixup/l/v', 'i.row_id')}*2*pi())/(2*sqrt(1/greatest(pow(greatest({u_sql('mixup/l/u', 'i.row_id')},"
+          f"1/4294967296.0::DOUBLE),-1/0.4::DOUBLE)-1,1e-300)+pow(cos({u_sql('mixup/l/v', 'i.row_id')}*2*pi()),2)))")
+
+
+@query("mixup", with_sql(
+    "SELECT rn, round(lam,6) AS lam, " + ", ".join(f"round(lam*{c}+(1-lam)*o_{c},6) AS {c}" for c in MIXED) + " FROM pr",
+    *[f"{t} AS (SELECT *, row_number() OVER (ORDER BY {u_sql('mixup/' + t)}, row_id) AS rn FROM subject)" for t in "ij"],
+    f"pr AS (SELECT i.*, {LAMBDA} AS lam, {', '.join(f'j.{c} AS o_{c}' for c in MIXED)} FROM i JOIN j ON i.rn=j.rn "
+    "WHERE i.rn<=(SELECT floor(count(*)*0.5) FROM subject))"))
 def _(spark, sf):
     df = subject(spark, sf).select("row_id", *FEATURES[:3], "urgent_flag")
     return rounded(M.mixup(df, FEATURES[:3], "urgent_flag", 0.5, 0.4))

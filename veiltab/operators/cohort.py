@@ -85,6 +85,71 @@ def record_pair_join(df: DataFrame, who: Column, sex: str, age: str, within: int
         row_id, "partner_id")
 
 
+def similar_swaps(df: DataFrame, n: int, sex: str, age: str, within: int = 5, salt: str = "swap", row_id: str = ROW) -> DataFrame:
+    """(swap, first, second) of up to n swaps in sequence: a random row, which may be drawn again, and a random other row
+    of its sex with |age difference| <= ``within``. A row without sex, age or such a partner gives no swap.
+
+    The rows of one sex are numbered by (age, hashed draw), so all partners of a row are one run of places; a partner is
+    a drawn place, looked up by (sex, place). Candidate pairs are never formed.
+    """
+    total = df.count()
+    people = df.select(row_id, F.col(sex).alias("__sex"), F.col(age).cast("int").alias("__age")).filter(
+        F.col("__sex").isNotNull() & F.col("__age").isNotNull())
+    by_age = Window.partitionBy("__sex").orderBy("__age")
+
+    def upto(window):
+        return F.coalesce(F.sum("__n").over(window), F.lit(0))
+
+    spans = people.groupBy("__sex", "__age").agg(F.count(F.lit(1)).alias("__n")).select(
+        "__sex", "__age", upto(by_age.rowsBetween(Window.unboundedPreceding, -1)).alias("__before"),
+        upto(by_age.rangeBetween(Window.unboundedPreceding, -within - 1)).alias("__from"),
+        upto(by_age.rangeBetween(-within, within)).alias("__many"))
+    ranked = hash_rank(people, ["__sex", "__age"], salt + "/seat", row_id)
+    seats = materialize(attach_groups(ranked, spans, ["__sex", "__age"], "inner").select(
+        F.col(row_id).alias("first"), "__sex", (F.col("__before") + F.col("rn") - 1).alias("__place"), "__from", "__many"))
+    turns = df.sparkSession.range(1, n + 1).select(
+        F.col("id").alias("swap"), (1 + _wide_draw(salt + "/first", "id", F.lit(total))).alias("rn"))
+    first = hash_rank(df.select(F.col(row_id).alias("first")), [], salt + "/row", "first").join(turns, "rn").drop("rn")
+    drawn = seats.filter(F.col("__many") > 1).join(first, "first")
+    t = _wide_draw(salt + "/second", "swap", F.col("__many") - 1)
+    own = F.col("__place") - F.col("__from")
+    asked = drawn.select("swap", "first", "__sex", (F.col("__from") + t + F.when(t >= own, 1).otherwise(0)).alias("__place"))
+    found = seats.select(F.col("first").alias("second"), "__sex", "__place")
+    return asked.join(found, ["__sex", "__place"]).select("swap", "first", "second")
+
+
+def _wide_draw(salt: str, row_id: str, n: Column) -> Column:
+    """Uniform integer in [0, n) from two hashed draws, which reaches tables beyond 2^32 rows."""
+    u = uniform(salt, row_id) + uniform(salt + "/low", row_id) / 4294967296.0
+    return F.least(F.floor(u * n), n - 1).cast("long")
+
+
+def swap_sequence(df: DataFrame, swaps: DataFrame, cols: list[str], row_id: str = ROW) -> DataFrame:
+    """Exchange ``cols`` of the rows ``first`` and ``second`` swap after swap, in order of ``swap``; a row may take part
+    any number of times. Swap numbers are unique.
+
+    What a row holds before a swap is what its partner of the swap before held. These links are followed for all swaps at
+    once by pointer doubling: rounds grow with the logarithm of the longest chain, and the values move once, at the end.
+    """
+    pair = lambda a, b: F.struct(F.col(a).alias("row"), F.col(b).alias("other"))
+    ends = swaps.filter(F.col("first") != F.col("second")).select(
+        "swap", F.inline(F.array(pair("first", "second"), pair("second", "first"))))
+    turn = Window.partitionBy("row").orderBy("swap")
+    events = materialize(ends.withColumns({"to_swap": F.lag("swap").over(turn), "to_row": F.coalesce(F.lag("other").over(turn), F.col("row")),
+                                           "is_last": F.lead("swap").over(turn).isNull()}), "swaps")
+    links = events.select("swap", "row", "to_swap", "to_row")
+    while not links.filter(F.col("to_swap").isNotNull()).isEmpty():
+        far = links.select(F.col("swap").alias("__s"), F.col("row").alias("__r"), F.col("to_swap").alias("__ts"), F.col("to_row").alias("__tr"))
+        hop = links.join(far, (F.col("to_swap") == F.col("__s")) & (F.col("to_row") == F.col("__r")), "left")
+        links = materialize(hop.select("swap", "row", F.col("__ts").alias("to_swap"), F.coalesce("__tr", "to_row").alias("to_row")), "links")
+    held = links.select("swap", F.col("row").alias("other"), F.col("to_row").alias("__source"))
+    ends_at = events.filter("is_last").select("swap", "row", "other").join(held, ["swap", "other"]).select("row", "__source")
+    values = df.select(F.col(row_id).alias("__source"), *[F.col(c).alias(f"__v{i}") for i, c in enumerate(cols)])
+    changed = ends_at.join(values, "__source").select(
+        F.col("row").alias(row_id), *[F.col(f"__v{i}").alias(c) for i, c in enumerate(cols)])
+    return _overlay(df, changed, cols, row_id)
+
+
 def permute_within_group_columns(df: DataFrame, keys: list[str], cols: list[str], salt: str = "perm",
                                  row_id: str = ROW) -> DataFrame:
     """Permute each column on its own inside the groups.

@@ -2,9 +2,12 @@
 from __future__ import annotations
 
 import json
+import math
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.errors import AnalysisException
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
@@ -15,7 +18,7 @@ from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veiltab.functions.clean import odds_to_unit, vif_to_unit
+from veiltab.functions.clean import odds_to_unit, to_number, vif_to_unit
 from veiltab.functions.hashing import uniform
 from veiltab.operators import fit
 from veiltab.operators.encode import encode_glm
@@ -28,6 +31,7 @@ from veiltab.session import materialize
 ROW = "row_id"
 # Columns of the logistic table, in order.
 LOGISTIC_COLUMNS = ["coef", "p_value", "OR_norm", "CI_low_norm", "CI_high_norm", "VIF_norm"]
+FITS_AT_ONCE = 4  # fits of one selection that run side by side
 # Temperatures tried when calibrating.
 TEMPERATURES = [1.0, 1.2, 1.5, 1.8, 2.0, 2.5]
 
@@ -59,11 +63,18 @@ def label_noise(df: DataFrame, p: float, y: str = "y", salt: str = "label", row_
     return df.withColumn(y, F.when(uniform(salt, row_id) < p, 1 - F.col(y)).otherwise(F.col(y)))
 
 
-def _beta(alpha: float):
-    @F.pandas_udf("double")
-    def draw(seed: pd.Series) -> pd.Series:
-        return seed.map(lambda s: np.random.default_rng(int(s)).beta(alpha, alpha))
-    return draw
+def symmetric_beta(alpha: float, salt: str, row_id: str | Column = ROW) -> Column:
+    """A Beta(alpha, alpha) draw for a row, exact for every alpha > 0, from two hashed uniforms.
+
+    With T = sqrt(w) cos(2 pi v) and w = u^(-1/alpha) - 1, T is a scaled t variable with 2 alpha degrees of freedom, and
+    (1 + T / sqrt(1 + T^2)) / 2 is the draw. It needs no rejection, hence no loop and no limit of trials.
+    """
+    if alpha <= 0:
+        raise ValueError("alpha must be positive")
+    u = F.greatest(uniform(salt + "/u", row_id), F.lit(2.0 ** -32))
+    w = F.greatest(F.pow(u, F.lit(-1.0 / alpha)) - 1.0, F.lit(1e-300))
+    turn = F.cos(uniform(salt + "/v", row_id) * (2.0 * math.pi))
+    return 0.5 + turn / (2.0 * F.sqrt(1.0 / w + turn * turn))
 
 
 def mixup(df: DataFrame, cols: list[str], y: str, ratio: float, alpha: float, salt: str = "mixup",
@@ -75,9 +86,8 @@ def mixup(df: DataFrame, cols: list[str], y: str, ratio: float, alpha: float, sa
     left = hash_rank(base, [], f"{salt}/i", row_id).filter(F.col("rn") <= n)
     right = hash_rank(base, [], f"{salt}/j", row_id).filter(F.col("rn") <= n).select(
         "rn", *[F.col(c).alias(f"__{c}") for c in [*cols, y]])
-    seed = F.floor(uniform(f"{salt}/l", row_id) * F.lit(4294967296.0))
     lam = F.col("lam")
-    return left.join(right, "rn").withColumn("lam", _beta(alpha)(seed)).select(
+    return left.join(right, "rn").withColumn("lam", symmetric_beta(alpha, f"{salt}/l", row_id)).select(
         "rn", "lam", *[(lam * F.col(c) + (1 - lam) * F.col(f"__{c}")).alias(c) for c in [*cols, y]])
 
 
@@ -110,6 +120,44 @@ def fit_glm(df: DataFrame, cols: list[str], y: str):
     return glm.fit(vec), vec
 
 
+@dataclass(frozen=True)
+class LogitTerms:
+    """A fitted logit on raw columns. Levels and fill values are those of the table it was fitted on, so that another
+    table is scored by the same terms: a level it alone has counts as the base level, a missing number as the fill."""
+
+    intercept: float
+    numbers: dict[str, float]
+    levels: dict[str, dict[str, float]]
+    fills: dict[str, float]
+
+    def logit(self) -> Column:
+        z = F.lit(self.intercept)
+        for c, b in self.numbers.items():
+            z = z + F.coalesce(to_number(c), F.lit(self.fills[c])) * b
+        for c, coef in self.levels.items():
+            text = F.coalesce(F.nullif(F.trim(F.col(c).cast("string")), F.lit("")), F.lit("(NA)"))
+            z = z + fit.lookup(text, coef, 0.0)
+        return z
+
+
+def fit_logit(df: DataFrame, target: str, cols: list[str]) -> LogitTerms:
+    """Binomial GLM of ``target`` on numbers and one-hot categories, as terms that score any table with these columns."""
+    rows = materialize(df.filter(F.col(target).isin(0, 1)).select(target, *cols))
+    enc = materialize(encode_glm(rows, cols, [target]))
+    terms = [c for c in enc.columns if c != target]
+    plain = {t: f"x{i}" for i, t in enumerate(terms)}
+    model, _ = fit_glm(enc.withColumnsRenamed(plain), list(plain.values()), target)
+    numbers, levels = {}, {}
+    for t, b in zip(terms, model.coefficients):
+        if t in cols:
+            numbers[t] = float(b)
+        else:
+            c = max((c for c in cols if t.startswith(f"{c}_")), key=len)
+            levels.setdefault(c, {})[t[len(c) + 1:]] = float(b)
+    fills = fit.medians(rows.select(*[to_number(c).alias(c) for c in numbers]), list(numbers)) if numbers else {}
+    return LogitTerms(float(model.intercept), numbers, levels, fills)
+
+
 def logistic_table(df: DataFrame, target: str, cols: list[str], row_id: str = ROW, test_share: float = 0.2,
                    ensure_terms: list[str] | None = None, keep_missing: bool = False, salt: str = "glm"
                    ) -> tuple[DataFrame, float]:
@@ -186,19 +234,24 @@ def clip_probability(p: Column, eps: float = 0.02) -> Column:
 def multi_seed_select(df: DataFrame, features: list[str], target: str, valid: str, seeds: list[int],
                       alpha: float = 0.1, tol: float = 1e-6, **params) -> tuple[PipelineModel, DataFrame]:
     """Fit once per seed and keep the lowest validation penalised loss; within ``tol`` the lower
-    over-confidence, then the smaller train-validation confidence gap decides."""
+    over-confidence, then the smaller train-validation confidence gap decides. The fits read one
+    written table and run side by side, as a fit of many small jobs leaves most executors idle."""
     data = materialize(df)
-    best, table = None, []
-    for s in seeds:
-        model = boosted_fit(data, features, target, valid, seed=s, **params)
-        out = predict(model, data, [F.col(target).alias("y"), F.col(valid).cast("string").alias("split")]).cache()
+
+    def one(seed: int) -> tuple[PipelineModel, dict]:
+        model = boosted_fit(data, features, target, valid, seed=seed, **params)
+        out = materialize(predict(model, data, [F.col(target).alias("y"), F.col(valid).cast("string").alias("split")]))
         m = {r["split"]: r for r in confidence_metrics(out, "split", alpha=alpha).collect()}["true"]
         gap = confidence_gap(out, "split", "false", "true").first()[0]
-        out.unpersist()
-        rec = {"seed": s, "nll": m["nll"], "penalised": m["penalised_loss"], "over": m["extreme_share"], "gap": gap}
-        table.append(rec)
-        if best is None or _better(rec, best[1], tol):
-            best = (model, rec)
+        return model, {"seed": seed, "nll": m["nll"], "penalised": m["penalised_loss"], "over": m["extreme_share"], "gap": gap}
+
+    with ThreadPoolExecutor(max_workers=min(len(seeds), FITS_AT_ONCE)) as pool:
+        done = list(pool.map(inheritable_thread_target(df.sparkSession)(one), seeds))
+    best = done[0]
+    for fitted in done[1:]:
+        if _better(fitted[1], best[1], tol):
+            best = fitted
+    table = [rec for _, rec in done]
     rows = [(r["seed"], r["nll"], r["penalised"], r["over"], r["gap"], int(r is best[1])) for r in table]
     return best[0], df.sparkSession.createDataFrame(
         rows, "seed int, nll double, penalised double, over double, gap double, chosen int")

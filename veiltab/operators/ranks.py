@@ -14,9 +14,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from veiltab.functions.hashing import uniform
 from veiltab.operators.joins import keyed_join
+from veiltab.operators.nth import nth_bounds
 
 VALUE_RANGES = 64      # value ranges per key when cutting a histogram (a power of two)
 HASH_RANGES = 1024     # hash ranges per group in hash_rank
@@ -221,6 +223,9 @@ def top_n_bound(df: DataFrame, order: Column, n: int, row_id: str = "row_id"):
                 .agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("o", "i")).alias("s"))
                 .first())
         return (last["s"]["o"], last["s"]["i"]) if last["n"] == n else None
+    if not isinstance(base.schema["i"].dataType, T.NumericType):  # no quantiles of text: the search over pivots serves any id
+        got = nth_bounds(base.withColumn("__one", F.lit(1)), ["__one"], F.col("o"), n, "i").first()
+        return None if got is None or got["__all"] else (got["__bound"]["o"], got["__bound"]["i"])
     while True:
         slice_ = order_slices(base, "o", "i")
         if slice_ is None:

@@ -15,6 +15,7 @@ from veiltab.session import materialize
 
 ROW = "row_id"
 UNSEEN = 1e-6
+LEAF_ROWS = 100_000  # (tree, leaf) shares that are looked up inside a row instead of joined
 
 
 def score_correct(y: str = "y", p: str = "p") -> Column:
@@ -43,26 +44,42 @@ def score_conf_true(df: DataFrame, y: str = "y", p: str = "p", out: str = "s_con
 
 def score_leaf_rarity(a: DataFrame, base: DataFrame | None = None, leaf: str = "leaf", row_id: str = ROW,
                       out: str = "s_leaf") -> DataFrame:
-    """Sum over trees of ln(1 / (leaf share + 1e-6)), shares counted on ``base`` (the release)
+    """Sum over trees of ln(1 / (leaf share + 1e-6)), rescaled to [0, 1]; shares counted on ``base`` (the release)
     or on the rows themselves; a leaf never seen counts as share 0.
 
-    Shares are a (tree, leaf) table of at most trees x leaves rows, joined to the exploded
-    leaves; the sum is in fixed point.
+    The raw sums are written once; their range is one small aggregate over that copy.
     """
-    rarity = unit_rescale(leaf_rarity(a, base, leaf, row_id, out), out)
-    return a.join(rarity, row_id, "left").withColumn(out, F.coalesce(out, F.lit(0.0)))
+    raw = materialize(with_leaf_rarity(a, base, leaf, row_id, out), "rarity")
+    (lo, hi), = fit.ranges(raw, [out]).values()
+    return raw if lo is None else raw.withColumn(out, F.coalesce((F.col(out) - lo) / (hi - lo + 1e-12), F.lit(0.0)))
 
 
-def leaf_rarity(a: DataFrame, base: DataFrame | None, leaf: str, row_id: str, out: str) -> DataFrame:
-    """(row_id, rarity) before rescaling."""
+def with_leaf_rarity(a: DataFrame, base: DataFrame | None, leaf: str, row_id: str, out: str) -> DataFrame:
+    """``a`` with the rarity before rescaling; null where a row has no leaves.
+
+    Shares are a (tree, leaf) table of at most trees x leaves rows. Up to ``LEAF_ROWS`` of them become one array of maps,
+    one map per tree, looked up inside each row: rows are neither exploded nor shuffled, and no leaf can be hot. A larger
+    table is joined to the exploded leaves. The sum is in fixed point.
+    """
     def leaves(df, ids):
         return df.select(*ids, F.posexplode(leaf).alias("tree", "leaf"))
 
+    def part(share):
+        return F.log(1.0 / (F.coalesce(share, F.lit(0.0)) + UNSEEN))
+
     ref = a if base is None else base
-    n = ref.agg(F.count(F.lit(1)).alias("n")).scalar()
-    share = leaves(ref, []).groupBy("tree", "leaf").agg((F.count(F.lit(1)) / n).alias("share"))
-    one = F.log(1.0 / (F.coalesce("share", F.lit(0.0)) + UNSEEN))
-    return leaves(a, [row_id]).join(share, ["tree", "leaf"], "left").groupBy(row_id).agg(exact_sum(one).alias(out))
+    n = ref.count()
+    share = materialize(leaves(ref, []).groupBy("tree", "leaf").agg((F.count(F.lit(1)) / n).alias("share")), "leaves")
+    if share.limit(LEAF_ROWS + 1).count() > LEAF_ROWS:
+        rarity = leaves(a, [row_id]).join(share, ["tree", "leaf"], "left").groupBy(row_id).agg(exact_sum(part(F.col("share"))).alias(out))
+        return a.drop(out).join(rarity, row_id, "left")
+    per_tree = share.filter(F.col("leaf").isNotNull()).groupBy("tree").agg(
+        F.map_from_entries(F.collect_list(F.struct("leaf", "share"))).alias("m"))
+    maps = per_tree.agg(F.map_from_entries(F.collect_list(F.struct("tree", "m"))).alias("maps")).scalar()
+    fixed = "decimal(28,9)"
+    one = F.transform(leaf, lambda x, i: part(F.try_element_at(F.try_element_at("__maps", i), x)).cast(fixed))
+    total = F.aggregate(one, F.lit(0).cast(fixed), lambda s, x: (s + x).cast(fixed)).cast("double")
+    return a.withColumn("__maps", maps).withColumn(out, F.when(F.size(leaf) > 0, total)).drop("__maps")
 
 
 def fuse_weighted(parts: dict[str, float]) -> Column:
@@ -85,9 +102,9 @@ def four_part_score(df: DataFrame, base: DataFrame | None = None, row_id: str =
     """
     raw = df.select(row_id, (-neg_log_lik()).alias("s_loss"),
                     F.when(F.col("y") == 1, F.col("p")).otherwise(1 - F.col("p")).alias("s_conf"),
-                    score_correct().cast("double").alias("s_correct"))
+                    score_correct().cast("double").alias("s_correct"), *(["leaf"] if "leaf" in df.columns else []))
     if "leaf" in df.columns:
-        raw = raw.join(leaf_rarity(df, base, "leaf", row_id, "s_leaf"), row_id, "left")
+        raw = with_leaf_rarity(raw, base, "leaf", row_id, "s_leaf").drop("leaf")
     else:
         raw = raw.withColumn("s_leaf", F.lit(0.0))
     raw = materialize(raw)

@@ -155,23 +155,25 @@ def gaussian_copula_synth(df: DataFrame, keys: list[str], cols: list[str], integ
 
 def logit_align(before: DataFrame, after: DataFrame, coef: dict[str, float], intercept: float, group: list[str],
                 continuous: list[str], digits: int = 2, row_id: str = ROW) -> DataFrame:
+    """``align_logits`` for a logit given by literal coefficients of numeric columns; missing numbers count as 0."""
+    z = F.lit(float(intercept))
+    for c, b in coef.items():
+        z = z + F.coalesce(F.col(c).cast("double"), F.lit(0.0)) * b
+    return align_logits(before, after, z, {c: coef.get(c, 0.0) for c in continuous}, group, digits, row_id)
+
+
+def align_logits(before: DataFrame, after: DataFrame, logit: Column, weight: dict[str, float], group: list[str],
+                 digits: int = 2, row_id: str = ROW) -> DataFrame:
     """Move the release's logits onto the original's logit distribution per group.
 
-    The logit change is spread over the continuous columns along their coefficients (the
-    smallest move that achieves it) and clipped to the original's 0.5..99.5 percent range.
+    The logit change is spread over the continuous columns (``weight``: their coefficients) along their coefficients (the
+    smallest move that achieves it) and clipped to the original's 0.5..99.5 percent range; missing values stay missing.
     """
-    weight = {c: coef.get(c, 0.0) for c in continuous}
     norm2 = sum(w * w for w in weight.values())
     if norm2 < 1e-10:
         return after
-
-    def with_logit(df: DataFrame) -> DataFrame:
-        z = F.lit(float(intercept))
-        for c, b in coef.items():
-            z = z + F.coalesce(F.col(c).cast("double"), F.lit(0.0)) * b
-        return df.withColumn("logit", F.round(z, 9))
-
-    b, a = with_logit(before), with_logit(after)
+    continuous = list(weight)
+    b, a = (df.withColumn("logit", F.round(logit, 9)) for df in (before, after))
     target = quantile_map(a.select(row_id, *group, "logit"), b.select(row_id, *group, "logit"), group, ["logit"], [], row_id
                           ).select(row_id, F.col("logit").alias("__target"))
     moved = a.join(target, row_id).withColumn("__d", F.coalesce(F.col("__target") - F.col("logit"), F.lit(0.0)))
@@ -181,5 +183,5 @@ def logit_align(before: DataFrame, after: DataFrame, coef: dict[str, float], int
     exprs = {}
     for c, w in weight.items():
         x = F.col(c).cast("double") + F.col("__d") * (w / norm2)
-        exprs[c] = F.round(F.least(F.greatest(x, F.col(f"{c}_lo")), F.col(f"{c}_hi")), digits)
+        exprs[c] = F.when(x.isNotNull(), F.round(F.least(F.greatest(x, F.col(f"{c}_lo")), F.col(f"{c}_hi")), digits))
     return out.withColumns(exprs).select(*after.columns)

@@ -17,6 +17,7 @@ from veiltab.operators import perturb as N
 from veiltab.operators import scale as S
 from veiltab.operators import synth as Y
 from veiltab.operators.fit import medians
+from veiltab.operators.model import fit_logit
 from veiltab.operators.profile import group_size_relax
 from veiltab.operators.select import shuffle_rows
 from veiltab.session import materialize
@@ -127,9 +128,18 @@ def _permute_columns(df, cols, where=None, salt="", row_id=ROW):
     return materialize(mixed if rest is None else mixed.unionByName(rest))
 
 
-def _swap_records(df, cols, share, similar, salt="", row_id=ROW):
-    group = [F.col("GENDER"), F.floor(F.col("AGE") / 5)] if similar else None
-    return materialize(C.swap_records(df, cols, share, group, salt + "pairs", row_id))
+def _swap_records(df, cols, share, salt="", row_id=ROW):
+    return materialize(C.swap_records(df, cols, share, None, salt + "pairs", row_id))
+
+
+def _swap_similar(df, cols, share, within, salt="", row_id=ROW):
+    """Swaps in sequence with partners of the same sex and about the same age, any row again and again."""
+    df = materialize(df)
+    n = int(df.count() * share)
+    if n <= 1:
+        return df
+    swaps = C.similar_swaps(df, n, "GENDER", "AGE", within, salt + "swap", row_id)
+    return materialize(C.swap_sequence(df, swaps, cols, row_id))
 
 
 def _shrink(df, cols, rate, salt="", row_id=ROW):
@@ -174,8 +184,15 @@ def _mix_block(df, keys, privacy=True, salt="", row_id=ROW):
     return Y.quantile_map(mixed, df, keys, NUMBERS, ["AGE", *COUNTS], row_id)
 
 
-def _copula(df, keys, salt="", row_id=ROW):
-    return Y.gaussian_copula_synth(df, keys, NUMBERS, ["AGE", *COUNTS], salt + "copula", row_id)
+def _copula(df, keys, align=None, salt="", row_id=ROW):
+    """Copula draw; with ``align`` (decimals) the release's logits of asthma are then moved onto the original's, by a
+    model fitted on the original, inside (label, age band). Bands are the original's; a null band is a group too."""
+    out = Y.gaussian_copula_synth(df, keys, NUMBERS, ["AGE", *COUNTS], salt + "copula", row_id)
+    if align is None:
+        return out
+    model = fit_logit(df, "asthma_flag", [*NUMBERS, *CATEGORIES, *FLAGS[1:], "AGE_BIN"])
+    weight = {c: model.numbers[c] for c in BODY if c in model.numbers}
+    return Y.align_logits(df, materialize(_round(out, align)), model.logit(), weight, ["asthma_flag", "AGE_BIN"], align, row_id)
 
 
 def _round(df, digits, salt="", row_id=ROW):
@@ -195,7 +212,7 @@ OPS: dict[str, Callable] = {
     "raise_share": _raise, "adjust_by_flag": N.adjust_by_flag, "nudge": N.preserve_correlation_nudge,
     "swap_cohorts": _swap, "format": _format, "clean": _clean, "clip": _clip, "top_code": _top_code,
     "impute": _impute, "group_impute": _group_impute, "permute_block": _permute_block,
-    "permute_columns": _permute_columns, "swap_records": _swap_records, "shrink": _shrink,
+    "permute_columns": _permute_columns, "swap_records": _swap_records, "swap_similar": _swap_similar, "shrink": _shrink,
     "shuffle_rows": lambda df, salt="", row_id=ROW: shuffle_rows(df, salt + "shuffle", row_id),
     "mix_block": _by_group(_mix_block, ["AGE_BIN", "asthma_flag"]),
     "copula": _by_group(_copula, ["AGE_BIN", "GENDER", "RACE", "ETHNICITY", "asthma_flag"]), "round": _round,
@@ -276,6 +293,7 @@ BUNDLE_TIERS = [["GENDER", "RACE", "ETHNICITY", "asthma_flag"], ["GENDER", "ETHN
                 ["GENDER", "asthma_flag"], ["asthma_flag"]]
 AGE_TIERS = [["AGE_BIN", *BUNDLE_TIERS[0]], ["AGE_BIN", "GENDER", "asthma_flag"], ["AGE_BIN", "asthma_flag"]]
 
+# The steps of each recipe and their parameters, in order.
 RECIPES: dict[str, list[Step]] = {
     "ano": [
         *_each("replace_uniform", CATEGORIES, [0.04, 0.04, 0.03], "p"), ("noise_age", {"c": "AGE", "delta": 2}),
@@ -321,6 +339,8 @@ RECIPES: dict[str, list[Step]] = {
     "anony1_1_utility": [("mix_block", {"k_min": 25, "privacy": False}), ("round", {"digits": 3})],
     "anony1_2": [("copula", {"k_min": 40}), ("round", {"digits": 3})],
     "anony1_3": [("copula", {"k_min": 40}), ("round", {"digits": 2})],
+    "anony1_2_align": [("copula", {"k_min": 40, "align": 3}), ("round", {"digits": 3})],
+    "anony1_3_align": [("copula", {"k_min": 40, "align": 2}), ("round", {"digits": 2})],
     "anony2": [
         ("noise_sparse", {"c": "AGE", "share": 0.05, "choices": [-1, 1], "lo": 2, "hi": 110}), RARE, _ethnicity(0.02, 0.01),
         *_counts(0.03, [-2, -1, 1, 2]), ("flip", {"c": "asthma_flag", "p": 0.01}),
@@ -377,7 +397,7 @@ RECIPES: dict[str, list[Step]] = {
         _range("mean_weight", 1.5, (0, 0), 0), _range("mean_bmi", 0.6, (0, 0), 1), MALE,
         ("replace_fixed", {"c": "GENDER", "moves": [("M", "F", 0.02), ("F", "M", 0.02)]}),
         *[("noise_step", {"c": c, "share": 0.2, "rate": 0.05, "lo": lo, "hi": hi}) for c, (lo, hi) in COUNT_LIMITS.items()],
-        FORMAT, ("swap_records", {"cols": [*CATEGORIES, *NUMBERS, *FLAGS], "share": 0.03, "similar": False})],
+        FORMAT, ("swap_records", {"cols": [*CATEGORIES, *NUMBERS, *FLAGS], "share": 0.03})],
     "anony10": [
         FORMAT, RARE, _ethnicity(0.04, 0.03), *_bands([(21, 30, 31, 40, 0.06), (51, 60, 61, 70, 0.06)]),
         *_cohorts([("asthma_flag", 1, 0.05, "AGE < 18"), ("asthma_flag", 0, 0.06, "AGE > 60")]), ("flip", {"c": "asthma_flag", "p": 0.02}),
@@ -400,7 +420,7 @@ RECIPES: dict[str, list[Step]] = {
         ("shrink", {"cols": COUNTS, "rate": 0.1}),
         ("remap", {"c": "RACE", "listed": ["hawaiian", "native", "other", "asian", "black"], "to": [("white", 0.8), ("other", 0.2)]}),
         ("noise_age_bins", {"c": "AGE", "delta": 2}),
-        ("swap_records", {"cols": ["num_immunizations", "num_allergies", "num_devices"], "share": 0.02, "similar": True}), FORMAT],
+        ("swap_similar", {"cols": ["num_immunizations", "num_allergies", "num_devices"], "share": 0.02, "within": 5}), FORMAT],
     "group_shuffle": [("permute_columns", {"cols": [*CATEGORIES, *COUNTS, *BODY, *FLAGS]})],
     "row_shuffle": [("shuffle_rows", {})],
 }
