@@ -16,12 +16,13 @@ import struct
 import unicodedata
 from collections.abc import Iterator
 
-KEPT_BYTES = 112 << 20  # memory of the units a worker learnt last; beyond, they become the older half, and the former older half is forgotten
+KEPT_BYTES = 112 << 20  # memory of the units a worker learnt last (and those of one slice); beyond, they become the older half, and the former older half is forgotten
 ENTRY_BYTES = 230       # Python's own share of an entry: a key, a value and their place in the dictionary
 LONGEST_KEPT = 32       # characters; longer units seldom come again
 SLICE = 1 << 20         # characters worked on at a time
 _CUT = re.compile(r"[a-z] (?=[a-z])")  # plain words on both sides: no rule of either pre-tokenizer looks across
 _TAIL = frozenset(string.punctuation) - {"'"}
+_WORD = re.compile("(\n?)([A-Za-z]+)([%s]*)" % re.escape("".join(sorted(_TAIL - {"<"}))))  # the usual unit, taken apart in one go
 _KEPT: dict[tuple[str, str], UnitEncoder] = {}
 
 
@@ -76,11 +77,27 @@ class UnitEncoder:
 
     def _ids(self, keys: set[str]) -> dict[str, bytes]:
         """Ids of units not remembered; letters followed by punctuation are the two parts' ids."""
-        tokenize, prefix, found, direct, split, older = self.library.model.tokenize, self.prefix, {}, [], [], self.older
+        tokenize, prefix, found, direct, split, older, known = self.library.model.tokenize, self.prefix, {}, [], [], self.older, self.known
+        blank, word, pack = "\n" if prefix else "", _WORD.fullmatch, struct.pack
         for key in keys:
             if key in older:
                 found[key] = older[key]
                 continue
+            usual = word(key)
+            if usual:
+                mark, core, end = usual.groups()
+                head, tail = mark + core, blank + end
+                if head not in found and head not in known:
+                    if head in older:
+                        found[head] = older[head]
+                    else:
+                        ids = [t.id for t in tokenize(core.lower() if not prefix else core if mark else "\u0120" + core)]
+                        found[head] = pack(f"<{len(ids)}I", *ids)
+                if end:
+                    split.append((key, head, tail))
+                    if tail not in found and not self._recall(tail, found):
+                        direct.append(tail)
+                continue
             mark = key[:1] if prefix and key[:1] == "\n" else ""
             core = key[len(mark):]
             end = len(core)
@@ -105,8 +122,7 @@ class UnitEncoder:
         for key, one in zip(direct, self.library.encode_batch([self._literal(k) if k else k for k in direct], add_special_tokens=False)):
             found[key] = struct.pack(f"<{len(one.ids)}I", *one.ids)
         for key, head, tail in split:
-            found[key] = found[head] + found[tail]
-        self._keep(found)
+            found[key] = (found[head] if head in found else known[head]) + found[tail]
         return found
 
     def _recall(self, key: str, found: dict[str, bytes]) -> bool:
@@ -115,15 +131,13 @@ class UnitEncoder:
             found[key] = held
         return held is not None
 
-    def _keep(self, found: dict[str, bytes]) -> None:
-        if max(map(len, found)) > LONGEST_KEPT:
-            found = {k: ids for k, ids in found.items() if len(k) <= LONGEST_KEPT}
-        size = ENTRY_BYTES * len(found) + 2 * sum(map(len, found)) + sum(map(len, found.values()))
-        if self.held + size > self.kept:
-            self.older, self.known, self.held = self.known, {}, 0
-        if size <= self.kept:
-            self.known.update(found)
-            self.held += size
+    def _trim(self, found: dict[str, bytes]) -> None:
+        """Count what was just learnt, forget long units, and begin a new half when the present one is full."""
+        for k in [k for k in found if len(k) > LONGEST_KEPT]:
+            del self.known[k], found[k]
+        self.held += ENTRY_BYTES * len(found) + 2 * sum(map(len, found)) + sum(map(len, found.values()))
+        if self.held > self.kept:
+            self.older, self.known, self.held = self.known if self.held <= 2 * self.kept else {}, {}, 0
 
     def _slices(self, text: str) -> Iterator[str]:
         """Stretches of a long text, cut before a space between plain words, where a unit ends anyway."""
@@ -137,23 +151,15 @@ class UnitEncoder:
         yield text[at:] if at else text
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        get, rows, new = self.known.get, [], set()
-        for t in texts:
-            units = self._units(t)
-            row, missing, at = list(map(get, units)), [], -1
-            try:
-                while True:
-                    at = row.index(None, at + 1)
-                    missing.append((at, units[at]))
-            except ValueError:
-                pass
-            new.update(u for _, u in missing)
-            rows.append((row, missing))
+        rows = [self._units(t) for t in texts]
+        new = set().union(*rows).difference(self.known)
         found = self._ids(new) if new else {}
-        for row, missing in rows:
-            for at, unit in missing:
-                row[at] = found[unit]
-        return [b"".join(row) for row, _ in rows]
+        self.known.update(found)
+        get = self.known.__getitem__
+        out = [b"".join(map(get, units)) for units in rows]
+        if found:
+            self._trim(found)
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, four bytes each; texts are worked on in groups of about ``SLICE`` characters."""
