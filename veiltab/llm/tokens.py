@@ -19,10 +19,11 @@ from collections.abc import Iterator
 KEPT_BYTES = 112 << 20  # memory of the units a worker learnt last (and those of one slice); beyond, they become the older half, and the former older half is forgotten
 ENTRY_BYTES = 230       # Python's own share of an entry: a key, a value and their place in the dictionary
 LONGEST_KEPT = 32       # characters; longer units seldom come again
-SLICE = 1 << 20         # characters worked on at a time
+SLICE = 1 << 18         # characters worked on at a time
 _CUT = re.compile(r"[a-z] (?=[a-z])")  # plain words on both sides: no rule of either pre-tokenizer looks across
 _TAIL = frozenset(string.punctuation) - {"'"}
 _WORD = re.compile("(\n?)([A-Za-z]+)([%s]*)" % re.escape("".join(sorted(_TAIL - {"<"}))))  # the usual unit, taken apart in one go
+_PACK = [struct.Struct(f"<{n}I").pack for n in range(17)]  # ids of a word as bytes; longer lists are packed by their own format
 _KEPT: dict[tuple[str, str], UnitEncoder] = {}
 
 
@@ -92,7 +93,7 @@ class UnitEncoder:
                         found[head] = older[head]
                     else:
                         ids = [t.id for t in tokenize(core.lower() if not prefix else core if mark else "\u0120" + core)]
-                        found[head] = pack(f"<{len(ids)}I", *ids)
+                        found[head] = _PACK[len(ids)](*ids) if len(ids) < 17 else pack(f"<{len(ids)}I", *ids)
                 if end:
                     split.append((key, head, tail))
                     if tail not in found and not self._recall(tail, found):
