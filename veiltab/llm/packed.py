@@ -46,6 +46,10 @@ def pack(ids: np.ndarray, bits: int) -> bytes:
     """Pack unsigned ids below 2 ** bits (bits <= 32); a wider id is an error, as it would spoil its neighbours."""
     if len(ids) and int(ids.max()) >> bits:
         raise ValueError(f"id {int(ids.max())} takes more than {bits} bits")
+    return b"".join(_pack_groups(ids[at: at + BLOCK_IDS], bits) for at in range(0, len(ids), BLOCK_IDS))  # whole groups, so a long text needs no more room
+
+
+def _pack_groups(ids: np.ndarray, bits: int) -> bytes:
     groups = -(-len(ids) // 64)
     padded = np.zeros(groups * 64, np.uint64)
     padded[: len(ids)] = ids
@@ -84,12 +88,13 @@ def write_ids(docs: DataFrame, tokenizer: str, vocabulary: int, end_id: int, spa
     ordered = rows.repartitionByRange(shards, "doc_id", "_h").sortWithinPartitions("doc_id", "_h", "text").select("doc_id", "text")
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.default_memory_pool().release_unused()  # a reused worker may hold what earlier tasks read
         enc, end = encoder(tokenizer, spaces), np.asarray([end_id], "<u4").tobytes()
         shard, block, first, held, names, ends = TaskContext.get().partitionId(), 0, 0, bytearray(), [], []
         n = 0
 
         def closed() -> pa.RecordBatch:
-            payload = pack(np.frombuffer(bytes(held), "<u4"), bits)
+            payload = pack(np.frombuffer(held, "<u4"), bits)
             return pa.RecordBatch.from_arrays(
                 [pa.array([shard], pa.int32()), pa.array([block], pa.int32()), pa.array([first], pa.int64()), pa.array([n], pa.int64()), pa.array([bits], pa.int32()),
                  pa.array([names], pa.list_(pa.int64())), pa.array([ends], pa.list_(pa.int32())), pa.array([payload], pa.binary())],
