@@ -1,4 +1,5 @@
 """Base spans against Python's regular expressions; what the trees add and never remove."""
+import hashlib
 import random
 import re
 from collections import Counter
@@ -6,7 +7,8 @@ from collections import Counter
 from llm_fixtures import documents, empty
 from pyspark.sql import functions as F
 
-from veiltab.llm.pii import FEATURES, KINDS, _proposals, find_spans, joined_text, redact, redactions, thresholds_of
+from veiltab.llm.pii import FEATURES, KINDS, _proposals, examples, find_spans, joined_text, redact, redactions, thresholds_of
+from veiltab.llm.q_pii import op5_pii_boosting
 
 #: The contract's base patterns as they are stated.
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+",
@@ -136,3 +138,28 @@ def test_thresholds_are_defined_for_few_examples():
     assert abs(thresholds_of([*many, (3, 0.8, 1.0, 1.0)])[3] - 0.75) < 1e-9  # all kinds together
     assert thresholds_of([*many, (3, 0.95, 0.0, 1.0)])[3] > 0.95  # above its own counter-example
     assert abs(thresholds_of([(1, 0.9, 1.0, 1.0)] * 60 + [(1, 0.8, 0.0, 50.0)] + [(1, 0.7, 1.0, 1.0)] * 60)[1] - 0.85) < 1e-9  # weights count
+
+
+def test_counts_are_those_of_base_spans(spark, tmp_path):
+    rng = random.Random(6)
+    rows = [(i, " ; ".join(broken_card(rng) for _ in range(20))) for i in range(300)]
+    rows += [(2000 + i, f"please write to ann{i}@mail{i % 7}.org today") for i in range(60)]
+    rows.append((5000, "please write to bob (at) mail.com today, or to eve@mail.com, or call +1 (988) 555-2485"))
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in op5_pii_boosting(spark, str(tmp_path)).collect()}
+    one = got[5000]
+    assert len(one.spans.split(",")) == 3 and one.spans.startswith("email:16:33,")  # one more than the rules find
+    assert (one.n_email, one.n_ip, one.n_card, one.n_phone) == (1, 0, 0, 1) and one.base_sha256 == hashlib.sha256(brute(rows[-1][1]).encode()).hexdigest()
+    for i, text in rows:
+        kinds = [s.split(":")[0] for s in brute(text).split(",") if s]
+        assert [got[i][f"n_{kind}"] for kind in KINDS] == [kinds.count(kind) for kind in KINDS]
+
+
+def test_every_labelled_proposal_is_an_example(spark):
+    rng = random.Random(8)
+    rows = [(i, " ; ".join(broken_card(rng) for _ in range(50))) for i in range(80)]
+    proposals = _proposals(find_spans(spark.createDataFrame(rows, "doc_id long, text string")))
+    table = examples(proposals)
+    n = proposals.where("label is not null").count()
+    assert n > 2_500 and table.count() == n
+    assert table.where("kind = 2 and label = 0").agg(F.sum("weight")).first()[0] <= 2_500.001

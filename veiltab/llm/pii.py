@@ -12,8 +12,10 @@ check, are no counter-example and overlap nothing chosen are added.
 Positions are code points. They come from the lengths of the matches and of what lies between them, summed in pieces, so a text with very
 many matches takes linear time; the patterns can't backtrack over a long run.
 
-The trees are fitted on at most ``TRAIN_ROWS`` proposals, an equal share of each kind and label, chosen by a hash; held-out
-examples count with the number of proposals they stand for. Without any counter-example there is nothing to learn and the base
+The trees are fitted on every labelled proposal outside the held-out ones (a hash tells which), the thresholds come from every
+held-out one. Examples of a kind and label share a weight of at most ``SHARE``, so a frequent kind doesn't drown a rare one. Scores
+are compared in ten-thousandths: the held-out examples are counted per kind, score and label by Spark, and only these counts, whose
+number does not grow with the table, are read by the driver. Without any counter-example there is nothing to learn and the base
 spans stay alone. Defined results: a null text is an empty text, which
 has no span; each row is judged on its own, so repeated rows give repeated results; an empty table gives no rows.
 """
@@ -63,7 +65,8 @@ WORDS = {
 OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
 CONTEXT = 12
 CHUNK = 256
-TRAIN_ROWS = 20_000
+SHARE = 2_500  # most weight of all training examples of a kind and label
+SCORE_DIGITS = 4
 PRECISION = 0.99
 FEW = 50  # fewer held-out examples can't show the precision by themselves
 FEATURES = ["f_kind", "f_digits", "f_groups", "f_other", "f_dots", "f_spaces", "f_parens", "f_before_alnum", "f_after_alnum", "f_before_joined", "f_after_joined",
@@ -200,17 +203,16 @@ def _proposals(found: DataFrame) -> DataFrame:
                        *[f.cast("double").alias(n) for f, n in zip(features, FEATURES)])
 
 
-def examples(proposals: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
-    """Written table of at most ``rows`` labelled proposals, as many of each kind and label; ``weight`` is how many each stands for."""
-    hashed = proposals.where("label is not null").withColumn("_h", F.md5(F.concat_ws("|", F.col("doc_id").cast("string"), "start", *[F.col(f).cast("string") for f in FEATURES])))
-    found = {(r.kind, r.label): r.n for r in hashed.groupBy("kind", "label").agg(F.count("*").alias("n")).collect()}  # eight rows at most
-    share = rows // (2 * len(KINDS))
-    parts = [hashed.where((F.col("kind") == k) & (F.col("label") == y)).orderBy("_h").limit(share).withColumn("weight", F.lit(max(n / share, 1.0))) for (k, y), n in sorted(found.items())]
-    return written(reduce(DataFrame.unionByName, parts), "pii-train") if parts else hashed.withColumn("weight", F.lit(1.0))
+def examples(proposals: DataFrame) -> DataFrame:
+    """Written table of every labelled proposal; ``_h`` tells which are held out, ``weight`` shares out ``SHARE`` among a kind and label."""
+    hashed = written(proposals.where("label is not null").withColumn("_h", F.md5(F.concat_ws("|", F.col("doc_id").cast("string"), "start", *[F.col(f).cast("string") for f in FEATURES]))), "pii-train")
+    found = hashed.groupBy("kind", "label").agg(F.count("*").alias("n")).collect()  # eight rows at most
+    weights = [F.when((F.col("kind") == r.kind) & (F.col("label") == r.label), min(SHARE / r.n, 1.0)) for r in found]
+    return hashed.withColumn("weight", F.coalesce(*weights, F.lit(1.0)))
 
 
 def thresholds_of(held: list[tuple]) -> dict[int, float]:
-    """Threshold of every kind from held-out ``(kind, score, label, weight)`` that pass the check.
+    """Threshold of every kind from held-out ``(kind, score, label, weight)`` that pass the check; the weight is how many there are.
 
     Half-way between the lowest score at which the share of examples at or above it reaches ``PRECISION`` and the next one below. A kind of fewer than ``FEW`` takes the
     threshold of all kinds together, and more if one of its own counter-examples scores higher. No threshold is below 0.5.
@@ -232,25 +234,26 @@ def thresholds_of(held: list[tuple]) -> dict[int, float]:
     out = {}
     for k in range(len(KINDS)):
         own = [r for r in held if r[0] == k]
-        t = lowest(own, 0.5) if len(own) >= FEW else max(pooled, over(own))
+        t = lowest(own, 0.5) if sum(r[3] for r in own) >= FEW else max(pooled, over(own))
         out[k] = 2.0 if t is None else max(t, 0.5)
     return out
 
 
-def fit_trees(proposals: DataFrame, rows: int = TRAIN_ROWS):
+def fit_trees(proposals: DataFrame):
     """(model, thresholds by kind), or None if the examples are all of one kind of label."""
-    sample = examples(proposals, rows)
-    train, held = sample.where(F.substring("_h", 1, 1) < "b"), sample.where((F.substring("_h", 1, 1) >= "b") & F.col("ok"))
+    every = examples(proposals)
+    train, held = every.where(F.substring("_h", 1, 1) < "b"), every.where((F.substring("_h", 1, 1) >= "b") & F.col("ok"))
     if train.select("label").distinct().count() < 2:
         return None
     assembler = VectorAssembler(inputCols=FEATURES, outputCol="features")
-    model = GBTClassifier(featuresCol="features", labelCol="label", maxIter=12, maxDepth=4, maxBins=32, seed=5).fit(assembler.transform(train))
-    return model, thresholds_of([tuple(r) for r in _scored(held, model).select("kind", "score", "label", "weight").collect()])  # at most ``rows``
+    model = GBTClassifier(featuresCol="features", labelCol="label", weightCol="weight", maxIter=12, maxDepth=4, maxBins=32, seed=5).fit(assembler.transform(train))
+    counts = _scored(held, model).groupBy("kind", "score", "label").agg(F.count("*").cast("double").alias("n"))
+    return model, thresholds_of([(r.kind, r.score, r.label, r.n) for r in counts.collect()])  # at most 4 kinds x 10,001 scores x 2 labels
 
 
 def _scored(proposals: DataFrame, model) -> DataFrame:
     ready = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(proposals)
-    return model.transform(ready).withColumn("score", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction")
+    return model.transform(ready).withColumn("score", F.round(vector_to_array("probability")[1], SCORE_DIGITS)).drop("features", "rawPrediction", "probability", "prediction")
 
 
 def _apart(spans: Column) -> Column:
