@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import json
 import math
+import re
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
@@ -11,7 +12,7 @@ from pyspark import inheritable_thread_target
 from pyspark.errors import AnalysisException
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.ml.stat import Correlation
@@ -31,6 +32,8 @@ from veiltab.session import materialize
 ROW = "row_id"
 # Columns of the logistic table, in order.
 LOGISTIC_COLUMNS = ["coef", "p_value", "OR_norm", "CI_low_norm", "CI_high_norm", "VIF_norm"]
+# What trees get for infinite and missing numbers, and the prefix of the columns that hold it.
+LARGEST, MISSING, FILLED = 1e300, -1e305, "__filled_"
 FITS_AT_ONCE = 4  # fits of one selection that run side by side
 # Temperatures tried when calibrating.
 TEMPERATURES = [1.0, 1.2, 1.5, 1.8, 2.0, 2.5]
@@ -203,15 +206,23 @@ def fixed_term_table(table: DataFrame, base: list[str], ensure: list[str], keep_
 def boosted_fit(df: DataFrame, features: list[str], target: str, valid: str | None = None, weight: str | None = None,
                 trees: int = 600, depth: int = 6, step: float = 0.05, subsample: float = 0.9, columns: str = "all",
                 seed: int = 7) -> PipelineModel:
-    """Gradient-boosted trees with early stopping on rows where ``valid`` is true."""
+    """Gradient-boosted trees with early stopping on rows where ``valid`` is true.
+
+    A missing number goes below all others (``MISSING``), infinite ones to the ends, by a stage of the pipeline: MLlib's
+    trees refuse vectors that are not finite.
+    """
     gbt = GBTClassifier(labelCol=target, featuresCol="features", maxIter=trees, maxDepth=depth, stepSize=step,
                         subsamplingRate=subsample, featureSubsetStrategy=columns, seed=seed, leafCol="leaf_id")
     if valid:
         gbt = gbt.setValidationIndicatorCol(valid)
     if weight:
         gbt = gbt.setWeightCol(weight)
-    assembler = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep")
-    return Pipeline(stages=[assembler, gbt]).fit(df)
+    number = {c: "double(`{}`)".format(c.replace("`", "``")) for c in features}
+    filled = ", ".join(f"CASE WHEN isnotnull({x}) AND NOT isnan({x}) THEN greatest(least({x}, {LARGEST}D), -{LARGEST}D) ELSE {MISSING}D END AS `{FILLED}{i}`"
+                       for i, x in enumerate(number.values()))
+    complete = SQLTransformer(statement=f"SELECT *, {filled} FROM __THIS__")
+    assembler = VectorAssembler(inputCols=[f"{FILLED}{i}" for i in range(len(features))], outputCol="features")
+    return Pipeline(stages=[complete, assembler, gbt]).fit(df)
 
 
 def predict(model: PipelineModel, df: DataFrame, keep: list[str]) -> DataFrame:
@@ -303,7 +314,7 @@ def model_save(model: PipelineModel, path: str, features: list[str], target: str
 
 
 def model_load(path: str, default_target: str | None = None) -> tuple[PipelineModel, list[str], str | None]:
-    """(model, features, target): from the note, else from the assembler stage and the default."""
+    """(model, features, target): from the note, else from the model's stages and the default."""
     model = PipelineModel.load(f"{path}/model")
     spark = SparkSession.getActiveSession()
     features, target = None, default_target
@@ -316,5 +327,13 @@ def model_load(path: str, default_target: str | None = None) -> tuple[PipelineMo
     if note:
         features, target = json.loads(note["feature_names"]), note["target"]
     if features is None:
-        features = list(model.stages[0].getInputCols())
+        features = _feature_names(model)
     return model, features, target
+
+
+def _feature_names(model: PipelineModel) -> list[str]:
+    """Feature columns of a fitted pipeline: those its first stage fills, or its assembler's in models saved without that stage."""
+    first = model.stages[0]
+    if not isinstance(first, SQLTransformer):
+        return list(first.getInputCols())
+    return [c.replace("``", "`") for c in re.findall(r"isnotnull\(double\(`((?:[^`]|``)+)`\)\)", first.getStatement())]
