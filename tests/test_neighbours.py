@@ -2,6 +2,7 @@
 import numpy as np
 import pytest
 
+from veiltab.operators import neighbours as N
 from veiltab.operators.neighbours import View, Visits, knn
 
 SCHEMA = "id long, num array<double>, cat array<long>, w array<double>"
@@ -56,3 +57,28 @@ def test_compared_pairs_grow_well_below_all_pairs(spark):
         assert found.count() == 120
         shares.append(visits.pairs() / (n * 60))
     assert shares[0] < 0.5 and shares[1] < 0.5 * shares[0]  # four times the rows, less than twice the pairs
+
+
+@pytest.mark.parametrize("metric", ["l1", "l2", "cosine"])
+def test_leaves_give_the_rows_of_all_pairs_and_measure_few(monkeypatch, metric):
+    rnd = np.random.default_rng(5)
+
+    def made(n):
+        out = object.__new__(N.Vectors)
+        out.num, out.cat, out.w = np.round(rnd.random((n, 3)), 3), rnd.integers(0, 4, (n, 1)), np.full((n, 1), 0.7)
+        return out
+
+    rows, asked, seen, measure = made(6000), made(50), [], N._measure
+    monkeypatch.setattr(N, "_measure", lambda m, q, at, leaves, leaf: seen.append(len(leaf) * N.LEAF) or measure(m, q, at, leaves, leaf))
+    views = [View("x", (0, 1, 2), (0,)), View("y", (0, 2), ()), View("z", (), (0,))]
+    m = N.Metric(metric, views, 3, 1)
+    ids = rnd.permutation(6000)
+    for v in range(len(views)):
+        q, a = np.divmod(np.arange(50 * 6000), 6000)
+        every = np.round(m.exact(v, asked.take(q), rows.take(a)), N.DIGITS).reshape(50, 6000)
+        seen.clear()
+        at, ids_found, dist = N._hits_by_leaves(m, v, 3, asked, rows, ids, np.full(50, np.inf))
+        for i in range(50):
+            best = np.lexsort((ids, every[i]))[:3]
+            assert sorted(zip(dist[at == i], ids_found[at == i])) == list(zip(every[i][best], ids[best]))
+        assert views[v].name == "z" or sum(seen) < 0.2 * 50 * 6000
