@@ -82,3 +82,46 @@ def test_leaves_give_the_rows_of_all_pairs_and_measure_few(monkeypatch, metric):
             best = np.lexsort((ids, every[i]))[:3]
             assert sorted(zip(dist[at == i], ids_found[at == i])) == list(zip(every[i][best], ids[best]))
         assert views[v].name == "z" or sum(seen) < 0.2 * 50 * 6000
+
+
+def test_copies_of_a_vector_are_compared_once(spark):
+    rnd = np.random.default_rng(9)
+    kinds = [(np.round(rnd.random(2), 2), rnd.integers(0, 3, 1)) for _ in range(30)]
+    a = [(100 * j + (7 * i) % 40, n, c, [1.0]) for i, (n, c) in enumerate(kinds) for j in range(40)]
+    a = [(i, *row[1:]) for i, row in enumerate(a)]
+    c = [(5000 + i, rnd.random(2), rnd.integers(0, 3, 1), [1.0]) for i in range(8)]
+    visits, got = Visits(), {}
+    for r in knn(table(spark, a), table(spark, c), 5, visits=visits).collect():
+        got.setdefault(r.qid, []).append((r["rank"], r.dist, r.id))
+    everything = View("*", (0, 1), (0,))
+    for q in c:
+        best = sorted((distance("l1", q, x, everything), x[0]) for x in a)[:5]
+        assert [x[2] for x in sorted(got[q[0]])] == [x[1] for x in best]
+    assert visits.pairs() == 8 * len({(*n, *c) for n, c in kinds})
+
+
+@pytest.mark.parametrize("metric", ["l1", "l2", "cosine"])
+def test_rows_of_other_levels_and_flags_are_hardly_measured(monkeypatch, metric):
+    rnd = np.random.default_rng(6)
+
+    def made(n):
+        out = object.__new__(N.Vectors)
+        out.num = np.column_stack([rnd.random((n, 3)), rnd.integers(0, 2, (n, 2))])
+        out.cat, out.w = rnd.integers(0, 5, (n, 2)), np.full((n, 2), 1.0)
+        return out
+
+    rows, asked, seen, measure = made(12000), made(60), [], N._measure
+    monkeypatch.setattr(N, "_measure", lambda m, q, at, leaves, leaf: seen.append(len(leaf) * N.LEAF) or measure(m, q, at, leaves, leaf))
+    m, ids = N.Metric(metric, [View("*", (0, 1, 2, 3, 4), (0, 1))], 5, 2), rnd.permutation(12000)
+    at, found, dist = N._hits_by_leaves(m, 0, 3, asked, rows, ids, np.full(60, np.inf))
+    q, a = np.divmod(np.arange(60 * 12000), 12000)
+    every = np.round(m.exact(0, asked.take(q), rows.take(a)), N.DIGITS).reshape(60, 12000)
+    for i in range(60):
+        best = np.lexsort((ids, every[i]))[:3]
+        assert sorted(zip(dist[at == i], found[at == i])) == list(zip(every[i][best], ids[best]))
+    assert sum(seen) < 0.015 * 60 * 12000
+
+
+def test_products_take_many_queries_at_a_time():
+    wide = View("*", tuple(range(64)), ())
+    assert N.Metric("l2", [wide], 64, 0).stretch(8192) >= 16
