@@ -9,6 +9,7 @@ from veiltab.operators import model as M
 from veiltab.operators import risk as R
 from veiltab.operators.metrics import classification_metrics
 from veiltab.plans.views import RELEASE_SQL, SCORES_SQL, release, scores, subject, u_sql, with_sql
+from veiltab.session import materialize
 from veiltab.sources.files import scratch_folder
 
 FEATURES = ["age", "n_orders", "n_items", "n_returns", "avg_price"]
@@ -79,7 +80,7 @@ GLM = ["age", "n_orders", "n_returns", "n_suppliers", "avg_disc", "segment"]
 
 @query("logistic_table")
 def _(spark, sf):
-    out, auc = M.logistic_table(subject(spark, sf), "urgent_flag", GLM, ensure_terms=["segment_NONE"])
+    out, auc = M.logistic_table(materialize(subject(spark, sf)), "urgent_flag", GLM, ensure_terms=["segment_NONE"])
     return rounded(out.withColumn("auc", F.lit(auc)))
 
 

@@ -7,6 +7,7 @@ from veiltab.catalog.registry import query, rounded
 from veiltab.operators import synth as Y
 from veiltab.operators.profile import pearson_matrix
 from veiltab.plans.views import RELEASE_SQL, gauss_sql, release, subject, with_sql
+from veiltab.session import materialize
 
 COLS = ["n_orders", "n_items", "avg_price"]
 INTS = ["n_orders", "n_items"]
@@ -65,6 +66,6 @@ COEF = {"age": 0.004, "n_orders": 0.06, "avg_price": 0.000002, "balance": 0.0001
 
 @query("logit_align")
 def _(spark, sf):
-    before = subject(spark, sf).select("row_id", "region", "urgent_flag", *COEF)
+    before = materialize(subject(spark, sf).select("row_id", "region", "urgent_flag", *COEF))
     after = Y.gaussian_copula_synth(before, ["region"], ["avg_price", "balance"], [])
     return Y.logit_align(before, after, COEF, -1.1, ["urgent_flag", "region"], ["avg_price", "balance"])
