@@ -125,3 +125,28 @@ def test_rows_of_other_levels_and_flags_are_hardly_measured(monkeypatch, metric)
 def test_products_take_many_queries_at_a_time():
     wide = View("*", tuple(range(64)), ())
     assert N.Metric("l2", [wide], 64, 0).stretch(8192) >= 16
+
+
+def test_trees_of_trees_and_repeated_ids_give_the_rows_of_a_full_comparison(spark, monkeypatch):
+    monkeypatch.setattr(N, "FAN", 4)
+    rnd = np.random.default_rng(11)
+    make = lambda n, at: [(at + i, [*np.round(rnd.random(2), 3), i % 2], rnd.integers(0, 4, 1), [1.0]) for i in range(n)]
+    a, c = make(400, 0), make(30, 1000)
+    a += [(i, *row[1:]) for i, row in enumerate(make(40, 0))]  # ids met twice
+    visits, got = Visits(), {}
+    for r in knn(table(spark, a), table(spark, c), 3, block_rows=64, cell_rows=20, visits=visits).collect():
+        got.setdefault(r.qid, []).append((r["rank"], r.dist, r.id))
+    everything = View("*", (0, 1, 2), (0,))
+    for q in c:
+        best = sorted((distance("l1", q, x, everything), x[0]) for x in a)[:3]
+        found = sorted(got[q[0]])
+        assert [x[2] for x in found] == [x[1] for x in best]
+        assert np.allclose([x[1] for x in found], [x[0] for x in best], atol=2e-9)
+    assert visits.pairs() < 0.25 * len(a) * len(c)
+
+
+def test_boxes_of_other_levels_are_out_of_reach():
+    m = N.Metric("l1", [View("*", (0,), (0,))], 1, 1)
+    boxes = [[np.array([[0.0]]), np.array([[1.0]])], [np.array([[1.0]]), np.array([[1.0]])], [np.array([[3]]), np.array([[5]])]]
+    q = (np.array([[0.5], [0.5]]), np.array([[4], [9]]), np.ones((2, 1)))
+    assert N._low(m, q, np.arange(2)[:, None], boxes, np.array([[0]])).tolist() == [[0.0], [2.0]]  # 9 is not among levels 3 to 5
