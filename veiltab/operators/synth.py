@@ -12,6 +12,7 @@ from veiltab.functions.hashing import gaussian
 from veiltab.functions.special import normal_cdf, normal_quantile
 from veiltab.operators.joins import attach_groups, keyed_join
 from veiltab.operators.ranks import attach_by_value, cumulative_counts, exact_quantiles
+from veiltab.session import materialize
 
 ROW = "row_id"
 STEP = 64  # order-statistic positions per lookup bucket
@@ -146,7 +147,7 @@ def gaussian_copula_synth(df: DataFrame, keys: list[str], cols: list[str], integ
     u = g.select(row_id, *keys, F.posexplode(z).alias("__i", "z")).select(
         row_id, *keys, F.get(F.array(*[F.lit(c) for c in cols]), F.col("__i")).alias("column"),
         normal_cdf(F.col("z")).alias("u"))
-    stats = order_statistics(_long(df, keys, cols).filter(F.col("value").isNotNull()), k, "value")
+    stats = materialize(order_statistics(_long(df, keys, cols).filter(F.col("value").isNotNull()), k, "value"), "stats")
     sizes = stats.groupBy(*k).agg(F.max("m").alias("m"))
     asked = attach_groups(u, sizes, k, "inner").withColumn("pos", range_clip(F.col("u"), 0.0, 1.0) * (F.col("m") - 1)).drop("m", "u")
     mapped = at_positions(asked, stats, k, "pos", F.col("column").isin(integers), "mapped")
