@@ -30,8 +30,8 @@ def swap_between_cohorts(df: DataFrame, c: str, a: Column, b: Column, share: flo
     if m == 0:
         return df
     side = F.when(a, "a").when(b, "b")
-    ranked = hash_rank(df.select(row_id, c, side.alias("__side")).filter(F.col("__side").isNotNull()),
-                       "__side", salt, row_id).filter(F.col("rn") <= m)
+    ranked = materialize(hash_rank(df.select(row_id, c, side.alias("__side")).filter(F.col("__side").isNotNull()),
+                                   "__side", salt, row_id).filter(F.col("rn") <= m), "ranked")  # read by both sides
     other = ranked.select("rn", F.when(F.col("__side") == "a", "b").otherwise("a").alias("__side"),
                           F.col(c).alias("__val"))
     changed = ranked.drop(c).join(other, ["rn", "__side"]).withColumnRenamed("__val", c)
@@ -48,8 +48,8 @@ def swap_records(df: DataFrame, cols: list[str], share: float, group: list[Colum
     keys = {f"__g{i}": g for i, g in enumerate(group or [])}
     base = df.select(row_id, *cols, *[g.alias(k) for k, g in keys.items()])
     n = 2 * int(df.count() * share)
-    chosen = hash_rank(base, [], salt + "/in", row_id, out="__in").filter(F.col("__in") <= n).drop("__in")
-    ranked = hash_rank(chosen, list(keys), salt, row_id)
+    chosen = materialize(hash_rank(base, [], salt + "/in", row_id, out="__in").filter(F.col("__in") <= n).drop("__in"), "chosen")
+    ranked = materialize(hash_rank(chosen, list(keys), salt, row_id), "ranked")  # read by both sides
     partner = F.when(F.col("rn") % 2 == 1, F.col("rn") + 1).otherwise(F.col("rn") - 1)
     other = ranked.select(partner.alias("__p"), *[F.col(k).alias(f"{k}o") for k in keys],
                           *[F.col(c).alias(f"__v{i}") for i, c in enumerate(cols)])

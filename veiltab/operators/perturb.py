@@ -231,19 +231,23 @@ def noise_by_group_std(df: DataFrame, limits: dict[str, tuple], bin_: Column, fa
     into the range. All columns share one fit of the bins and one of the medians.
     """
     cols = list(limits)
-    g = df.groupBy(bin_.alias("b")).agg(
+    binned = df.withColumn("__bin", bin_)
+    g = binned.groupBy(F.col("__bin").alias("b")).agg(
         *[F.avg(_num(c)).alias(f"m_{c}") for c in cols],
         *[F.when(F.count(_num(c)) > 1, F.stddev_samp(_num(c))).alias(f"s_{c}") for c in cols]).collect()
-    out = {}
-    for c, (lo, hi) in limits.items():
-        std = {r["b"]: float(r[f"s_{c}"]) if r[f"s_{c}"] else max(1.0, r[f"m_{c}"] * 0.1)
-               for r in g if r["b"] is not None and r[f"m_{c}"] is not None}
+    std = {r["b"]: [None if r[f"m_{c}"] is None else float(r[f"s_{c}"]) if r[f"s_{c}"] else max(1.0, r[f"m_{c}"] * 0.1) for c in cols]
+           for r in g if r["b"] is not None}
+    known = binned.withColumn("__std", fit.lookup(F.col("__bin"), std).cast("array<double>"))
+    moved = {}
+    for i, c in enumerate(cols):
         f = F.lit(factor)
         if wide:
             f = F.when(uniform(f"{salt}{c}/wide", row_id) < wide[0], wide[1]).otherwise(f)
-        x = _num(c) + gaussian(f"{salt}{c}/g", row_id) * fit.lookup(bin_, std) * f
-        out[c] = F.coalesce(F.bround(range_clip(x, float(lo), float(hi))), _num(c))
-    noised = df.withColumns(out)
+        moved[f"__x_{c}"] = _num(c) + gaussian(f"{salt}{c}/g", row_id) * F.col("__std")[i] * f
+    # draws stand in a projection of their own (clipping names its value twice) and are written before the medians read them
+    noised = materialize(known.withColumns(moved).withColumns({
+        c: F.coalesce(F.bround(range_clip(f"__x_{c}", float(lo), float(hi))), _num(c)) for c, (lo, hi) in limits.items()}
+    ).select(*df.columns), "noised")
     mid = fit.medians(noised, cols)
     fill = {c: int(min(max(mid[c] if mid[c] is not None else lo, lo), hi)) for c, (lo, hi) in limits.items()}
     return noised.withColumns({
@@ -285,12 +289,13 @@ def noise_normal_range_aware(df: DataFrame, c: str, normal: tuple[float, float],
     """Inside the normal range: + N(0, sd), kept inside. Outside: pulled toward it by
     |N(pull)| without crossing its edge. Finally clipped to the limits."""
     lo, hi = normal
-    x, g = _num(c), gaussian(f"{salt}{c}/g", row_id)
+    x, g = _num(c), F.col("__g")
     move = F.abs(F.lit(pull[0]) + g * pull[1])
     out = (F.when(x.between(lo, hi), range_clip(x + g * sd, float(lo), float(hi)))
            .when(x > hi, F.greatest(x - move, F.lit(float(hi))))
            .when(x < lo, F.least(x + move, F.lit(float(lo)))))
-    return df.withColumn(c, F.round(range_clip(out, float(limits[0]), float(limits[1])), digits))
+    drawn = df.withColumn("__g", gaussian(f"{salt}{c}/g", row_id))  # one draw a row, used in several places
+    return drawn.withColumn(c, F.round(range_clip(out, float(limits[0]), float(limits[1])), digits)).drop("__g")
 
 
 # ---------------------------------------------------------------- flags

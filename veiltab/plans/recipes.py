@@ -86,7 +86,8 @@ def _swap(df, c, a, b, share, salt="", row_id=ROW):
 
 
 def _format(df, integers, decimals, salt="", row_id=ROW):
-    return S.format_release(df, integers, decimals, CATEGORIES, FLAGS, {"AGE": (2, 110)})
+    # medians, modes and the release read the table: the run of steps before is evaluated once
+    return S.format_release(materialize(df), integers, decimals, CATEGORIES, FLAGS, {"AGE": (2, 110)})
 
 
 def _clean(df, salt="", row_id=ROW):
