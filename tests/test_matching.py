@@ -83,6 +83,14 @@ def test_planted_members_are_found_and_noise_hides_them(spark):
     assert low > 0.9 and high < low - 0.3
 
 
+def test_v7_takes_the_votes_of_every_released_row(spark):
+    pop = table(spark, 200, "p7", 10 ** 9).withColumnRenamed("id", "row_id")
+    rel = pop.filter("row_id % 5 = 0")
+    flat = pop.select(F.col("row_id").alias("id"), F.lit(1).alias("y"), F.lit(0.5).alias("p"))
+    marks = A.v7(A.Pair(pop, rel, ["x", "y", "z"], ["k"]), flat, rel.count(), rounds=2)
+    assert {r["id"] for r in marks.filter("mark = 1").collect()} == {r["row_id"] for r in rel.collect()}
+
+
 def test_hybrid_fallbacks(spark):
     from veiltab.operators.risk import hybrid_risk
     ids = spark.range(100).withColumnRenamed("id", "row_id")
