@@ -83,6 +83,23 @@ def test_planted_members_are_found_and_noise_hides_them(spark):
     assert low > 0.9 and high < low - 0.3
 
 
+def test_rounds_of_the_same_features_are_searched_once_and_all_counted(spark, monkeypatch):
+    a, c = vectors(table(spark, 120, "a", 9)), vectors(table(spark, 30, "c", 7))
+    xy, zk = ((0, 1), ()), ((2,), (0,))
+    rounds = [View(f"r{i}", *x) for i, x in enumerate([xy, zk, xy, xy, zk])]
+    asked, search = [], M.knn
+    monkeypatch.setattr(M, "knn", lambda *x, views, **y: asked.append(len(views)) or search(*x, views=views, **y))
+    got = {r["id"]: r["score"] for r in M.stability_vote(a, c, rounds, 3, heat_rounds=3).collect()}
+    assert asked == [2]
+    votes, hits = dict.fromkeys(got, 0.0), dict.fromkeys(got, 0)
+    for r in search(a, c, 3, views=rounds).collect():
+        votes[r["id"]] += r["mult"] / (r["dist"] + 1e-8)
+        hits[r["id"]] += r["mult"] * (r["rank"] == 1 and r["part"] in ("r0", "r1", "r2"))
+    damped = {i: votes[i] / (1 + 0.1 * hits[i]) for i in votes}
+    lo, hi = min(damped.values()), max(damped.values())
+    assert got == pytest.approx({i: (x - lo) / (hi - lo + 1e-12) for i, x in damped.items()}, abs=1e-9)
+
+
 def test_v7_takes_the_votes_of_every_released_row(spark):
     pop = table(spark, 200, "p7", 10 ** 9).withColumnRenamed("id", "row_id")
     rel = pop.filter("row_id % 5 = 0")
